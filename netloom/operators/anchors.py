@@ -45,28 +45,34 @@ def anchor_runs(
     gap_us: int,
     slice_us: int,
     limit_us: int | None = None,
-    closes: str | None = None,
+    closes: Column | None = None,
     tag: str | None = None,
-    tracks: dict[str, str] | None = None,
+    tracks: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Add the run of every row; rows are ordered by ``(us, rid)``, ``rid`` unique.
 
     Added columns: ``anchor_us, anchor_id`` (and ``anchor_tag``: the anchor row's value
     of ``tag``), ``is_anchor``, ``is_closing`` (with ``closes``), ``session_us`` (first
     row after the last gap), ``prev_us``/``next_us`` (neighbours in the key) and, for
-    each ``tracks`` entry ``name -> boolean column``, ``prev_name`` (``struct<us,id>`` of
+    each ``tracks`` entry ``name -> condition``, ``prev_name`` (``struct<us,id>`` of
     the latest earlier row where that column is true).  Key columns must not be NULL.
     """
     tracks = tracks or {}
-    local = _within_slices(df, keys, us, rid, gap_us, slice_us, closes, tag, tracks)
+    # One explicit exchange; what the windows derive is computed above it and never shuffled.
+    sliced = df.withColumn("_slice", F.coalesce(F.expr(f"`{us}` div {int(slice_us)}"), F.lit(0)))
+    sliced = sliced.repartition(*keys, "_slice")
+    if closes is not None:
+        sliced = sliced.withColumn("_closes", closes)
+        closes = "_closes"
+    local = _within_slices(sliced, keys, us, rid, gap_us, closes, tag, tracks)
     carry = _between_slices(local, keys, us, rid, gap_us, closes, tracks)
     rows = _stitch(local, carry, df.columns, keys, closes, tag, tracks)
     if limit_us is None:
-        return rows.drop("_slice")
+        return rows.drop("_slice", "_closes")
     age = F.col(us) - F.col("session_us")
     head = rows.where(age < limit_us).drop("_slice")
     tail = _cut_by_age(rows.where(age >= limit_us), keys, us, rid, limit_us, closes, tag)
-    return head.unionByName(tail)
+    return head.unionByName(tail).drop("_closes")
 
 
 def _row_struct(us: str, rid: str, tag: str | None) -> Column:
@@ -76,14 +82,14 @@ def _row_struct(us: str, rid: str, tag: str | None) -> Column:
     return F.struct(*fields)
 
 
-def _within_slices(df, keys, us, rid, gap_us, slice_us, closes, tag, tracks) -> DataFrame:
+def _within_slices(df, keys, us, rid, gap_us, closes, tag, tracks) -> DataFrame:
     """Everything a row can know from its own slice (columns prefixed ``_``)."""
     w = Window.partitionBy(*keys, "_slice").orderBy(us, rid)
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     me = _row_struct(us, rid, tag)
 
-    out = df.withColumn("_slice", F.expr(f"`{us}` div {int(slice_us)}")).withColumns(
+    out = df.withColumns(
         {"_lag": F.lag(us).over(w), "_lead": F.lead(us).over(w), "_rn": F.row_number().over(w)}
     )
     inner = F.col("_lag").isNotNull()
@@ -118,7 +124,7 @@ def _within_slices(df, keys, us, rid, gap_us, slice_us, closes, tag, tracks) ->
         aggs["_run0"] = F.last(F.when(F.col("_gap"), me), ignorenulls=True).over(upto)
     here = _row_struct(us, rid, None)
     for name, flag in tracks.items():
-        aggs[f"_track_{name}"] = F.last(F.when(F.col(flag), here), ignorenulls=True).over(before)
+        aggs[f"_track_{name}"] = F.last(F.when(flag, here), ignorenulls=True).over(before)
     return out.withColumns(aggs)
 
 
@@ -139,7 +145,7 @@ def _between_slices(local, keys, us, rid, gap_us, closes, tracks) -> DataFrame:
     here = _row_struct(us, rid, None)
     for name, flag in tracks.items():
         track = f"_track_{name}"
-        cols.append(F.when(F.col(flag), here).otherwise(F.col(track)).alias(track))
+        cols.append(F.when(flag, here).otherwise(F.col(track)).alias(track))
     # The last row of a slice already holds every running value.
     s = local.where(F.col("_lead").isNull()).select(*cols)
 
@@ -209,7 +215,7 @@ def _stitch(local, carry, columns, keys, closes, tag, tracks) -> DataFrame:
     if tag:
         out.append(F.col("_run.tag").alias("anchor_tag"))
     if closes:
-        out.append((F.col(closes) & ~F.col("is_anchor")).alias("is_closing"))
+        out += [closes, (F.col(closes) & ~F.col("is_anchor")).alias("is_closing")]
     for name in tracks:
         out.append(F.coalesce(f"_track_{name}", f"_track_in_{name}").alias(f"prev_{name}"))
     return rows.select(*out)

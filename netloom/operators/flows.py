@@ -29,14 +29,19 @@ def canonical_key(packets: DataFrame) -> DataFrame:
     """
     src = F.struct(F.col("src_ip"), F.col("src_port"))
     dst = F.struct(F.col("dst_ip"), F.col("dst_port"))
-    low = src <= dst
-    return packets.withColumns(
+    low = F.col("side") == 0
+
+    def pick(lower: str, higher: str, default: str | int) -> Column:
+        # Keys are never NULL, so that joins on them need no extra filter on the scan.
+        return F.coalesce(F.when(low, F.col(lower)).otherwise(F.col(higher)), F.lit(default))
+
+    return packets.withColumn("side", F.when(src <= dst, 0).otherwise(1)).withColumns(
         {
-            "lo_ip": F.when(low, F.col("src_ip")).otherwise(F.col("dst_ip")),
-            "lo_port": F.when(low, F.col("src_port")).otherwise(F.col("dst_port")),
-            "hi_ip": F.when(low, F.col("dst_ip")).otherwise(F.col("src_ip")),
-            "hi_port": F.when(low, F.col("dst_port")).otherwise(F.col("src_port")),
-            "side": F.when(low, 0).otherwise(1),
+            "lo_ip": pick("src_ip", "dst_ip", ""),
+            "lo_port": pick("src_port", "dst_port", 0),
+            "hi_ip": pick("dst_ip", "src_ip", ""),
+            "hi_port": pick("dst_port", "src_port", 0),
+            "protocol": F.coalesce("protocol", F.lit(0)),
         }
     )
 
@@ -73,14 +78,7 @@ def assemble_flows(packets: DataFrame, params: FlowParams = FlowParams()) -> Dat
     flow in the same direction) and ``next_us`` (next packet of the key, in or after the
     flow).
     """
-    df = canonical_key(packets).withColumns(
-        {
-            "us": micros(),
-            "fin_rst": F.col("tcp_flags").bitwiseAND(FIN | RST) != 0,
-            "from_lo": F.col("side") == 0,
-            "from_hi": F.col("side") == 1,
-        }
-    )
+    df = canonical_key(packets).withColumn("us", micros())
     runs = anchor_runs(
         df,
         KEY,
@@ -89,9 +87,9 @@ def assemble_flows(packets: DataFrame, params: FlowParams = FlowParams()) -> Dat
         gap_us=_seconds(params.idle_s) + 1,
         limit_us=_seconds(params.absolute_s) + 1,
         slice_us=_seconds(params.slice_s),
-        closes="fin_rst",
+        closes=F.col("tcp_flags").bitwiseAND(FIN | RST) != 0,
         tag="side",
-        tracks={"lo": "from_lo", "hi": "from_hi"},
+        tracks={"lo": F.col("side") == 0, "hi": F.col("side") == 1},
     )
     prev = F.when(F.col("side") == 0, F.col("prev_lo")).otherwise(F.col("prev_hi"))
     in_flow = (F.col("_prev.us") > F.col("anchor_us")) | (
@@ -109,7 +107,7 @@ def assemble_flows(packets: DataFrame, params: FlowParams = FlowParams()) -> Dat
         .withColumnsRenamed(
             {"anchor_id": "flow_id", "anchor_us": "flow_start_us", "anchor_tag": "first_side"}
         )
-        .drop("_prev", "prev_lo", "prev_hi", "from_lo", "from_hi", "fin_rst", "session_us", "is_anchor")
+        .drop("_prev", "prev_lo", "prev_hi", "session_us", "is_anchor")
     )
 
 
