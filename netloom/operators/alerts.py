@@ -66,7 +66,7 @@ def dedup_alerts(
     rows = rows.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     runs = anchor_runs(rows, names, "_us", rid, gap_us=window_us, limit_us=window_us, slice_us=slice_us)
     return runs.select(
-        *df.columns,
+        *(F.col(f"`{c}`") for c in df.columns),
         F.col("is_anchor").alias("is_first"),
         F.timestamp_micros("anchor_us").alias("anchor_ts"),
         "anchor_id",

@@ -203,7 +203,7 @@ def _stitch(local, carry, columns, keys, closes, tag, tracks) -> DataFrame:
     session = F.coalesce("_sess", F.when(F.col("_new1"), F.col("_first.us")), F.col("_sess_in"))
     rows = rows.withColumns({"_run": run, "is_anchor": anchor, "session_us": session})
     out = [
-        *columns,
+        *(F.col(f"`{c}`") for c in columns),
         "_slice",
         "session_us",
         F.col("_run.us").alias("anchor_us"),

@@ -61,3 +61,75 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def labelled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature rows with missing values, labels and base scores, made from ``lineitem``."""
     return _over(spark, sf_dir, "lineitem", FL_SQL)
+
+
+# Every event as one scored flow; keys repeat, so dedup windows and ties occur.
+SCORED_SQL = """
+SELECT event_id AS flow_id, ts, user_id,
+ concat('10.0.0.', CAST(user_id % 50 AS STRING)) AS src_ip,
+ concat('192.168.1.', CAST(user_id % 7 AS STRING)) AS dst_ip,
+ CAST(40000 + user_id AS INT) AS src_port,
+ CASE CAST(user_id % 4 AS INT) WHEN 0 THEN 80 WHEN 1 THEN 443 WHEN 2 THEN 22 ELSE 53 END AS dst_port,
+ CASE WHEN user_id % 10 < 7 THEN 6 WHEN user_id % 10 < 9 THEN 17 ELSE 47 END AS protocol,
+ CAST(k AS DOUBLE) / 100 AS rf,
+ least(value / 150, CAST(1 AS DOUBLE)) AS xgb,
+ CAST(event_id * 7 % 100 AS DOUBLE) / 100 AS iso,
+ CASE event_type WHEN 'click' THEN 'DDoS' WHEN 'error' THEN 'PortScan' WHEN 'purchase' THEN 'SSH-Patator'
+  WHEN 'signup' THEN 'Bot' ELSE 'Novel Worm' END AS class_name,
+ CAST(event_id * 13 % 100 AS DOUBLE) / 100 AS class_confidence,
+ CAST(value AS DOUBLE) AS latency_ms
+FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k FROM events) e
+"""
+
+# Labelled rows with a file name and dirty label text.
+FILES_SQL = """
+SELECT l_linestatus AS source_file, concat(' ', l_returnflag, '�x  ') AS raw_label, l_returnflag AS label,
+ l_quantity AS f_qty,
+ CASE WHEN l_discount = 0 THEN CAST('Infinity' AS DOUBLE) WHEN l_discount = 0.1 THEN CAST('NaN' AS DOUBLE)
+  ELSE l_quantity / l_discount END AS f_rate,
+ CASE WHEN l_tax = 0 THEN NULL ELSE l_tax END AS f_tax
+FROM lineitem
+"""
+
+
+def scored_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows with base scores and class, made from ``events``."""
+    df = _over(spark, sf_dir, "events", SCORED_SQL)
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def file_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of labelled files with Inf, NaN, NULL and dirty labels, made from ``lineitem``."""
+    return _over(spark, sf_dir, "lineitem", FILES_SQL)
+
+
+def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ethernet frames that carry the packets of :func:`packets`, padded to their length."""
+    p = packets(spark, sf_dir)
+
+    def hx(c, digits: int):
+        return F.lpad(F.hex(c), digits, "0")
+
+    def ip(name: str):
+        parts = F.split(F.col(name), "\\.")
+        return F.concat(*(hx(parts[i].cast("long"), 2) for i in range(4)))
+
+    tcp, udp = F.col("protocol") == 6, F.col("protocol") == 17
+    ports = F.concat(hx(F.col("src_port").cast("long"), 4), hx(F.col("dst_port").cast("long"), 4))
+    l4 = (
+        F.when(
+            tcp,
+            F.concat(
+                ports, F.lit("0" * 16), hx(F.shiftleft(F.shiftright(F.col("header_len") - 20, 2), 4).cast("long"), 2),
+                hx(F.col("tcp_flags").cast("long"), 2), hx(F.col("window_size").cast("long"), 4), F.lit("0" * 8),
+            ),
+        )
+        .when(udp, F.concat(ports, F.lit("0" * 8)))
+        .otherwise(F.lit("0" * 16))
+    )
+    head = F.concat(
+        F.lit("0" * 24 + "0800" + "45" + "0" * 16), hx(F.col("protocol").cast("long"), 2), F.lit("0" * 4),
+        ip("src_ip"), ip("dst_ip"), l4,
+    )
+    size = F.greatest(F.col("length"), F.lit(14) + F.col("header_len"))
+    return p.select("packet_id", "ts", F.unhex(F.rpad(head, size * 2, "0")).alias("frame"))
