@@ -7,11 +7,12 @@ order, open a run at its first row, and let a later row open a new run when
 * it is at least ``limit_us`` younger than the first row (the *anchor*) of the open run, or
 * the previous row closed the run (a closing row that is itself an anchor does not).
 
-One key may hold a third of the table, so no step sorts a whole key in one task.
-Rows are shuffled by ``(key, time slice)``; everything that looks across a slice
-border (previous row, open session, open run, whether the run was just closed) is
-carried by one summary row per slice, scanned per key, and joined back.  The gap and
-closing rules need nothing else: inside a session each row either resets the
+Most keys are small: their rows go to one task by key and one sorted window pass does it
+all.  A key with more than ``hot_rows`` rows (one may hold a third of the table) is never
+sorted in one task: its rows are shuffled by ``(key, time slice)``, and everything that
+looks across a slice border (previous row, open session, open run, whether the run was
+just closed) is carried by one summary row per slice, scanned per key, and joined back.
+The gap and closing rules need nothing else: inside a session each row either resets the
 "just closed" bit or toggles it.
 
 The age rule is a chain (each anchor depends on the one before) and only matters for
@@ -32,6 +33,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Keys above this many rows are cut into time slices.
+HOT_ROWS = 5_000_000
+
 _CLOSED = np.iinfo(np.int64).min
 _ALWAYS = np.iinfo(np.int64).max
 
@@ -48,6 +52,7 @@ def anchor_runs(
     closes: Column | None = None,
     tag: str | None = None,
     tracks: dict[str, Column] | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add the run of every row; rows are ordered by ``(us, rid)``, ``rid`` unique.
 
@@ -55,24 +60,81 @@ def anchor_runs(
     of ``tag``), ``is_anchor``, ``is_closing`` (with ``closes``), ``session_us`` (first
     row after the last gap), ``prev_us``/``next_us`` (neighbours in the key) and, for
     each ``tracks`` entry ``name -> condition``, ``prev_name`` (``struct<us,id>`` of
-    the latest earlier row where that column is true).  Key columns must not be NULL.
+    the latest earlier row where that condition holds).  Key columns must not be NULL.
+    ``hot_rows=None`` slices every key and spares the count of rows per key.
+    """
+    rules = (keys, us, rid, gap_us, limit_us, closes, tag, tracks or {})
+    if hot_rows is None:
+        return _runs(df, slice_us, *rules)
+    hot = _hot_keys(df, keys, hot_rows)
+    if hot is None:
+        return _runs(df, slice_us, *rules)
+    if hot.isEmpty():
+        return _runs(df, None, *rules)
+    cold = _runs(df.join(F.broadcast(hot), [*keys], "left_anti"), None, *rules)
+    return cold.unionByName(_runs(df.join(F.broadcast(hot), [*keys], "left_semi"), slice_us, *rules))
+
+
+def _hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, at_most: int = 10_000) -> DataFrame | None:
+    """Keys above the row limit as a local table; None when they are too many to list.
+
+    The count reads only the key columns and is combined before the shuffle.
     """
-    tracks = tracks or {}
+    hot = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select(*keys)
+    rows = hot.limit(at_most + 1).collect()
+    return None if len(rows) > at_most else df.sparkSession.createDataFrame(rows, hot.schema)
+
+
+def _runs(df, slice_us, keys, us, rid, gap_us, limit_us, closes, tag, tracks) -> DataFrame:
+    part = list(keys)
+    if slice_us is not None:
+        part.append("_slice")
+        df = df.withColumn("_slice", F.coalesce(F.expr(f"`{us}` div {int(slice_us)}"), F.lit(0)))
     # One explicit exchange; what the windows derive is computed above it and never shuffled.
-    sliced = df.withColumn("_slice", F.coalesce(F.expr(f"`{us}` div {int(slice_us)}"), F.lit(0)))
-    sliced = sliced.repartition(*keys, "_slice")
+    rows = df.repartition(*part)
     if closes is not None:
-        sliced = sliced.withColumn("_closes", closes)
+        rows = rows.withColumn("_closes", closes)
         closes = "_closes"
-    local = _within_slices(sliced, keys, us, rid, gap_us, closes, tag, tracks)
-    carry = _between_slices(local, keys, us, rid, gap_us, closes, tracks)
-    rows = _stitch(local, carry, df.columns, keys, closes, tag, tracks)
-    if limit_us is None:
-        return rows.drop("_slice", "_closes")
-    age = F.col(us) - F.col("session_us")
-    head = rows.where(age < limit_us).drop("_slice")
-    tail = _cut_by_age(rows.where(age >= limit_us), keys, us, rid, limit_us, closes, tag)
-    return head.unionByName(tail).drop("_closes")
+    if slice_us is None:
+        rows = _whole_keys(rows, keys, us, rid, gap_us, closes, tag, tracks)
+    else:
+        columns = [c for c in df.columns if c != "_slice"]
+        local = _within_slices(rows, keys, us, rid, gap_us, closes, tag, tracks)
+        carry = _between_slices(local, keys, us, rid, gap_us, closes, tracks)
+        rows = _stitch(local, carry, columns, keys, closes, tag, tracks)
+    if limit_us is not None:
+        age = F.col(us) - F.col("session_us")
+        tail = _cut_by_age(rows.where(age >= limit_us), part, keys, us, rid, limit_us, closes, tag)
+        rows = rows.where(age < limit_us).drop("_slice").unionByName(tail)
+    return rows.drop("_slice", "_closes")
+
+
+def _whole_keys(df, keys, us, rid, gap_us, closes, tag, tracks) -> DataFrame:
+    """Gap and closing rules where one task holds the whole key."""
+    w = Window.partitionBy(*keys).orderBy(us, rid)
+    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    here = _row_struct(us, rid, None)
+    out = df.withColumns({"prev_us": F.lag(us).over(w), "next_us": F.lead(us).over(w), "_rn": F.row_number().over(w)})
+    out = out.withColumn("_gap", F.coalesce(F.col(us) - F.col("prev_us") >= F.lit(gap_us), F.lit(True)))
+    last = {"session_us": F.last(F.when(F.col("_gap"), F.col(us)), ignorenulls=True).over(upto)}
+    for name, flag in tracks.items():
+        last[f"prev_{name}"] = F.last(F.when(flag, here), ignorenulls=True).over(before)
+    anchor = F.col("_gap")
+    if closes:
+        # Rows since the last one that did not close and was no session start: an odd
+        # number of closing rows in between leaves the run just closed.
+        resets = F.when(~F.col(closes) | F.col("_gap"), F.col("_rn"))
+        last["_reset"] = F.last(resets, ignorenulls=True).over(before)
+        anchor = anchor | ((F.col("_rn") - 1 - F.col("_reset")) % 2 == 1)
+    out = out.withColumns(last).withColumn("is_anchor", anchor)
+    run = F.last(F.when(F.col("is_anchor"), _row_struct(us, rid, tag)), ignorenulls=True).over(upto)
+    out = out.withColumn("_run", run).withColumns({"anchor_us": F.col("_run.us"), "anchor_id": F.col("_run.id")})
+    if tag:
+        out = out.withColumn("anchor_tag", F.col("_run.tag"))
+    if closes:
+        out = out.withColumn("is_closing", F.col(closes) & ~F.col("is_anchor"))
+    return out.drop("_rn", "_gap", "_run", "_reset")
 
 
 def _row_struct(us: str, rid: str, tag: str | None) -> Column:
@@ -256,10 +318,11 @@ class _Chains:
         self.group = np.cumsum(first) - 1
         self.c = c = _bools(table, closes) if closes else np.zeros(n, bool)
         end = self.hi[self.group]
-        # Times relative to the group, spread so that one search serves all groups.
-        rel = t - t[self.lo][self.group]
-        self.span = int(rel.max()) + limit + 1
-        self.at = rel + self.group * self.span
+        # One clock for all groups, so that one search serves them: only steps shorter than
+        # the limit matter, and groups lie more than the limit apart.
+        step = np.minimum(np.diff(t, prepend=t[0]), limit)
+        step[self.lo] = limit + 1
+        self.at = np.cumsum(step)
         too_old = np.searchsorted(self.at, self.at + limit, side="left")
         closing = np.minimum.accumulate(np.where(c, np.arange(n), n)[::-1])[::-1]
         self.first_closing = np.minimum(closing[self.lo], self.hi)
@@ -272,8 +335,8 @@ class _Chains:
     def enter(self, open_us: np.ndarray) -> np.ndarray:
         """First anchor of each group, given the anchor open on entry (``hi`` = none)."""
         closed = open_us == _CLOSED
-        rel = np.where(closed, 0, open_us - self.t[self.lo])
-        found = np.searchsorted(self.at, rel + np.arange(len(self.lo)) * self.span + self.limit, side="left")
+        ago = np.where(closed, 0, self.t[self.lo] - open_us)
+        found = np.searchsorted(self.at, self.at[self.lo] - ago + self.limit, side="left")
         found = np.minimum(np.maximum(found, self.lo), self.top())
         return np.where(closed, self.lo, found)
 
@@ -310,8 +373,9 @@ def _bools(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy().astype(bool, copy=False)
 
 
-def _cut_by_age(tail, keys, us, rid, limit, closes, tag) -> DataFrame:
-    order = Window.partitionBy(*keys, "_slice").orderBy(us, rid)
+def _cut_by_age(tail, part, keys, us, rid, limit, closes, tag) -> DataFrame:
+    order = Window.partitionBy(*part).orderBy(us, rid)
+    sliced = "_slice" in part
     if not tag:
         tail = tail.withColumn("anchor_tag", F.lit(0))
     tag_col = tag or "anchor_tag"
@@ -379,24 +443,6 @@ def _cut_by_age(tail, keys, us, rid, limit, closes, tag) -> DataFrame:
                     state = state if same else tuple(out)
             yield pd.DataFrame(entered, columns=state_schema.names)
 
-    narrow = [*keys, "_slice", "session_us", us, rid, "_entry", "is_anchor", "anchor_us", "anchor_id", "anchor_tag"]
-    narrow += [c for c in (closes, tag) if c]
-    # The window states where the groups lie and how they are ordered, so that adaptive
-    # execution never splits one.
-    states = (
-        tail.select(*dict.fromkeys(narrow))
-        .withColumn("_seq", F.row_number().over(order))
-        .mapInArrow(steps, step_schema)
-        .repartition(*keys, "session_us")
-        .sortWithinPartitions(*keys, "session_us", "_slice", "upto")
-        .mapInPandas(fold, state_schema)
-    )
-    # Few sessions of one key outlive the age limit inside one slice, so the list is short;
-    # joining on (key, slice) keeps the packets where they are.
-    states = states.groupBy(*keys, "_slice").agg(
-        F.collect_list(F.struct("session_us", "in_us", "in_id", "in_tag")).alias("_states")
-    )
-    mine = F.filter("_states", lambda s: s["session_us"] == F.col("session_us"))[0]
     out_schema = T.StructType([f for f in tail.schema if f.name not in ("_slice", "_entry")])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -404,7 +450,9 @@ def _cut_by_age(tail, keys, us, rid, limit, closes, tag) -> DataFrame:
             ch = _Chains(table, us, closes, limit)
             known = _bools(table, "_entry")[ch.lo]
             was = {n: _ints(table, f"anchor_{n}") for n in ("us", "id", "tag")}
-            carry = {n: np.where(known, a[ch.lo], _ints(table, f"in_{n}")[ch.lo]) for n, a in was.items()}
+            carry = {n: a[ch.lo] for n, a in was.items()}
+            if sliced:
+                carry = {n: np.where(known, a, _ints(table, f"in_{n}")[ch.lo]) for n, a in carry.items()}
             open_us = np.where(known & _bools(table, "is_anchor")[ch.lo], _CLOSED, carry["us"])
             mark = ch.anchors(ch.enter(open_us))
             source = np.maximum.accumulate(np.where(mark, np.arange(len(mark)), -1))
@@ -420,12 +468,30 @@ def _cut_by_age(tail, keys, us, rid, limit, closes, tag) -> DataFrame:
             ]
             yield from pa.table(columns, names=out_schema.names).to_batches()
 
-    out = (
-        tail.join(states, [*keys, "_slice"])
-        .withColumn("_state", mine)
-        .withColumns({n: F.col(f"_state.{n}") for n in ("in_us", "in_id", "in_tag")})
-        .drop("_states", "_state")
-        .withColumn("_seq", F.row_number().over(order))
-        .mapInArrow(assign, out_schema)
-    )
+    if sliced:
+        narrow = [*keys, "_slice", "session_us", us, rid, "_entry", "is_anchor", "anchor_us", "anchor_id", "anchor_tag"]
+        narrow += [c for c in (closes, tag) if c]
+        states = (
+            tail.select(*dict.fromkeys(narrow))
+            .withColumn("_seq", F.row_number().over(order))
+            .mapInArrow(steps, step_schema)
+            .repartition(*keys, "session_us")
+            .sortWithinPartitions(*keys, "session_us", "_slice", "upto")
+            .mapInPandas(fold, state_schema)
+        )
+        # Few sessions of one key outlive the age limit inside one slice, so the list is short;
+        # joining on (key, slice) keeps the packets where they are.
+        states = states.groupBy(*keys, "_slice").agg(
+            F.collect_list(F.struct("session_us", "in_us", "in_id", "in_tag")).alias("_states")
+        )
+        mine = F.filter("_states", lambda s: s["session_us"] == F.col("session_us"))[0]
+        tail = (
+            tail.join(states, part)
+            .withColumn("_state", mine)
+            .withColumns({n: F.col(f"_state.{n}") for n in ("in_us", "in_id", "in_tag")})
+            .drop("_states", "_state")
+        )
+    # The window states where the groups lie and how they are ordered, so that adaptive
+    # execution never splits one.
+    out = tail.withColumn("_seq", F.row_number().over(order)).mapInArrow(assign, out_schema)
     return out if tag else out.drop("anchor_tag")
