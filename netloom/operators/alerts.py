@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from netloom.config import AlertParams
 from netloom.functions.severity import severity_rank
 from netloom.operators.anchors import anchor_runs
+from netloom.operators.stages import settle
 from netloom.schema import SEVERITY_RANK
 
 DEDUP_KEY = ("src_ip", "dst_ip", "attack_type")
@@ -84,8 +85,11 @@ def suppression_summary(deduped: DataFrame, key: Sequence[str] = DEDUP_KEY, ts:
 
 def decide(df: DataFrame, params: AlertParams = AlertParams(), *, ts: str = "ts", rid: str = "flow_id",
            slice_s: float | None = None) -> DataFrame:
-    """Give every scored flow an ``outcome``: benign, suppressed, deduped or alert."""
-    ruled = alert_rules(df, params)
+    """Give every scored flow an ``outcome``: benign, suppressed, deduped or alert.
+
+    The gated flows feed several branches of the dedup plan, so they are written once.
+    """
+    ruled = settle(alert_rules(df, params), "gated")
     passed = dedup_alerts(
         ruled.where(F.col("suppress_reason").isNull()), params.dedup_window_s, ts=ts, rid=rid, slice_s=slice_s
     )

@@ -69,20 +69,24 @@ def anchor_runs(
     hot = _hot_keys(df, keys, hot_rows)
     if hot is None:
         return _runs(df, slice_us, *rules)
-    if hot.isEmpty():
+    if not hot:
         return _runs(df, None, *rules)
+    hot = df.sparkSession.createDataFrame(hot, df.select(*keys).schema)
     cold = _runs(df.join(F.broadcast(hot), [*keys], "left_anti"), None, *rules)
     return cold.unionByName(_runs(df.join(F.broadcast(hot), [*keys], "left_semi"), slice_us, *rules))
 
 
-def _hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, at_most: int = 10_000) -> DataFrame | None:
-    """Keys above the row limit as a local table; None when they are too many to list.
+def _hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int, at_most: int = 10_000) -> list | None:
+    """Keys above the row limit; None when they are too many to list.
 
-    The count reads only the key columns and is combined before the shuffle.
+    A table within the limit cannot hold one, and its size comes from file footers.  Else
+    the count reads only the key columns and is combined before the shuffle.
     """
+    if df.count() <= hot_rows:
+        return []
     hot = df.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select(*keys)
     rows = hot.limit(at_most + 1).collect()
-    return None if len(rows) > at_most else df.sparkSession.createDataFrame(rows, hot.schema)
+    return None if len(rows) > at_most else rows
 
 
 def _runs(df, slice_us, keys, us, rid, gap_us, limit_us, closes, tag, tracks) -> DataFrame:

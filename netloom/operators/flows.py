@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from netloom.config import FlowParams
 from netloom.operators.anchors import anchor_runs
+from netloom.operators.stages import settle
 from netloom.schema import FIN, RST
 
 KEY = ("lo_ip", "lo_port", "hi_ip", "hi_port", "protocol")
@@ -189,12 +190,12 @@ def active_flows(flows: DataFrame, params: FlowParams = FlowParams(), every: str
         ).alias("edge")
     ).where(F.col("edge.at").isNotNull())
     steps = edges.groupBy(F.window("edge.at", every).alias("bucket")).agg(F.sum("edge.step").alias("step"))
-    by_day = Window.partitionBy("day").orderBy("bucket_start")
     steps = steps.select(
-        F.col("bucket.start").alias("bucket_start"),
-        F.to_date("bucket.start").alias("day"),
-        "step",
+        F.col("bucket.start").alias("bucket_start"), F.to_date("bucket.start").alias("day"), "step"
     )
+    # A few rows per day, used twice below; the flows behind them are assembled once.
+    steps = settle(steps, "active")
+    by_day = Window.partitionBy("day").orderBy("bucket_start")
     opening = steps.groupBy("day").agg(F.sum("step").alias("net"))
     opening = opening.select(
         "day",

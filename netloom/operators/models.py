@@ -48,10 +48,8 @@ def train_boosted_binary(df: DataFrame, y: str = "attack", **over):
     }
     n = df.agg(F.count(F.when(F.col(y) == 0, 1)).alias("neg"), F.count(F.when(F.col(y) == 1, 1)).alias("pos")).first()
     weighted = df.withColumn("weight", F.when(F.col(y) == 1, n.neg / max(n.pos, 1)).otherwise(1.0))
-    gbt = GBTClassifier(
-        labelCol=y, weightCol="weight", rawPredictionCol="xgb_raw", predictionCol="xgb_pred", **params
-    ).setProbabilityCol("xgb_vec")
-    return gbt.fit(weighted)
+    gbt = GBTClassifier(labelCol=y, weightCol="weight", predictionCol="xgb_pred", **params)
+    return gbt.setRawPredictionCol("xgb_raw").setProbabilityCol("xgb_vec").fit(weighted)
 
 
 def train_multiclass(df: DataFrame, y: str = "label_enc", kind: str = "forest", **over):

@@ -6,6 +6,7 @@ tables.  Timestamps are compared as microseconds, derived fractions rounded to 6
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -934,3 +935,77 @@ def silent_sources(spark, sf):
 def grouped_notices(spark, sf):
     fired = _high_ratio(spark, sf).withColumns({"alertname": F.lit("HighAttackRateDetected"), "severity": F.lit("warning")})
     return metrics.group_notifications(fired).select("alertname", "severity", us("sent").alias("sent_us"), "status", "firing", "repeat")
+
+
+# -- streams and models ------------------------------------------------------------------------
+
+
+@query(f"WITH RECURSIVE {FLOW_CTE} SELECT flow_id, src_ip, dst_ip, src_port, dst_port, start_us, last_us, packets, bytes FROM flows")
+def streamed_flows(spark, sf):
+    """Packets as a stream to its end, then the flush of what is still open."""
+    from netloom.operators.stages import shared_folder
+    from netloom.streaming.flows import assemble_stream, flush_open_flows
+
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    stream = assemble_stream(views.packet_events_stream(spark, sf), FLOWS, "1 minute")
+    q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    q.start().awaitTermination()
+    done = spark.read.parquet(f"{folder}/out").drop("batch")
+    rest = flush_open_flows(spark, f"{folder}/state", FLOWS).select(done.columns)
+    flows = flow_table(done.unionByName(rest), FLOWS)
+    return flows.select(
+        "flow_id", "src_ip", "dst_ip", "src_port", "dst_port", us("start").alias("start_us"), us("last").alias("last_us"),
+        "packets", "bytes",
+    )
+
+
+SMALL = {"numTrees": 10, "maxDepth": 5}
+
+
+def _fit(spark, sf):
+    from netloom.plans.training import TrainingParams, train
+
+    params = TrainingParams(
+        forest=SMALL, boosted={"maxIter": 5, "maxDepth": 4}, classes=SMALL, isolation={"numTrees": 40}, benign="N"
+    )
+    return train(views.labelled_rows(spark, sf).select("label", *FEATURES), FEATURES, params=params)
+
+
+@query()
+def trained_stack(spark, sf):
+    """Split, fit every model, score the test split."""
+    stack, parts = _fit(spark, sf)
+    scored = stack.score(parts.where("split = 'test'").select("label", "attack", *FEATURES))
+    return scored.groupBy("label", "attack_type", "severity").agg(
+        F.count("*").alias("n"), F.round(F.avg("meta_probability"), 6).alias("meta_probability")
+    )
+
+
+@query()
+def isolation_scores(spark, sf):
+    """Isolation forest fitted on one class, scored on all rows."""
+    from netloom.operators.isolation import IsolationForest
+
+    df = clean.impute_at_inference(views.labelled_rows(spark, sf), {"f_rate": 500.0}, FEATURES)
+    scale = clean.fit_standardiser(df.where("label = 'N'"), FEATURES)
+    rows = df.withColumn("scaled", F.array(*((F.col(c) - m) / s for c, (m, s) in scale.items())))
+    scored = IsolationForest(numTrees=50).fit(rows.where("label = 'N'")).transform(rows)
+    return scored.groupBy("label").agg(
+        F.count("*").alias("n"), F.round(F.min("iso_decision"), 6).alias("low"), F.round(F.max("iso_decision"), 6).alias("high")
+    )
+
+
+@query()
+def important_features(spark, sf):
+    from netloom.operators import models
+
+    df = clean.binary_label(views.labelled_rows(spark, sf), benign="N")
+    rows = models.assemble(clean.impute_at_inference(df, {"f_rate": 500.0}, FEATURES), FEATURES)
+    forest = models.train_random_forest(rows, **SMALL)
+    boosted = models.train_boosted_binary(rows, maxIter=5, maxDepth=4)
+    table = models.feature_importance(spark, {"xgb": boosted, "rf": forest}, FEATURES)
+    return models.top_features(table, "xgb_importance", 20)

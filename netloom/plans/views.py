@@ -58,6 +58,14 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def packet_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packets of :func:`packets` as a stream over the ``events`` file."""
+    schema = table(spark, sf_dir, "events").schema
+    src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    df = spark.sql(PACKETS_SQL.replace("FROM events", "FROM {src}"), src=src)
+    return df.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def labelled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feature rows with missing values, labels and base scores, made from ``lineitem``."""
     return _over(spark, sf_dir, "lineitem", FL_SQL)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from netloom.operators.alerts import DEDUP_KEY
+from netloom.session import use_disk_state
 
 _ANCHOR = "anchor_us long, anchor_id long"
 
@@ -81,6 +82,7 @@ def dedup_stream(
     Spark's own watermark dedup is no substitute: its windows follow the watermark, not
     the first alert.
     """
+    use_disk_state(alerts.sparkSession)
     rows = alerts.withWatermark(ts, delay).withColumn("event_us", F.unix_micros(ts))
     kept = [f for f in rows.schema if f.name != ts]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in kept])

@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from netloom.config import FlowParams
 from netloom.operators.flows import KEY, assemble_flows, canonical_key, micros
 from netloom.schema import FIN, RST
+from netloom.session import use_disk_state
 
 _PACKET = ("us", "packet_id", "side", "length", "header_len", "tcp_flags", "window_size")
 _STATE = T.StructType(
@@ -110,6 +111,7 @@ def assemble_stream(packets: DataFrame, params: FlowParams = FlowParams(), delay
     Packets later than ``delay`` behind the newest are dropped; Spark counts them in the
     query progress.  Use the RocksDB state store.
     """
+    use_disk_state(packets.sparkSession)
     keyed = canonical_key(packets).withColumn("us", micros()).withWatermark("ts", delay)
     return keyed.select("ts", *KEY, *_PACKET).groupBy(*KEY).transformWithStateInPandas(
         FlowProcessor(params), FLOW_PACKETS, outputMode="Append", timeMode="EventTime"
