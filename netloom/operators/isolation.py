@@ -92,7 +92,7 @@ class IsolationForest(Estimator, _ForestParams):
         w = Window.partitionBy("tree").orderBy("_u")
         sample = dealt.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).select("tree", "x")
 
-        def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             return _grow(int(key[0]), np.stack(pdf["x"].to_numpy()), depth, seed)
 
         nodes = sample.groupBy("tree").applyInPandas(grow, _NODES)

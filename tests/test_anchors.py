@@ -33,14 +33,18 @@ def make(seed, n, keys, spread, fin_share):
     return rows
 
 
-@pytest.mark.parametrize("closing", [True, False])
-@pytest.mark.parametrize("hot_rows", [None, 100, 1_000_000])
-@pytest.mark.parametrize("seed,fin,gap,limit,slice_us", [
-    (1, 0.05, 400, 900, 500),
-    (2, 0.5, 50, 60, 37),
-    (3, 0.9, 300, 1000, 100_000),
-    (4, 0.0, 200, 250, 90),
-    (5, 0.02, 2000, 2500, 700),
+@pytest.mark.parametrize("seed,fin,gap,limit,slice_us,hot_rows,closing", [
+    (1, 0.05, 400, 900, 500, None, True),
+    (1, 0.05, 400, 900, 500, 100, True),
+    (2, 0.5, 50, 60, 37, None, True),
+    (2, 0.5, 50, 60, 37, 1_000_000, True),
+    (3, 0.9, 300, 1000, 100_000, None, True),
+    (3, 0.9, 300, 1000, 100_000, 100, False),
+    (4, 0.0, 200, 250, 90, None, False),
+    (5, 0.02, 2000, 2500, 700, None, True),
+    (5, 0.02, 2000, 2500, 700, None, False),
+    (6, 0.7, 5000, 40, 11, None, True),
+    (7, 0.3, 5000, 3000, 200, 1_000_000, True),
 ])
 def test_matches_replay(spark, seed, fin, gap, limit, slice_us, hot_rows, closing):
     rows = make(seed, 1500, 12, 20_000, fin)
