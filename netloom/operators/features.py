@@ -8,7 +8,7 @@ combine leaves about one row per flow to shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.config import FlowParams
@@ -22,112 +22,86 @@ ID_COLUMNS = (
 )
 
 
-def _flag(bit: int) -> Column:
-    return F.col("tcp_flags").bitwiseAND(bit) != 0
-
-
-def _stats(prefix: str, value: Column) -> dict[str, Column]:
+def _stats(prefix: str, x: str) -> dict[str, str]:
     return {
-        f"{prefix}_n": F.count(value),
-        f"{prefix}_sum": F.sum(value),
-        f"{prefix}_min": F.min(value),
-        f"{prefix}_max": F.max(value),
-        f"{prefix}_var": F.var_samp(value),
+        f"{prefix}_n": f"count({x})",
+        f"{prefix}_sum": f"sum({x})",
+        f"{prefix}_min": f"min({x})",
+        f"{prefix}_max": f"max({x})",
+        f"{prefix}_var": f"var_samp({x})",
     }
 
 
-def _partials() -> list[Column]:
-    length = F.col("length").cast("long")
-    header = F.col("header_len").cast("long")
-    aggs: dict[str, Column] = {
-        "last_us": F.max("us"),
-        "closed": F.max("is_closing"),
-        "followed": F.count("*") == F.count("next_us"),
+def _partials() -> dict[str, str]:
+    """Aggregates per flow, as SQL; per side where the feature has a direction."""
+    length, header = "CAST(length AS BIGINT)", "CAST(header_len AS BIGINT)"
+    aggs = {
+        "last_us": "max(us)",
+        "closed": "max(is_closing)",
+        "followed": "count(*) = count(next_us)",
         **_stats("len", length),
-        **_stats("iat", F.col("us") - F.col("prev_us")),
+        **_stats("iat", "us - prev_us"),
     }
     for name, bit in (
         ("fin", FIN), ("syn", SYN), ("rst", RST), ("psh", PSH),
         ("ack", ACK), ("urg", URG), ("cwe", CWE_BIT), ("ece", ECE_BIT),
     ):
-        aggs[name] = F.count(F.when(_flag(bit), 1))
+        aggs[name] = f"count(CASE WHEN (tcp_flags & {bit}) != 0 THEN 1 END)"
     for side in (0, 1):
-        mine = F.col("side") == side
-        gap = F.col("us") - F.col("prev_side_us")
-        aggs.update(_stats(f"len{side}", F.when(mine, length)))
-        aggs.update(_stats(f"iat{side}", F.when(mine, gap)))
-        aggs[f"psh{side}"] = F.count(F.when(mine & _flag(PSH), 1))
-        aggs[f"urg{side}"] = F.count(F.when(mine & _flag(URG), 1))
-        aggs[f"hdr{side}_sum"] = F.sum(F.when(mine, header))
-        aggs[f"hdr{side}_min"] = F.min(F.when(mine, header))
-        aggs[f"data{side}"] = F.count(F.when(mine & (length > header), 1))
+        mine = f"side = {side}"
+        aggs.update(_stats(f"len{side}", f"CASE WHEN {mine} THEN {length} END"))
+        aggs.update(_stats(f"iat{side}", f"CASE WHEN {mine} THEN us - prev_side_us END"))
+        aggs[f"psh{side}"] = f"count(CASE WHEN {mine} AND (tcp_flags & {PSH}) != 0 THEN 1 END)"
+        aggs[f"urg{side}"] = f"count(CASE WHEN {mine} AND (tcp_flags & {URG}) != 0 THEN 1 END)"
+        aggs[f"hdr{side}_sum"] = f"sum(CASE WHEN {mine} THEN {header} END)"
+        aggs[f"hdr{side}_min"] = f"min(CASE WHEN {mine} THEN {header} END)"
+        aggs[f"data{side}"] = f"count(CASE WHEN {mine} AND length > header_len THEN 1 END)"
         # The first packet of a side is the one without a predecessor on that side.
-        aggs[f"win{side}"] = F.max(F.when(mine & F.col("prev_side_us").isNull(), F.col("window_size")))
-    return [c.alias(n) for n, c in aggs.items()]
+        aggs[f"win{side}"] = f"max(CASE WHEN {mine} AND prev_side_us IS NULL THEN window_size END)"
+    return aggs
 
 
-def flow_features(
-    flow_packets: DataFrame,
-    params: FlowParams = FlowParams(),
-    now: str | None = None,
-    real_active_idle: bool = False,
-    activity_s: float = 5.0,
-) -> DataFrame:
-    """Key columns, start, last, close reason and the 78 features in model order.
+def _features(real_active_idle: bool) -> dict[str, str]:
+    """The 78 features as SQL over the aggregates."""
 
-    Bulk and active/idle features are constant 0.0, as the models were trained.
-    ``real_active_idle`` computes the eight active/idle features instead: a gap above
-    ``activity_s`` ends a stretch of activity and is one idle period.
-    """
-    flow = ("flow_id", *KEY, "first_side", "flow_start_us")
-    f = flow_packets.groupBy(*flow).agg(*_partials())
-    if real_active_idle:
-        f = f.join(_active_idle(flow_packets, activity_s), "flow_id")
-    f = f.withColumns(flow_key_columns())
-
-    fwd_lo = F.col("first_side") == 0
+    def fwd(name: str) -> str:
+        return f"if(first_side = 0, {name.format(0)}, {name.format(1)})"
 
-    def fwd(name: str) -> Column:
-        return F.when(fwd_lo, F.col(name.format(0))).otherwise(F.col(name.format(1)))
+    def bwd(name: str) -> str:
+        return f"if(first_side = 0, {name.format(1)}, {name.format(0)})"
 
-    def bwd(name: str) -> Column:
-        return F.when(fwd_lo, F.col(name.format(1))).otherwise(F.col(name.format(0)))
+    def d(x: str) -> str:
+        return f"coalesce(CAST({x} AS DOUBLE), 0D)"
 
-    def d(c: Column) -> Column:
-        return F.coalesce(c.cast("double"), F.lit(0.0))
+    def mean(n: str, total: str) -> str:
+        return f"CASE WHEN {n} > 0 THEN CAST({total} AS DOUBLE) / {n} ELSE 0D END"
 
-    def mean(n: Column, total: Column) -> Column:
-        return F.when(n > 0, total.cast("double") / n).otherwise(0.0)
+    def std(var: str) -> str:
+        return f"coalesce(sqrt({var}), 0D)"
 
-    def std(var: Column) -> Column:
-        return F.coalesce(F.sqrt(var), F.lit(0.0))
-
-    c = F.col
-    duration_us = c("last_us") - c("flow_start_us")
-    seconds = F.greatest(duration_us / F.lit(1e6), F.lit(1e-9))
+    seconds = "greatest((last_us - flow_start_us) / 1e6D, 1e-9D)"
     n_fwd, n_bwd = fwd("len{}_n"), bwd("len{}_n")
-    zero = F.lit(0.0)
-    v: dict[str, Column] = {
-        "Destination Port": d(c("dst_port")),
-        "Flow Duration": d(duration_us),
+    v = {
+        "Destination Port": d("dst_port"),
+        "Flow Duration": d("last_us - flow_start_us"),
         "Total Fwd Packets": d(n_fwd),
         "Total Backward Packets": d(n_bwd),
         "Total Length of Fwd Packets": d(fwd("len{}_sum")),
         "Total Length of Bwd Packets": d(bwd("len{}_sum")),
-        "Flow Bytes/s": c("len_sum") / seconds,
-        "Flow Packets/s": c("len_n") / seconds,
-        "Fwd Packets/s": n_fwd / seconds,
-        "Bwd Packets/s": n_bwd / seconds,
-        "Min Packet Length": d(c("len_min")),
-        "Max Packet Length": d(c("len_max")),
-        "Packet Length Mean": mean(c("len_n"), c("len_sum")),
-        "Packet Length Std": std(c("len_var")),
-        "Packet Length Variance": d(c("len_var")),
-        "Down/Up Ratio": n_bwd / F.greatest(n_fwd, F.lit(1)),
-        "Flow IAT Mean": mean(c("iat_n"), c("iat_sum")),
-        "Flow IAT Std": std(c("iat_var")),
-        "Flow IAT Max": d(c("iat_max")),
-        "Flow IAT Min": d(c("iat_min")),
+        "Flow Bytes/s": f"len_sum / {seconds}",
+        "Flow Packets/s": f"len_n / {seconds}",
+        "Fwd Packets/s": f"{n_fwd} / {seconds}",
+        "Bwd Packets/s": f"{n_bwd} / {seconds}",
+        "Min Packet Length": d("len_min"),
+        "Max Packet Length": d("len_max"),
+        "Packet Length Mean": mean("len_n", "len_sum"),
+        "Packet Length Std": std("len_var"),
+        "Packet Length Variance": d("len_var"),
+        "Down/Up Ratio": f"{n_bwd} / greatest({n_fwd}, 1)",
+        "Flow IAT Mean": mean("iat_n", "iat_sum"),
+        "Flow IAT Std": std("iat_var"),
+        "Flow IAT Max": d("iat_max"),
+        "Flow IAT Min": d("iat_min"),
         "Init_Win_bytes_forward": d(fwd("win{}")),
         "Init_Win_bytes_backward": d(bwd("win{}")),
         "act_data_pkt_fwd": d(fwd("data{}")),
@@ -147,7 +121,7 @@ def flow_features(
         v[f"{name} URG Flags"] = d(pick("urg{}"))
         v[f"{name} Header Length"] = d(pick("hdr{}_sum"))
     for flag in ("FIN", "SYN", "RST", "PSH", "ACK", "URG", "CWE", "ECE"):
-        v[f"{flag} Flag Count"] = d(c(flag.lower()))
+        v[f"{flag} Flag Count"] = d(flag.lower())
     # Features defined as another feature.
     for copy, of in (
         ("Average Packet Size", "Packet Length Mean"),
@@ -160,19 +134,33 @@ def flow_features(
         ("Subflow Bwd Bytes", "Total Length of Bwd Packets"),
     ):
         v[copy] = v[of]
-    for kind in ("Active", "Idle"):
-        for stat in ("Mean", "Std", "Max", "Min"):
-            name = f"{kind} {stat}"
-            v[name] = d(c(f"`{name}`")) if real_active_idle else zero
-
-    ids = {
-        "start": F.timestamp_micros("flow_start_us"),
-        "last": F.timestamp_micros("last_us"),
-        "close_reason": close_reason(params, now),
-    }
-    return f.select(
-        *(ids[n].alias(n) if n in ids else n for n in ID_COLUMNS),
-        *(v.get(n, zero).alias(n) for n in FEATURE_NAMES),
+    if real_active_idle:
+        v.update({f"{k} {s}": d(f"`{k} {s}`") for k in ("Active", "Idle") for s in ("Mean", "Std", "Max", "Min")})
+    return {name: v.get(name, "0D") for name in FEATURE_NAMES}
+
+
+def flow_features(
+    flow_packets: DataFrame,
+    params: FlowParams = FlowParams(),
+    now: str | None = None,
+    real_active_idle: bool = False,
+    activity_s: float = 5.0,
+) -> DataFrame:
+    """Key columns, start, last, close reason and the 78 features in model order.
+
+    Bulk and active/idle features are constant 0.0, as the models were trained.
+    ``real_active_idle`` computes the eight active/idle features instead: a gap above
+    ``activity_s`` ends a stretch of activity and is one idle period.
+    """
+    aggs = [F.expr(sql).alias(name) for name, sql in _partials().items()]
+    f = flow_packets.groupBy("flow_id", *KEY, "first_side", "flow_start_us").agg(*aggs)
+    if real_active_idle:
+        f = f.join(_active_idle(flow_packets, activity_s), "flow_id")
+    f = f.withColumns({**flow_key_columns(), "close_reason": close_reason(params, now)})
+    times = {"start": "timestamp_micros(flow_start_us)", "last": "timestamp_micros(last_us)"}
+    return f.selectExpr(
+        *(f"{times.get(n, n)} AS {n}" for n in ID_COLUMNS),
+        *(f"{sql} AS `{name}`" for name, sql in _features(real_active_idle).items()),
     )
 
 
@@ -181,8 +169,6 @@ def _active_idle(flow_packets: DataFrame, activity_s: float) -> DataFrame:
 
     A flow lasts at most the absolute timeout, so its packets are a bounded window.
     """
-    from pyspark.sql import Window
-
     limit = round(activity_s * 1_000_000)
     w = Window.partitionBy("flow_id").orderBy("us", "packet_id")
     gap = F.col("us") - F.col("prev_us")
