@@ -15,11 +15,16 @@ def _open_unit(name: str, value: float) -> float:
 
 @dataclass(frozen=True)
 class FlowParams:
-    """Flow timeouts in seconds; ``slice_s`` bounds how much of one hot key a task sorts."""
+    """Flow timeouts in seconds.
+
+    A key with more than ``hot_rows`` packets is cut into slices of ``slice_s``, which
+    bounds how much of it one task sorts.
+    """
 
     idle_s: float = 120.0
     absolute_s: float = 600.0
     slice_s: float = 900.0
+    hot_rows: int | None = 5_000_000
 
     def __post_init__(self) -> None:
         if min(self.idle_s, self.absolute_s, self.slice_s) <= 0:

@@ -88,6 +88,7 @@ def assemble_flows(packets: DataFrame, params: FlowParams = FlowParams()) -> Dat
         gap_us=_seconds(params.idle_s) + 1,
         limit_us=_seconds(params.absolute_s) + 1,
         slice_us=_seconds(params.slice_s),
+        hot_rows=params.hot_rows,
         closes=F.col("tcp_flags").bitwiseAND(FIN | RST) != 0,
         tag="side",
         tracks={"lo": F.col("side") == 0, "hi": F.col("side") == 1},

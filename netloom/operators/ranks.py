@@ -7,19 +7,21 @@ coarse buckets, then fine buckets inside a coarse one, then values inside a fine
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.sizes import small_table
+
 _FINE = 65_536
 _SPAN = 1_100 * _FINE  # |log2| of a double stays below 1100
 
 
-def magnitude_bucket(x: Column) -> Column:
-    """Monotone BIGINT bucket of a finite double, about 1e-5 wide relative to the value."""
+def magnitude_bucket(x: Column, fine: int = _FINE) -> Column:
+    """Monotone BIGINT bucket of a finite double, ``fine`` buckets per doubling."""
     log = F.greatest(F.least(F.log2(F.abs(x)), F.lit(1_099.0)), F.lit(-1_099.0))
-    size = F.floor(log * _FINE) + _SPAN
+    size = F.floor(log * fine) + 1_100 * fine
     return F.when(x > 0, size).when(x < 0, -size).otherwise(0).cast("long")
 
 
@@ -28,11 +30,6 @@ def score_bucket(x: Column) -> Column:
     return F.when(x < 0.5, magnitude_bucket(x)).otherwise(4 * _SPAN - magnitude_bucket(1 - x))
 
 
-def hash_bucket(x: Column) -> Column:
-    """Monotone bucket of a 64-bit hash."""
-    return F.shiftright(x, 36)
-
-
 def running_sums(
     df: DataFrame, by: Sequence[str], value: str, sums: Sequence[str], fine: Column
 ) -> DataFrame:
@@ -76,6 +73,37 @@ def running_sums(
     return rows.drop("_fine", *(f"_f_{s}" for s in sums))
 
 
+def values_at_ranks(
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    ranks: dict[str, Column],
+    bucket: Callable[[Column], Column],
+    finer: Callable[[Column], Column],
+) -> DataFrame:
+    """The values that hold given 0-based ranks, per group.
+
+    ``ranks`` are expressions over ``total_n``; ``bucket`` and ``finer`` are monotone.  Two
+    passes: a histogram, combined before its shuffle, finds the bucket of each rank; then
+    only the values of those buckets are counted.  Rows: ``by, rank, at, value, before_n,
+    n, total_n``, where ``at`` is the rank itself.
+    """
+    by = list(by)
+    rows = df.withColumn("_b", bucket(F.col(value)))
+    hist = rows.groupBy(*by, "_b").agg(F.count("*").alias("n"))
+    hist = running_sums(hist, by, "_b", ["n"], F.col("_b"))
+    wanted = F.explode(F.array(*(F.struct(F.lit(r).alias("rank"), c.cast("long").alias("at")) for r, c in ranks.items())))
+    hist = hist.select(*by, "_b", "n", F.col("before_n").alias("_base"), "total_n", wanted.alias("w"))
+    hist = hist.select(*by, "_b", "n", "_base", "total_n", "w.*")
+    targets = hist.where((F.col("at") >= F.col("_base")) & (F.col("at") < F.col("_base") + F.col("n"))).drop("n")
+    targets = small_table(targets, 100_000)
+    inside = rows.join(targets.select(*by, "_b").distinct(), [*by, "_b"]).groupBy(*by, "_b", value).agg(F.count("*").alias("n"))
+    ranked = running_sums(inside, [*by, "_b"], value, ["n"], finer(F.col(value))).drop("total_n")
+    ranked = ranked.join(targets, [*by, "_b"]).withColumn("before_n", F.col("_base") + F.col("before_n"))
+    hit = (F.col("at") >= F.col("before_n")) & (F.col("at") < F.col("before_n") + F.col("n"))
+    return ranked.where(hit).select(*by, "rank", "at", value, "before_n", "n", "total_n")
+
+
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], cols: Sequence[str], quantile: float, *, method: str = "linear"
 ) -> DataFrame:
@@ -92,29 +120,23 @@ def exact_quantiles(
         df.select(*by, pairs.alias("p"))
         .select(*by, "p.c", (F.col("p.v") + F.lit(0.0)).alias("v"))
         .where(F.col("v").isNotNull())
-        .groupBy(*by, "c", "v")
-        .agg(F.count("*").alias("n"))
     )
-    ranked = running_sums(values, [*by, "c"], "v", ["n"], magnitude_bucket(F.col("v")))
+    n = F.col("total_n")
     if method == "index":
-        lo = hi = F.least(F.floor(F.lit(quantile) * F.col("total_n")), F.col("total_n") - 1)
-        share = F.lit(0.0)
+        ranks = {"lo": F.least(F.floor(F.lit(quantile) * n), n - 1)}
     else:
-        at = F.lit(quantile) * (F.col("total_n") - 1)
-        lo, hi = F.floor(at), F.ceil(at)
-        share = at - F.floor(at)
-    ranked = ranked.withColumns({"lo": lo, "hi": hi, "share": share})
-    first, end = F.col("before_n"), F.col("before_n") + F.col("n")
-
-    def holds(rank: str) -> Column:
-        return (F.col(rank) >= first) & (F.col(rank) < end)
-
-    picked = ranked.where(holds("lo") | holds("hi")).groupBy(*by, "c").agg(
-        F.max(F.when(holds("lo"), F.col("v"))).alias("a"),
-        F.max(F.when(holds("hi"), F.col("v"))).alias("b"),
-        F.max("share").alias("share"),
+        at = F.lit(quantile) * (n - 1)
+        ranks = {"lo": F.floor(at), "hi": F.ceil(at)}
+    found = values_at_ranks(
+        values, [*by, "c"], "v", ranks, magnitude_bucket, lambda x: magnitude_bucket(x, _FINE << 20)
+    )
+    picked = found.groupBy(*by, "c").agg(
+        F.max(F.when(F.col("rank") == "lo", F.col("v"))).alias("a"),
+        F.max(F.when(F.col("rank") == "hi", F.col("v"))).alias("b"),
+        F.max(F.lit(quantile) * (n - 1) - F.floor(F.lit(quantile) * (n - 1))).alias("share"),
     )
-    picked = picked.withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * F.col("share"))
+    between = F.col("a") + (F.coalesce("b", "a") - F.col("a")) * F.col("share")
+    picked = picked.withColumn("q", between)
     wide = [F.max(F.when(F.col("c") == i, F.col("q"))).alias(c) for i, c in enumerate(cols)]
     # A column without any value has no rows above; the group itself must survive.
     groups = picked.select(*by, "c", "q")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.operators.clean import q
-from netloom.operators.ranks import hash_bucket, running_sums
+from netloom.operators.ranks import values_at_ranks
 from netloom.operators.sizes import small_table
 
 
@@ -22,9 +22,9 @@ def stratified_split(
     """Add ``split`` with exact per-class shares.
 
     Rows of a class are ranked by a seeded hash of ``row_id`` (default: the whole row).
-    Ranking an 83 % class in one task would not scale, so hash values are counted and
-    ranked through buckets.  All a row then needs is the hash at which its class crosses
-    from one split to the next: one small row per class.  Only copies that share exactly
+    Ranking an 83 % class in one task would not scale; all a row needs is the hash at
+    which its class crosses from one split to the next, found through a histogram of
+    hashes: one small row per class.  Only copies that share exactly
     that hash are numbered, and they are numbered per input partition.
     """
     fractions = fractions or {"train": 0.8, "test": 0.2}
@@ -39,27 +39,28 @@ def stratified_split(
             "_part": F.spark_partition_id(),
         }
     )
-    counts = rows.groupBy("_class", "_h").agg(F.count("*").alias("n"))
-    ranked = running_sums(counts, ["_class"], "_h", ["n"], hash_bucket(F.col("_h")))
-    share, cuts = 0.0, {}
+    share, ranks = 0.0, {}
     for name in names[:-1]:
         share += fractions[name]
-        upto = F.round(F.col("total_n") * F.lit(share)).cast("long")
-        here = (F.col("before_n") < upto) & (F.col("before_n") + F.col("n") >= upto)
-        at = F.struct(F.col("_h").alias("h"), (upto - F.col("before_n")).alias("take"), F.col("n"))
-        cuts[name] = F.max(F.when(here, at)).alias(f"_cut_{name}")
-    per_class = small_table(ranked.groupBy("_class").agg(*cuts.values()))
-    rows = rows.join(per_class, "_class")
+        ranks[name] = F.round(F.col("total_n") * F.lit(share)).cast("long") - 1  # last rank inside
+    crossing = values_at_ranks(
+        rows.select("_class", "_h"), ["_class"], "_h", ranks, lambda h: F.shiftright(h, 48), lambda h: F.shiftright(h, 32)
+    )
+    cut = F.struct(F.col("_h").alias("h"), (F.col("at") - F.col("before_n") + 1).alias("take"), F.col("n"))
+    per_class = small_table(
+        crossing.groupBy("_class").agg(*(F.max(F.when(F.col("rank") == r, cut)).alias(f"_cut_{r}") for r in ranks))
+    )
+    rows = rows.join(per_class, "_class", "left")
 
     at_cut = F.lit(False)
-    for name in cuts:
+    for name in ranks:
         cut = F.col(f"_cut_{name}")
         at_cut = at_cut | F.coalesce((F.col("_h") == cut["h"]) & (cut["take"] < cut["n"]), F.lit(False))
     rows = rows.withColumn("_torn", at_cut)
     clear = rows.where(~F.col("_torn")).withColumn("_no", F.lit(0).cast("long"))
     torn = _number_copies(rows.where("_torn"))
     split = F.lit(names[-1])
-    for name in reversed(cuts):
+    for name in reversed(ranks):
         cut = F.col(f"_cut_{name}")
         inside = (F.col("_h") < cut["h"]) | ((F.col("_h") == cut["h"]) & (F.col("_no") < cut["take"]))
         split = F.when(inside, name).otherwise(split)
