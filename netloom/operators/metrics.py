@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.operators.ranks import exact_quantiles
+from netloom.operators.ranks import quantile_rows
 from netloom.schema import INFERENCE_BUCKETS_MS
 
 _HOUR_US = 3_600_000_000
@@ -72,9 +72,9 @@ def latency_summary(
     key = list(by) or ["_k"]
     if not by:
         out = out.withColumn("_k", F.lit(0))
-    for p in percents:
-        part = exact_quantiles(df, by, [col], p / 100, method="index").withColumnRenamed(col, f"p{p}_ms")
-        out = out.join(part if by else part.withColumn("_k", F.lit(0)), key, "left")
+    part = quantile_rows(df, by, [col], [p / 100 for p in percents], method="index").drop("c")
+    part = part.withColumnsRenamed({f"q{i}": f"p{p}_ms" for i, p in enumerate(percents)})
+    out = out.join(part if by else part.withColumn("_k", F.lit(0)), key, "left")
     out = out.withColumn("throughput_per_s", F.try_divide(F.lit(1000.0), F.col("avg_ms")))
     return out if by else out.drop("_k")
 

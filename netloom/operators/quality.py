@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from netloom.operators.clean import clean_label, numeric_columns, q
-from netloom.operators.ranks import exact_quantiles
+from netloom.operators.ranks import quantile_rows
 
 
 def _is_missing(field: T.StructField) -> Column:
@@ -208,8 +208,9 @@ def feature_summary(df: DataFrame, cols: list[str] | None = None, quantiles: tup
         return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
     out = long(df.agg(*aggs), stats, lambda i, c, s: F.col(f"{s}_{i}"))
-    for p in quantiles:
-        name = f"p{round(p * 100)}"
-        part = long(exact_quantiles(df, [], cols, p), (name,), lambda i, c, s: q(c))
-        out = out.join(part, "feature", "left")
+    names = F.array(*(F.lit(c) for c in cols))
+    part = quantile_rows(df, [], cols, quantiles).select(
+        F.get(names, F.col("c")).alias("feature"), *(F.col(f"q{i}").alias(f"p{round(p * 100)}") for i, p in enumerate(quantiles))
+    )
+    out = out.join(part, "feature", "left")
     return out

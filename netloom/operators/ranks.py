@@ -31,16 +31,17 @@ def score_bucket(x: Column) -> Column:
 
 
 def running_sums(
-    df: DataFrame, by: Sequence[str], value: str, sums: Sequence[str], fine: Column
+    df: DataFrame, by: Sequence[str], value: str, sums: Sequence[str], fine: Column | None
 ) -> DataFrame:
     """Add ``before_<s>`` (sum over smaller values) and ``total_<s>`` per ``by`` group.
 
     ``value`` must be unique within ``by``; aggregate first.  Group columns must not be
-    NULL.  The coarse level has at most a few thousand buckets per group.
+    NULL.  The coarse level has at most a few thousand buckets per group.  ``fine=None``
+    says that ``value`` is a fine bucket itself.
     """
     by = list(by)
     coarse = F.col("_fine").bitwiseOR(F.lit(_FINE - 1))
-    rows = df.withColumn("_fine", fine).withColumn("_coarse", coarse)
+    rows = df.withColumn("_fine", F.col(value) if fine is None else fine).withColumn("_coarse", coarse)
 
     def shifted(part: list[str], order: str, cols: dict[str, str], plus: str | None) -> dict[str, Column]:
         w = Window.partitionBy(*(part or [F.lit(0)])).orderBy(order)
@@ -51,7 +52,10 @@ def running_sums(
             out[f"before_{s}"] = inside + F.col(f"{plus}_{s}") if plus else inside
         return out
 
-    fine_sums = rows.groupBy(*by, "_coarse", "_fine").agg(*(F.sum(s).alias(f"_n_{s}") for s in sums))
+    if fine is None:
+        fine_sums = rows.withColumnsRenamed({s: f"_n_{s}" for s in sums})
+    else:
+        fine_sums = rows.groupBy(*by, "_coarse", "_fine").agg(*(F.sum(s).alias(f"_n_{s}") for s in sums))
     coarse_sums = fine_sums.groupBy(*by, "_coarse").agg(*(F.sum(f"_n_{s}").alias(f"_n_{s}") for s in sums))
     everything = Window.partitionBy(*(by or [F.lit(0)]))
     n = {s: f"_n_{s}" for s in sums}
@@ -67,7 +71,10 @@ def running_sums(
         "_fine",
         *(c.alias("_f_" + k[len("before_"):]) for k, c in shifted([*by, "_coarse"], "_fine", n, "_c").items()),
         *(f"total_{s}" for s in sums),
+        *(F.col(f"_n_{s}").alias(s) for s in sums if fine is None),
     )
+    if fine is None:
+        return fine_sums.withColumnsRenamed({"_fine": value, **{f"_f_{s}": f"before_{s}" for s in sums}})
     rows = rows.drop("_coarse").join(fine_sums, [*by, "_fine"])
     rows = rows.withColumns(shifted([*by, "_fine"], value, {s: s for s in sums}, "_f"))
     return rows.drop("_fine", *(f"_f_{s}" for s in sums))
@@ -91,7 +98,7 @@ def values_at_ranks(
     by = list(by)
     rows = df.withColumn("_b", bucket(F.col(value)))
     hist = rows.groupBy(*by, "_b").agg(F.count("*").alias("n"))
-    hist = running_sums(hist, by, "_b", ["n"], F.col("_b"))
+    hist = running_sums(hist, by, "_b", ["n"], None)
     wanted = F.explode(F.array(*(F.struct(F.lit(r).alias("rank"), c.cast("long").alias("at")) for r, c in ranks.items())))
     hist = hist.select(*by, "_b", "n", F.col("before_n").alias("_base"), "total_n", wanted.alias("w"))
     hist = hist.select(*by, "_b", "n", "_base", "total_n", "w.*")
@@ -112,6 +119,21 @@ def exact_quantiles(
     NULL is skipped; NaN and infinities must be NULL already.  ``method`` is ``linear``
     (interpolated, so 0.5 is the usual median) or ``index`` (``sorted[int(q * n)]``).
     """
+    long = quantile_rows(df, by, cols, [quantile], method=method)
+    wide = [F.max(F.when(F.col("c") == i, F.col("q0"))).alias(c) for i, c in enumerate(cols)]
+    # A column without any value has no rows above; the group itself must survive.
+    groups = long.select(*by, "c", "q0")
+    if by:
+        groups = groups.unionByName(
+            df.select(*by).distinct().withColumns({"c": F.lit(-1), "q0": F.lit(None).cast("double")})
+        )
+    return groups.groupBy(*by).agg(*wide)
+
+
+def quantile_rows(
+    df: DataFrame, by: Sequence[str], cols: Sequence[str], quantiles: Sequence[float], *, method: str = "linear"
+) -> DataFrame:
+    """Long form: ``by, c`` (index into ``cols``) and ``q0, q1, ...``, all in one pair of passes."""
     by = list(by)
     pairs = F.explode(
         F.array(*(F.struct(F.lit(i).alias("c"), F.col(f"`{c}`").cast("double").alias("v")) for i, c in enumerate(cols)))
@@ -121,27 +143,17 @@ def exact_quantiles(
         .select(*by, "p.c", (F.col("p.v") + F.lit(0.0)).alias("v"))
         .where(F.col("v").isNotNull())
     )
-    n = F.col("total_n")
-    if method == "index":
-        ranks = {"lo": F.least(F.floor(F.lit(quantile) * n), n - 1)}
-    else:
+    n, ranks, out = F.col("total_n"), {}, {}
+    for i, quantile in enumerate(quantiles):
         at = F.lit(quantile) * (n - 1)
-        ranks = {"lo": F.floor(at), "hi": F.ceil(at)}
+        if method == "index":
+            ranks[f"lo{i}"] = F.least(F.floor(F.lit(quantile) * n), n - 1)
+        else:
+            ranks[f"lo{i}"], ranks[f"hi{i}"] = F.floor(at), F.ceil(at)
+        lo, hi = (F.max(F.when(F.col("rank") == f"{end}{i}", F.col("v"))) for end in ("lo", "hi"))
+        share = F.max(at - F.floor(at))
+        out[f"q{i}"] = lo if method == "index" else lo + (hi - lo) * share
     found = values_at_ranks(
         values, [*by, "c"], "v", ranks, magnitude_bucket, lambda x: magnitude_bucket(x, _FINE << 20)
     )
-    picked = found.groupBy(*by, "c").agg(
-        F.max(F.when(F.col("rank") == "lo", F.col("v"))).alias("a"),
-        F.max(F.when(F.col("rank") == "hi", F.col("v"))).alias("b"),
-        F.max(F.lit(quantile) * (n - 1) - F.floor(F.lit(quantile) * (n - 1))).alias("share"),
-    )
-    between = F.col("a") + (F.coalesce("b", "a") - F.col("a")) * F.col("share")
-    picked = picked.withColumn("q", between)
-    wide = [F.max(F.when(F.col("c") == i, F.col("q"))).alias(c) for i, c in enumerate(cols)]
-    # A column without any value has no rows above; the group itself must survive.
-    groups = picked.select(*by, "c", "q")
-    if by:
-        groups = groups.unionByName(
-            df.select(*by).distinct().withColumns({"c": F.lit(-1), "q": F.lit(None).cast("double")})
-        )
-    return groups.groupBy(*by).agg(*wide)
+    return found.groupBy(*by, "c").agg(*(c.alias(name) for name, c in out.items()))
