@@ -19,6 +19,7 @@ from netloom.operators.features import flow_features
 from netloom.operators.flows import (
     active_flows, assemble_flows, canonical_key, filter_packets, flow_table, sessionize_idle,
 )
+from netloom.operators.stages import settle
 from netloom.plans import views
 from netloom.plans.detection import detect
 from netloom.schema import BASE_SEVERITY, FEATURE_NAMES
@@ -115,7 +116,8 @@ def packet_filter(spark, sf):
 @query(f"""WITH {PACKETS} SELECT packet_id, epoch_us(ts) AS us, src_ip, dst_ip, src_port, dst_port, protocol,
  greatest(length, 14 + header_len) AS length, header_len, tcp_flags, window_size FROM packets""")
 def frame_decode(spark, sf):
-    df = decode_frames(views.frames(spark, sf))
+    # Written first, as captured frames would be: the decoder then works on a plain column.
+    df = decode_frames(settle(views.frames(spark, sf), "frames"))
     return df.select("packet_id", us("ts").alias("us"), *[c for c in df.columns if c not in ("packet_id", "ts")])
 
 
