@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import exact_dedup, mixing, simhash_dedup, url_filter
+from netloom.llm import (
+    decontaminate,
+    exact_dedup,
+    licenses,
+    mixing,
+    secret_scan,
+    simhash_dedup,
+    suffix_dedup,
+    token_counts,
+    toxicity,
+    url_filter,
+)
 from netloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +30,18 @@ def _over(name: str, query: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_mix_sources": _over("documents", mixing.query),
     "op2_simhash_components": _over("documents", simhash_dedup.query),
+    "op3_decontaminate": lambda spark, sf_dir: decontaminate.contaminated(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    ),
     "op4_exact_dedup": _over("documents", exact_dedup.query),
+    "op5_toxicity": lambda spark, sf_dir: toxicity.query(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    ),
+    "op6_license_scan": _over("documents", licenses.query),
+    "op7_suffix_dedup": _over("documents", suffix_dedup.query),
     "op8_url_filter": _over("pages", url_filter.query),
+    "op9_token_counts": _over("documents", token_counts.query),
+    "op10_secret_scan": _over("documents", secret_scan.query),
 }
 
 SQL: dict[str, str] = {

@@ -22,8 +22,6 @@ def test_exact_groups(docs_of):
         ids = by_hash[r.text_sha256]
         known = [i for i in ids if i is not None]
         assert r.group_size == len(ids) and r.keep_id == min(known, default=None)
-    for ids in by_hash.values():
-        pass
     assert sum(r.kept for r in got) == len(groups)
     assert all(r.doc_id == r.keep_id for r in got if r.kept)
 
