@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from netloom.config import AlertParams
 from netloom.functions.severity import severity_rank
-from netloom.operators.anchors import anchor_runs
+from netloom.operators.anchors import HOT_ROWS, anchor_runs
 from netloom.operators.stages import settle
 from netloom.schema import SEVERITY_RANK
 
@@ -52,6 +52,7 @@ def dedup_alerts(
     ts: str = "ts",
     rid: str = "flow_id",
     slice_s: float | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Anchored, non-overlapping dedup windows per key.
 
@@ -65,7 +66,7 @@ def dedup_alerts(
     names = [f"_key{i}" for i in range(len(key))]
     rows = df.withColumns({n: F.coalesce(F.col(k).cast("string"), F.lit("")) for n, k in zip(names, key)})
     rows = rows.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    runs = anchor_runs(rows, names, "_us", rid, gap_us=window_us, limit_us=window_us, slice_us=slice_us)
+    runs = anchor_runs(rows, names, "_us", rid, gap_us=window_us, limit_us=window_us, slice_us=slice_us, hot_rows=hot_rows)
     return runs.select(
         *(F.col(f"`{c}`") for c in df.columns),
         F.col("is_anchor").alias("is_first"),

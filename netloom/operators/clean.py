@@ -61,11 +61,24 @@ def decode_labels(df: DataFrame, labels: Sequence[str], col: str = "label_enc",
 
 
 def downcast(df: DataFrame) -> DataFrame:
-    """64-bit numbers to 32-bit ones, for storage."""
-    narrow = {T.DoubleType(): "float", T.LongType(): "int"}
-    return df.select(
-        *(q(f.name).cast(narrow[f.dataType]).alias(f.name) if f.dataType in narrow else q(f.name) for f in df.schema)
-    )
+    """64-bit numbers to 32-bit ones, for storage, where every value fits.
+
+    One aggregation finds the range of each column; a column with a value beyond it stays.
+    """
+    limits = {T.DoubleType(): ("float", 3.4028234663852886e38), T.LongType(): ("int", 2**31 - 1)}
+    wide = [f for f in df.schema if f.dataType in limits]
+    if not wide:
+        return df
+
+    def fits(f: T.StructField) -> Column:
+        at_most = F.abs(q(f.name).cast("double")) <= float(limits[f.dataType][1])
+        if isinstance(f.dataType, T.DoubleType):
+            at_most |= F.isnan(q(f.name)) | (F.abs(q(f.name)) == float("inf"))
+        return F.coalesce(F.bool_and(at_most), F.lit(True))
+
+    found = df.agg(*(fits(f).alias(str(i)) for i, f in enumerate(wide))).first()
+    narrow = {f.name: limits[f.dataType][0] for i, f in enumerate(wide) if found[i]}
+    return df.select(*(q(c).cast(narrow[c]).alias(c) if c in narrow else q(c) for c in df.columns))
 
 
 def fit_medians(df: DataFrame, cols: Sequence[str], by: str | None = "source_file", exact: bool = True) -> DataFrame:

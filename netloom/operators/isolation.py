@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _NODES = "tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
@@ -79,18 +79,15 @@ class IsolationForest(Estimator, _ForestParams):
             raise ValueError("no rows to fit on")
         psi = min(want, n)
         depth = max(1, math.ceil(math.log2(max(psi, 2))))
-        draw = F.rand(seed)
-        if n > 4 * trees * want:
-            # Thin first, then deal the kept rows to the trees; expected surplus is a half.
-            keep = 1.5 * trees * want / n
-            dealt = rows.withColumn("_u", draw).where(F.col("_u") < keep)
-            dealt = dealt.withColumn("tree", F.floor(F.rand(seed + 1) * trees).cast("int"))
-        else:
-            # Few rows: every tree chooses among all of them.
-            ids = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-            dealt = rows.withColumn("tree", ids).withColumn("_u", draw)
-        w = Window.partitionBy("tree").orderBy("_u")
-        sample = dealt.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= psi).select("tree", "x")
+        # One rule for every size: a hash of (row, tree) decides, so the forest depends neither on
+        # partitioning nor on order.  Equal rows are counted first and a tree takes their
+        # share of its sample; sample sizes vary by a few rows around the mean.
+        drawn = rows.groupBy("x").agg(F.count("*").alias("copies"))
+        unit = F.pmod(F.xxhash64("x", "tree", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+        ids = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+        dealt = drawn.select("x", "copies", ids.alias("tree"))
+        dealt = dealt.select("tree", "x", F.floor(F.col("copies") * F.lit(psi / n) + unit).cast("int").alias("take")).where("take > 0")
+        sample = dealt.select("tree", F.explode(F.array_repeat("x", F.col("take"))).alias("x"))
 
         def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             return _grow(int(key[0]), np.stack(pdf["x"].to_numpy()), depth, seed)

@@ -202,82 +202,23 @@ def absence(
     """Periods in which a source was silent for more than ``seconds``.
 
     With ``now`` (a timestamp literal) silence after the last heartbeat counts too.
-    Silences longer than an hour are found between hours, shorter ones inside them.
+    A longer silence never lies inside a bucket of ``seconds``, so the first and last
+    heartbeat per bucket are enough; heartbeats themselves are not sorted.
     """
+    limit = round(seconds * 1_000_000)
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    rows = heartbeats.select(*source, us.alias("us")).withColumn("_hour", F.floor(F.col("us") / _HOUR_US))
-    inner = Window.partitionBy(*source, "_hour").orderBy("us")
-    inside = rows.withColumn("from_us", F.lag("us").over(inner)).where(F.col("from_us").isNotNull())
-    ends = rows.groupBy(*source, "_hour").agg(F.min("us").alias("first"), F.max("us").alias("last"))
-    across = Window.partitionBy(*source).orderBy("_hour")
-    between = ends.select(*source, F.lag("last").over(across).alias("from_us"), F.col("first").alias("us"))
-    gaps = inside.select(*source, "from_us", "us").unionByName(between.where(F.col("from_us").isNotNull()))
+    rows = heartbeats.select(*source, us.alias("us")).withColumn("_bucket", F.floor(F.col("us") / limit))
+    ends = rows.groupBy(*source, "_bucket").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    across = Window.partitionBy(*source).orderBy("_bucket")
+    gaps = ends.select(*source, F.lag("last").over(across).alias("from_us"), F.col("first").alias("us"))
+    gaps = gaps.where(F.col("from_us").isNotNull())
     if now is not None:
         clock = F.unix_micros(F.lit(now).cast("timestamp"))
         final = ends.groupBy(*source).agg(F.max("last").alias("from_us"))
         gaps = gaps.unionByName(final.select(*source, "from_us", clock.alias("us")))
-    limit = round(seconds * 1_000_000)
     return gaps.where(F.col("us") - F.col("from_us") > limit).select(
         *source,
         F.timestamp_micros("from_us").alias("silent_from"),
         F.timestamp_micros(F.col("from_us") + limit).alias("fired"),
         F.timestamp_micros("us").alias("silent_until"),
     )
-
-
-def group_notifications(
-    intervals: DataFrame,
-    by: Sequence[str] = ("alertname", "severity"),
-    wait_s: float = 10.0,
-    interval_s: float = 60.0,
-    repeat_s: float = 3600.0,
-    resolve_s: float = 300.0,
-) -> DataFrame:
-    """Notices a grouped notifier sends for firing intervals (``by`` columns, ``started, ended``).
-
-    Overlapping intervals of a group are one episode.  The first notice comes ``wait_s``
-    after the episode starts; changes are gathered and sent on a grid of ``interval_s``;
-    an unchanged firing group is repeated every ``repeat_s``; an alert counts as resolved
-    ``resolve_s`` after its last evaluation.  An episode that is over before the first
-    notice sends none.  Firing intervals are few and bounded by time, not by traffic.
-    """
-    key = list(by)
-
-    def micros(s: float) -> int:
-        return round(s * 1_000_000)
-
-    rows = intervals.select(
-        *key, F.unix_micros("started").alias("a"), (F.unix_micros("ended") + micros(resolve_s)).alias("b")
-    )
-    order = Window.partitionBy(*key).orderBy("a", "b")
-    reach = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_new", F.coalesce(F.col("a") > reach, F.lit(True)))
-    rows = rows.withColumn("episode", F.count(F.when(F.col("_new"), 1)).over(order))
-    part = Window.partitionBy(*key, "episode")
-    rows = rows.withColumn("first", F.min("a").over(part) + micros(wait_s))
-
-    def tick(at: Column) -> Column:
-        late = F.greatest(at - F.col("first"), F.lit(0))
-        return F.col("first") + F.ceil(late / micros(interval_s)) * micros(interval_s)
-
-    change = F.explode(
-        F.array(
-            F.struct(tick(F.col("a")).alias("at"), F.lit(1).alias("step")),
-            F.struct(tick(F.col("b")).alias("at"), F.lit(-1).alias("step")),
-        )
-    )
-    ticks = rows.select(*key, "episode", change.alias("c")).groupBy(*key, "episode", "c.at").agg(F.sum("c.step").alias("step"))
-    by_tick = Window.partitionBy(*key, "episode").orderBy("at")
-    ticks = ticks.withColumns({"firing": F.sum("step").over(by_tick), "next": F.lead("at").over(by_tick)})
-    ticks = ticks.withColumn("_prior", F.max("firing").over(by_tick.rowsBetween(Window.unboundedPreceding, -1)))
-    active = F.col("firing") > 0
-    ticks = ticks.where(active | (F.coalesce("_prior", F.lit(0)) > 0))
-    every = micros(interval_s) * max(1, -(-micros(repeat_s) // micros(interval_s)))
-    times = F.when(active, F.sequence("at", F.greatest(F.col("next") - 1, F.col("at")), F.lit(every))).otherwise(F.array("at"))
-    return ticks.select(*key, F.explode(times).alias("us"), "at", "firing").select(
-        *key,
-        F.timestamp_micros("us").alias("sent"),
-        F.when(F.col("firing") > 0, "firing").otherwise("resolved").alias("status"),
-        "firing",
-        (F.col("us") > F.col("at")).alias("repeat"),
-    )

@@ -124,7 +124,7 @@ def early_exit(
     rest = scored.where(~known).withColumns(
         {class_name: F.lit(None).cast("string"), class_confidence: F.lit(None).cast("double")}
     )
-    return classify(scored.where(known)).select(rest.columns).unionByName(rest)
+    return classify(scored.where(known)).select(*(F.col(f"`{c}`") for c in rest.columns)).unionByName(rest)
 
 
 def model_info(spark, params: ScoreParams, feature_count: int, medians: int) -> DataFrame:

@@ -25,7 +25,7 @@ def stratified_split(
     Ranking an 83 % class in one task would not scale; all a row needs is the hash at
     which its class crosses from one split to the next, found through a histogram of
     hashes: one small row per class.  Only copies that share exactly
-    that hash are numbered, and they are numbered per input partition.
+    that hash are numbered, by content.
     """
     fractions = fractions or {"train": 0.8, "test": 0.2}
     if abs(sum(fractions.values()) - 1.0) > 1e-9:
@@ -36,7 +36,6 @@ def stratified_split(
         {
             "_class": F.coalesce(q(label).cast("string"), F.lit("")),
             "_h": F.xxhash64(*ident, F.lit(seed)),
-            "_part": F.spark_partition_id(),
         }
     )
     share, ranks = 0.0, {}
@@ -46,36 +45,48 @@ def stratified_split(
     crossing = values_at_ranks(
         rows.select("_class", "_h"), ["_class"], "_h", ranks, lambda h: F.shiftright(h, 48), lambda h: F.shiftright(h, 32)
     )
-    cut = F.struct(F.col("_h").alias("h"), (F.col("at") - F.col("before_n") + 1).alias("take"), F.col("n"))
+    # One crossing per class and rank, so each value of its row is its own maximum.
+    cut = {"h": F.col("_h"), "take": F.col("at") - F.col("before_n") + 1, "n": F.col("n")}
     per_class = small_table(
-        crossing.groupBy("_class").agg(*(F.max(F.when(F.col("rank") == r, cut)).alias(f"_cut_{r}") for r in ranks))
+        crossing.groupBy("_class").agg(
+            *(F.max(F.when(F.col("rank") == r, c)).alias(f"_cut_{r}_{k}") for r in ranks for k, c in cut.items())
+        )
     )
     rows = rows.join(per_class, "_class", "left")
 
     at_cut = F.lit(False)
     for name in ranks:
-        cut = F.col(f"_cut_{name}")
-        at_cut = at_cut | F.coalesce((F.col("_h") == cut["h"]) & (cut["take"] < cut["n"]), F.lit(False))
+        at, take, n = (F.col(f"_cut_{name}_{k}") for k in ("h", "take", "n"))
+        at_cut = at_cut | F.coalesce((F.col("_h") == at) & (take < n), F.lit(False))
     rows = rows.withColumn("_torn", at_cut)
     clear = rows.where(~F.col("_torn")).withColumn("_no", F.lit(0).cast("long"))
     torn = _number_copies(rows.where("_torn"))
     split = F.lit(names[-1])
     for name in reversed(ranks):
-        cut = F.col(f"_cut_{name}")
-        inside = (F.col("_h") < cut["h"]) | ((F.col("_h") == cut["h"]) & (F.col("_no") < cut["take"]))
+        at, take = F.col(f"_cut_{name}_h"), F.col(f"_cut_{name}_take")
+        inside = (F.col("_h") < at) | ((F.col("_h") == at) & (F.col("_no") < take))
         split = F.when(inside, name).otherwise(split)
     out = clear.unionByName(torn).withColumn("split", split)
     return out.select(*(q(c) for c in df.columns), "split")
 
 
 def _number_copies(rows: DataFrame) -> DataFrame:
-    """Number rows with equal hash from 0, each input partition on its own."""
-    group = ["_class", "_h", "_part"]
-    before = Window.partitionBy("_class", "_h").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    per_part = rows.groupBy(*group).agg(F.count("*").alias("_k"))
-    per_part = per_part.select(*group, F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_from"))
-    within = F.row_number().over(Window.partitionBy(*group).orderBy(F.lit(0)))
-    return rows.join(per_part, group).withColumn("_no", F.col("_from") + within - 1).drop("_from")
+    """Number the rows of one class and hash from 0.
+
+    Equal rows are counted first (on the map side) and the count is unfolded again, so neither
+    the order nor the partitioning of the input matters, and a row that fills a class is one
+    row here.  Rows that share the hash without being equal are ordered by their content.
+    """
+    w = Window.partitionBy("_class", "_h").orderBy("_all").rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.groupBy(*(q(c) for c in rows.columns)).agg(F.count("*").alias("_k"))
+    plain = [q(c) for c in rows.columns if not c.startswith("_cut_")]
+    counted = counted.withColumn("_all", F.xxhash64(*plain, F.lit(1)))
+    counted = counted.withColumn("_from", F.coalesce(F.sum("_k").over(w), F.lit(0)))
+    step = 100_000
+    outer = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1, F.lit(step).cast("long"))).alias("_at")
+    parts = counted.select(*(q(c) for c in rows.columns), "_k", "_from", outer)
+    inner = F.explode(F.sequence(F.col("_from") + F.col("_at"), F.col("_from") + F.least(F.col("_k"), F.col("_at") + step) - 1))
+    return parts.select(*(q(c) for c in rows.columns), inner.alias("_no"))
 
 
 def class_weights(df: DataFrame, label: str = "label") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -133,15 +134,43 @@ def idle_sessions(spark, sf):
     )
 
 
-@query(f"WITH RECURSIVE {FLOW_CTE} SELECT * FROM flows")
-def flow_assembly(spark, sf):
-    flows = flow_table(assemble_flows(views.packets(spark, sf), FLOWS), FLOWS)
+def _flow_rows(flows: DataFrame) -> DataFrame:
     return flows.select(
         "flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", us("start").alias("start_us"),
         us("last").alias("last_us"), "packets", "bytes", "close_reason",
     )
 
 
+@query(f"WITH RECURSIVE {FLOW_CTE} SELECT * FROM flows")
+def flow_assembly(spark, sf):
+    return _flow_rows(flow_table(assemble_flows(views.packets(spark, sf), FLOWS), FLOWS))
+
+
+SLICED = replace(FLOWS, hot_rows=None)
+
+
+@query(SQL["flow_assembly"])
+def flow_assembly_sliced(spark, sf):
+    """The same flows by time slices, the way of keys that are too large for a task."""
+    return _flow_rows(flow_table(assemble_flows(views.packets(spark, sf), SLICED), SLICED))
+
+
+# A third of the packets on one pair of endpoints.
+_HOT = {"src_ip": ("'10.9.9.1'", "'10.9.9.2'"), "dst_ip": ("'10.9.9.2'", "'10.9.9.1'"), "src_port": ("1000", "80"),
+        "dst_port": ("80", "1000"), "protocol": ("6", "6")}
+HOT_SQL = "SELECT packet_id, ts, " + ", ".join(
+    f"CASE WHEN packet_id % 6 = 0 THEN {a} WHEN packet_id % 6 = 3 THEN {b} ELSE {c} END AS {c}" for c, (a, b) in _HOT.items()
+) + f", length, header_len, tcp_flags, window_size FROM ({views.PACKETS_SQL}) p"
+
+
+@query(f"WITH RECURSIVE {FLOW_CTE.replace(views.PACKETS_SQL, HOT_SQL)} SELECT * FROM flows")
+def hot_flow_assembly(spark, sf):
+    """One key holds a third of the packets and is cut by time."""
+    packets = spark.sql(HOT_SQL.replace("FROM events", "FROM {src}"), src=views.table(spark, sf, "events"))
+    packets = packets.withColumn("ts", F.col("ts").cast("timestamp"))
+    return _flow_rows(flow_table(assemble_flows(packets, SLICED), SLICED))
+
+
 @query(f"WITH RECURSIVE {FLOW_CTE} SELECT packet_id, flow_id, CASE WHEN fwd THEN 'fwd' ELSE 'bwd' END AS direction FROM fp")
 def packet_direction(spark, sf):
     return assemble_flows(views.packets(spark, sf), FLOWS).select("packet_id", "flow_id", "direction")
@@ -220,6 +249,12 @@ def flow_statistics(spark, sf):
     return f.select("flow_id", *(F.expr(_significant(n, f"`{n}`")).alias(n) for n in FEATURE_NAMES))
 
 
+@query(SQL["flow_statistics"])
+def flow_statistics_sliced(spark, sf):
+    f = flow_features(assemble_flows(views.packets(spark, sf), SLICED), SLICED)
+    return f.select("flow_id", *(F.expr(_significant(n, f"`{n}`")).alias(n) for n in FEATURE_NAMES))
+
+
 # -- cleaning and quality ------------------------------------------------------------------
 
 FILES = f"files AS ({views.FILES_SQL})"
@@ -558,6 +593,13 @@ def deduped_alerts(spark, sf):
     return _passed(spark, sf).select("flow_id", "is_first", us("anchor_ts").alias("anchor_us"), "anchor_id")
 
 
+@query(SQL["deduped_alerts"])
+def deduped_alerts_sliced(spark, sf):
+    ruled = alerts.alert_rules(_scored(spark, sf), GATES).where(F.col("suppress_reason").isNull())
+    found = alerts.dedup_alerts(ruled, DEDUP_S, slice_s=7 * DEDUP_S, hot_rows=None)
+    return found.select("flow_id", "is_first", us("anchor_ts").alias("anchor_us"), "anchor_id")
+
+
 @query(f"""WITH RECURSIVE {DEDUP} SELECT src_ip, dst_ip, attack_type, min(us) AS first_us, max(us) AS last_us, count(*) AS count
 FROM deduped GROUP BY src_ip, dst_ip, attack_type, anchor_id""")
 def dedup_windows(spark, sf):
@@ -663,11 +705,24 @@ def current_gauges(spark, sf):
     return traffic.latest_gauges(_scored(spark, sf))
 
 
-@query()
+# The rule scores of flows in SQL; default gates let every attack through.
+DETECT_IN = f"""{FLOW_CTE},
+feats AS (SELECT flow_id, least(log10(1 + count(*) / greatest((max(us) - any_value(start_us)) / CAST(1000000 AS DOUBLE), CAST(1e-9 AS DOUBLE))) / 11, 1) AS rf,
+  least(CAST(sum(length) AS DOUBLE) / count(*) / 400, 1) AS xgb, least(coalesce(stddev_samp(length), 0) / 300, 1) AS iso,
+  CASE WHEN count(CASE WHEN (tcp_flags & 2) <> 0 THEN 1 END) > 0 THEN 'PortScan'
+   WHEN count(CASE WHEN (tcp_flags & 1) <> 0 THEN 1 END) > 0 THEN 'DDoS' ELSE 'Bot' END AS class_name
+  FROM fp GROUP BY flow_id),
+scored_in AS (SELECT f.*, greatest(rf, xgb) AS class_confidence, make_timestamp(last_us) AS ts, CAST(0 AS DOUBLE) AS latency_ms,
+  src_ip, dst_ip, src_port, dst_port, protocol FROM feats f JOIN flows USING (flow_id))"""
+_GATED = f"{SCORED}, ruled AS (SELECT *, CASE WHEN NOT is_attack THEN 'BENIGN flow' END AS suppress_reason FROM scored)"
+DETECTED = DECIDED.replace(RULED, _GATED).replace(f"scored_in AS ({views.SCORED_SQL})", DETECT_IN)
+
+
+@query(f"WITH RECURSIVE {DETECTED} SELECT outcome, attack_type, severity, count(*) AS flows FROM decided GROUP BY ALL")
 def detection(spark, sf):
     """The whole batch plan, packets to decisions."""
     params = DetectionParams(flows=FLOWS, alerts=AlertParams(dedup_window_s=DEDUP_S))
-    d = detect(views.packets(spark, sf), params)
+    d = detect(views.packets(spark, sf), views.rule_scores, params)
     return d.groupBy("outcome", "attack_type", "severity").agg(F.count("*").alias("flows"))
 
 
@@ -871,15 +926,13 @@ def overall_latency(spark, sf):
     return r6(metrics.weighted_latency(s, "event_type", {"view": 0.835, "error": 0.165}), "avg_ms", "throughput_per_s")
 
 
-@query("""WITH s AS (SELECT event_type AS name, ts, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) % 100 AS value FROM events),
+@query("""WITH s AS (SELECT event_type AS name, ts, epoch_us(ts) AS us, event_id % 100 AS value FROM events),
 l AS (SELECT *, lag(us) OVER w AS pu, lag(value) OVER w AS pv FROM s WINDOW w AS (PARTITION BY name ORDER BY us))
 SELECT name, us, value, round(greatest((value - pv) / greatest((us - pu) / CAST(1000000 AS DOUBLE), 0.001), 0), 6) AS rate FROM l WHERE pu IS NOT NULL""")
 def counter_rates(spark, sf):
-    from pyspark.sql import Window
-
-    # A counter per type that resets after 99; its numbering only prepares the input.
-    no = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    samples = _latencies(spark, sf).select(F.col("event_type").alias("name"), "ts", (no % 100).cast("long").alias("value"))
+    # A stored counter that resets after 99.
+    events = views.table(spark, sf, "events")
+    samples = events.select(F.col("event_type").alias("name"), F.col("ts").cast("timestamp"), (F.col("event_id") % 100).alias("value"))
     return r6(metrics.counter_rate(samples), "rate").select("name", us("ts").alias("us"), "value", "rate")
 
 
@@ -933,12 +986,6 @@ def silent_sources(spark, sf):
     return gaps.select("source", us("silent_from").alias("from_us"), us("fired").alias("fired_us"), us("silent_until").alias("until_us"))
 
 
-@query()
-def grouped_notices(spark, sf):
-    fired = _high_ratio(spark, sf).withColumns({"alertname": F.lit("HighAttackRateDetected"), "severity": F.lit("warning")})
-    return metrics.group_notifications(fired).select("alertname", "severity", us("sent").alias("sent_us"), "status", "firing", "repeat")
-
-
 # -- streams and models ------------------------------------------------------------------------
 
 
@@ -965,6 +1012,136 @@ def streamed_flows(spark, sf):
     )
 
 
+# -- sources and sinks: written to the shared folder, read back ----------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    from netloom.operators.stages import shared_folder
+
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("""SELECT l_returnflag AS label, count(*) AS rows, count(CASE WHEN l_linenumber % 3 <> 0 THEN 1 END) AS qty_n,
+ round(sum(CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END), 4) AS qty_sum, count(CASE WHEN l_linenumber % 4 <> 0 THEN 1 END) AS port_n,
+ CAST(sum(CASE WHEN l_linenumber % 4 <> 0 THEN l_linenumber END) AS BIGINT) AS port_sum FROM lineitem GROUP BY 1""")
+def csv_files(spark, sf):
+    """Files with untrimmed and swapped headers, infinite and oversized numbers."""
+    from pyspark.sql import types as T
+
+    from netloom.sources.tables import read_flow_csvs
+
+    li, folder = views.table(spark, sf, "lineitem"), _folder(spark, "csv")
+    qty = F.when(F.col("l_linenumber") % 3 == 0, F.lit("Infinity")).otherwise(F.col("l_quantity").cast("string"))
+    port = F.when(F.col("l_linenumber") % 4 == 0, F.when(F.col("l_linenumber") == 4, "NaN").otherwise("9e99")).otherwise(F.col("l_linenumber").cast("string"))
+    rows = li.select(qty.alias(" Quantity "), port.alias("Port"), F.col("l_returnflag").alias(" Label"), "l_orderkey")
+    half = F.col("l_orderkey") % 2 == 0
+    rows.where(half).drop("l_orderkey").write.option("header", True).csv(f"{folder}/a")
+    rows.where(~half).drop("l_orderkey").select(" Label", "Port", " Quantity ").write.option("header", True).csv(f"{folder}/b")
+    schema = T.StructType().add("Port", T.IntegerType()).add("Quantity", T.DoubleType()).add("Label", T.StringType())
+    back = read_flow_csvs(spark, f"{folder}/*", schema)
+    return back.groupBy(F.col("Label").alias("label")).agg(
+        F.count("*").alias("rows"), F.count("Quantity").alias("qty_n"), F.round(F.sum("Quantity"), 4).alias("qty_sum"),
+        F.count("Port").alias("port_n"), F.sum("Port").alias("port_sum"),
+    )
+
+
+@query("SELECT l_linestatus AS source_file, count(*) AS rows FROM lineitem GROUP BY 1")
+def clean_files(spark, sf):
+    from netloom.sources.tables import write_clean
+
+    folder = _folder(spark, "clean")
+    write_clean(_files(spark, sf), folder)
+    return spark.read.parquet(folder).groupBy("source_file").agg(F.count("*").alias("rows"))
+
+
+@query("""WITH c AS (SELECT l_returnflag AS label, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT label, n - CAST(round(n * CAST(0.8 AS DOUBLE)) AS BIGINT) AS n FROM c""")
+def split_tables(spark, sf):
+    """One split read back from the partitioned table."""
+    from netloom.sources.tables import read_split, write_split
+
+    folder = _folder(spark, "split")
+    write_split(splits.stratified_split(views.labelled_rows(spark, sf), "label", {"train": 0.8, "test": 0.2}), folder)
+    return read_split(spark, folder, "test", ["label"]).groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT l_returnflag AS label, count(*) AS rows FROM lineitem GROUP BY 1")
+def report_files(spark, sf):
+    from netloom.sources.tables import write_report
+
+    folder = _folder(spark, "report")
+    counts = views.labelled_rows(spark, sf).groupBy("label").agg(F.count("*").alias("rows"))
+    write_report(counts, f"{folder}/csv", "csv")
+    write_report(counts, f"{folder}/json")
+    back = spark.read.schema(counts.schema).option("header", True).csv(f"{folder}/csv")
+    return back.join(spark.read.schema(counts.schema).json(f"{folder}/json"), ["label", "rows"])
+
+
+@query(f"""WITH RECURSIVE {RAISED} SELECT CAST(us // 86400000000 AS BIGINT) AS day, attack_type, severity, count(*) AS alerts,
+ round(sum(meta_probability), 4) AS probability FROM raised GROUP BY ALL""")
+def alert_table(spark, sf):
+    """Stored twice as one batch, as a replay would, and read back."""
+    from netloom.sources.alerts import append_alerts, read_alerts, to_alert_rows
+
+    folder, rows = _folder(spark, "alerts"), to_alert_rows(_alerts(spark, sf))
+    append_alerts(rows, folder, 7)
+    append_alerts(rows, folder, 7)
+    day = F.datediff("date", F.lit("1970-01-01").cast("date")).cast("long")
+    return read_alerts(spark, folder).groupBy(day.alias("day"), "attack_type", "severity").agg(
+        F.count("*").alias("alerts"), F.round(F.sum("meta_probability"), 4).alias("probability")
+    )
+
+
+@query(f"WITH {SCORED} SELECT attack_type, count(*) AS flows FROM scored GROUP BY 1")
+def early_exit_scores(spark, sf):
+    """The class model sees known attacks only; the verdict is that of all rows scored."""
+    base = views.scored_inputs(spark, sf)
+    judged = scoring.score_stacking(base).withColumn("_unknown", F.col("attack_type") == "UNKNOWN_ATTACK")
+    narrow = judged.select("flow_id", "is_attack", "_unknown")
+    names = base.select(F.col("flow_id").alias("of"), "class_name", "class_confidence")
+    classified = scoring.early_exit(narrow, lambda known: known.join(names, F.col("flow_id") == F.col("of")).drop("of"))
+    kind = F.when(~F.col("is_attack"), "BENIGN").when(F.col("_unknown"), "UNKNOWN_ATTACK").otherwise(F.col("class_name"))
+    return classified.groupBy(kind.alias("attack_type")).agg(F.count("*").alias("flows"))
+
+
+def fitted_on_flows(spark, sf):
+    """A small stack trained on the flows of the packets, labelled by their flags."""
+    from netloom.plans.training import TrainingParams, train
+
+    flows = flow_features(assemble_flows(views.packets(spark, sf), FLOWS), FLOWS)
+    label = F.when(F.col("`SYN Flag Count`") > 0, "PortScan").when(F.col("`FIN Flag Count`") > 0, "DDoS").otherwise("BENIGN")
+    flows = settle(flows.withColumn("label", label), "flows")
+    sizes = TrainingParams(forest=SMALL, boosted={"maxIter": 5, "maxDepth": 4}, classes=SMALL, isolation={"numTrees": 40})
+    rows = flows.select("label", *(F.col(f"`{c}`") for c in TRAINED_ON))
+    return train(rows, TRAINED_ON, params=sizes)[0], flows
+
+
+TRAINED_ON = ["Flow Packets/s", "Packet Length Mean", "Flow Duration", "SYN Flag Count", "FIN Flag Count"]
+
+
+@query(f"""WITH RECURSIVE {FLOW_CTE}, l AS (SELECT flow_id, CASE WHEN count(CASE WHEN (tcp_flags & 2) <> 0 THEN 1 END) > 0 THEN 'PortScan'
+  WHEN count(CASE WHEN (tcp_flags & 1) <> 0 THEN 1 END) > 0 THEN 'DDoS' ELSE 'BENIGN' END AS label FROM fp GROUP BY 1)
+SELECT label, count(*) AS flows, CAST(0 AS BIGINT) AS inconsistent FROM l GROUP BY 1""")
+def trained_detection(spark, sf):
+    """Packets to flows to trained, stored and reloaded models to outcomes."""
+    from netloom.operators.alerts import decide
+    from netloom.plans.detection import score_flows
+    from netloom.plans.training import FittedStack
+
+    fitted, flows = fitted_on_flows(spark, sf)
+    folder = _folder(spark, "stack")
+    fitted.save(spark, folder)
+    stack = FittedStack.load(spark, folder)
+    params = DetectionParams(flows=FLOWS, scores=stack.params, alerts=AlertParams(dedup_window_s=DEDUP_S))
+    decided = decide(score_flows(flows, stack.flow_scores, params), params.alerts)
+    wrong = (F.col("is_attack") != (F.col("meta_probability") >= params.scores.meta_threshold)) | F.col("outcome").isNull() | (
+        F.col("is_attack") == (F.col("attack_type") == "BENIGN")
+    )
+    truth = flows.select(F.col("flow_id").alias("of"), "label")
+    joined = decided.join(truth, F.col("flow_id") == F.col("of"))
+    return joined.groupBy("label").agg(F.count("*").alias("flows"), F.count(F.when(wrong, 1)).alias("inconsistent"))
+
+
 SMALL = {"numTrees": 10, "maxDepth": 5}
 
 

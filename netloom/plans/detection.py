@@ -16,36 +16,25 @@ from netloom.operators.scoring import PREDICTION_COLUMNS, score_stacking
 FLOW_COLUMNS = ("flow_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "start", "ts", "close_reason")
 
 
-def rule_scores(features: DataFrame) -> DataFrame:
-    """Base scores without trained models, from three features; for checks and benchmarks."""
-    rate = F.least(F.log10(F.lit(1.0) + F.col("`Flow Packets/s`")) / 11, F.lit(1.0))
-    size = F.least(F.col("`Packet Length Mean`") / 400, F.lit(1.0))
-    spread = F.least(F.col("`Packet Length Std`") / 300, F.lit(1.0))
-    name = F.when(F.col("`SYN Flag Count`") > 0, "PortScan").when(F.col("`FIN Flag Count`") > 0, "DDoS").otherwise("Bot")
-    return features.withColumns(
-        {"rf": rate, "xgb": size, "iso": spread, "class_name": name, "class_confidence": F.greatest(rate, size)}
-    )
-
-
 def detect(
-    packets: DataFrame,
-    params: DetectionParams = DetectionParams(),
-    base_scores: Callable[[DataFrame], DataFrame] = rule_scores,
+    packets: DataFrame, base_scores: Callable[[DataFrame], DataFrame], params: DetectionParams = DetectionParams()
 ) -> DataFrame:
     """Flows, features, scores, gates and dedup; one row per flow with its ``outcome``.
 
-    ``base_scores`` adds ``rf``, ``xgb``, ``iso``, ``class_name`` and ``class_confidence``
-    to the feature rows, typically from fitted models.
+    ``base_scores`` adds ``rf``, ``xgb``, ``iso``, ``class_name`` and ``class_confidence`` to the
+    feature rows, as ``FittedStack.flow_scores`` does; a column ``meta`` (a fitted
+    meta-learner's probability) takes the place of the weights in ``params``.
     """
     features = flow_features(assemble_flows(packets, params.flows), params.flows)
-    return decide(score_flows(features, params, base_scores), params.alerts)
+    return decide(score_flows(features, base_scores, params), params.alerts)
 
 
 def score_flows(
-    features: DataFrame, params: DetectionParams, base_scores: Callable[[DataFrame], DataFrame] = rule_scores
+    features: DataFrame, base_scores: Callable[[DataFrame], DataFrame], params: DetectionParams = DetectionParams()
 ) -> DataFrame:
     """Predictions of feature rows, without the features: dedup must not shuffle those."""
-    scored = score_stacking(base_scores(features), params.scores)
+    based = base_scores(features)
+    scored = score_stacking(based, params.scores, meta="meta" if "meta" in based.columns else None)
     if "latency_ms" not in scored.columns:
         scored = scored.withColumn("latency_ms", F.lit(0.0))
     return scored.withColumnRenamed("last", "ts").select(*FLOW_COLUMNS, *PREDICTION_COLUMNS)

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.ml.feature import StringIndexer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.config import ScoreParams
 from netloom.operators import clean, models
-from netloom.operators.isolation import IsolationForest
+from netloom.operators.isolation import IsolationForest, IsolationForestModel
 from netloom.operators.scoring import early_exit, fit_anomaly_range, input_error, normalise_anomaly, with_verdict
 from netloom.operators.splits import stratified_split
 from netloom.operators.stages import settle
@@ -54,16 +55,39 @@ class FittedStack:
         rows = self.isolation.transform(rows.withColumn("scaled", scaled)).drop("scaled")
         return rows.withColumn("iso", normalise_anomaly(F.col("iso_decision"), self.params)).drop("iso_decision")
 
-    def score(self, df: DataFrame) -> DataFrame:
-        """Predictions; the class model runs on known attacks only."""
+    def judged(self, df: DataFrame) -> DataFrame:
+        """Base scores, ``meta``, ``is_attack`` and the class; only known attacks reach the class model."""
         rows = models.VectorAssembler(inputCols=["rf", "xgb", "iso"], outputCol="meta_in").transform(self.base_scores(df))
-        rows = self.meta.transform(rows).withColumn("_p", models.probability_of("meta_vec"))
+        rows = self.meta.transform(rows).withColumn("meta", models.probability_of("meta_vec"))
         rows = rows.drop("meta_in", "meta_vec", "meta_raw", "meta_pred")
-        rows = rows.withColumn("is_attack", F.col("_p") >= self.params.meta_threshold)
+        rows = rows.withColumn("is_attack", F.col("meta") >= self.params.meta_threshold)
         rows = rows.withColumn("_unknown", F.col("is_attack") & (F.col("iso") >= self.params.unknown_iso_threshold))
-        rows = early_exit(rows, lambda known: models.with_class(known, self.classes, self.class_names))
-        scores = [F.col(c) for c in ("rf", "xgb", "iso", "_p", "class_name", "class_confidence")]
-        return with_verdict(rows, *scores).drop("_p", "_unknown", "features")
+        return early_exit(rows, lambda known: models.with_class(known, self.classes, self.class_names))
+
+    def flow_scores(self, df: DataFrame) -> DataFrame:
+        """The scores a detection plan needs: ``rf, xgb, iso, meta, class_name, class_confidence``."""
+        return self.judged(df).drop("is_attack", "_unknown", "features", "error")
+
+    def score(self, df: DataFrame) -> DataFrame:
+        """Predictions; the class model runs on known attacks only."""
+        scores = [F.col(c) for c in ("rf", "xgb", "iso", "meta", "class_name", "class_confidence")]
+        return with_verdict(self.judged(df), *scores).drop("meta", "_unknown", "features")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Model folders, the isolation forest's table and a one-row table of parameters."""
+        stages = [self.forest, self.boosted, self.classes, self.meta]
+        models.PipelineModel(stages).write().overwrite().save(f"{path}/models")
+        self.isolation.save_table(spark, f"{path}/isolation")
+        plain = {"cols": self.cols, "medians": self.medians, "scale": self.scale, "class_names": self.class_names, "params": asdict(self.params)}
+        spark.createDataFrame([(json.dumps(plain),)], "parameters string").write.mode("overwrite").parquet(f"{path}/parameters")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "FittedStack":
+        forest, boosted, classes, meta = models.PipelineModel.load(f"{path}/models").stages
+        isolation = IsolationForestModel.load_table(spark, f"{path}/isolation")
+        raw = json.loads(spark.read.parquet(f"{path}/parameters").first().parameters)
+        scale = {c: (m, s) for c, (m, s) in raw["scale"].items()}
+        return cls(raw["cols"], raw["medians"], scale, forest, boosted, isolation, meta, classes, raw["class_names"], ScoreParams(**raw["params"]))
 
 
 def train(df: DataFrame, cols: Sequence[str], label: str = "label", params: TrainingParams = TrainingParams()) -> tuple[FittedStack, DataFrame]:

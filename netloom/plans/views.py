@@ -59,9 +59,16 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def packet_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packets of :func:`packets` as a stream over the ``events`` file."""
+    """The packets of :func:`packets` as a stream over ``events``, a file or a folder of files."""
     schema = table(spark, sf_dir, "events").schema
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    path = f"{sf_dir}/events.parquet"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    stream = spark.readStream.schema(schema)
+    if files.getFileStatus(target).isDirectory():
+        src = stream.parquet(path)
+    else:
+        src = stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     df = spark.sql(PACKETS_SQL.replace("FROM events", "FROM {src}"), src=src)
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
@@ -141,3 +148,14 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     size = F.greatest(F.col("length"), F.lit(14) + F.col("header_len"))
     return p.select("packet_id", "ts", F.unhex(F.rpad(head, size * 2, "0")).alias("frame"))
+
+
+def rule_scores(features: DataFrame) -> DataFrame:
+    """Base scores from three features, so that plain SQL can check the detection plan."""
+    rate = F.least(F.log10(F.lit(1.0) + F.col("`Flow Packets/s`")) / 11, F.lit(1.0))
+    size = F.least(F.col("`Packet Length Mean`") / 400, F.lit(1.0))
+    spread = F.least(F.col("`Packet Length Std`") / 300, F.lit(1.0))
+    name = F.when(F.col("`SYN Flag Count`") > 0, "PortScan").when(F.col("`FIN Flag Count`") > 0, "DDoS").otherwise("Bot")
+    return features.withColumns(
+        {"rf": rate, "xgb": size, "iso": spread, "class_name": name, "class_confidence": F.greatest(rate, size)}
+    )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netloom.schema import ALERT_ADDED_COLUMNS, ALERT_SCHEMA
 
@@ -23,24 +24,27 @@ def to_alert_rows(alerts: DataFrame, ts: str = "ts") -> DataFrame:
 def append_alerts(alerts: DataFrame, path: str, batch_id: int | None = None) -> None:
     """Append alerts partitioned by day.
 
-    With ``batch_id`` (from ``foreachBatch``) the batch owns its directories and a replay
-    overwrites them, so a failed and repeated batch stores each alert once.
+    With ``batch_id`` (from ``foreachBatch``) the batch owns its directories below each day and
+    a replay overwrites them, so a failed and repeated batch stores each alert once.  A
+    day's alerts are few; they go to one file per batch.
     """
     rows = alerts.withColumn("date", F.to_date("timestamp"))
     if batch_id is None:
         rows.write.mode("append").partitionBy("date").parquet(path)
         return
-    rows = rows.withColumn("batch", F.lit(batch_id).cast("long"))
+    rows = rows.withColumn("batch", F.lit(batch_id).cast("long")).repartition("date")
     writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.partitionBy("batch", "date").parquet(path)
+    writer.partitionBy("date", "batch").parquet(path)
 
 
 def read_alerts(spark: SparkSession, path: str) -> DataFrame:
     """Alerts of every release; score columns an old file lacks read as 0.0.
 
-    A filter on ``date`` prunes directories.
+    The schema is given, so no file footer is merged; a column that a file lacks reads as
+    NULL.  A filter on ``date`` prunes directories.
     """
-    return evolve_alert_schema(spark.read.option("mergeSchema", True).parquet(path))
+    schema = T.StructType([*ALERT_SCHEMA, T.StructField("date", T.DateType())])
+    return evolve_alert_schema(spark.read.schema(schema).parquet(path))
 
 
 def evolve_alert_schema(alerts: DataFrame) -> DataFrame:

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from netloom.operators.alerts import DEDUP_KEY
+from netloom.operators.alerts import DEDUP_KEY, dedup_alerts
 from netloom.session import use_disk_state
 
 _ANCHOR = "anchor_us long, anchor_id long"
@@ -94,3 +94,21 @@ def dedup_stream(
         DedupProcessor(window_s, schema, key, rid), out_schema, outputMode="Append", timeMode="EventTime"
     )
     return out.withColumn(ts, F.timestamp_micros("event_us")).drop("event_us")
+
+
+def flush_waiting_alerts(spark: SparkSession, checkpoint: str, window_s: float = 60.0, *, ts: str = "ts", rid: str = "flow_id",
+                         key: Sequence[str] = DEDUP_KEY) -> DataFrame:
+    """End of stream: decide the alerts that still wait, given the windows left open."""
+
+    def state(name: str) -> DataFrame:
+        rows = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
+        value = [f.name for f in rows.schema if f.name not in ("key", "partition_id")][0]
+        return rows.select("key", F.col(value).alias("value"))
+
+    waiting = state("waiting").select("value.*").withColumn("_open", F.lit(False))
+    opened = state("anchor").select(
+        *(F.col(f"key.{k}").alias(k) for k in key),
+        F.col("value.anchor_us").alias("event_us"), F.col("value.anchor_id").alias(rid), F.lit(True).alias("_open"),
+    )
+    rows = waiting.unionByName(opened, allowMissingColumns=True).withColumn(ts, F.timestamp_micros("event_us"))
+    return dedup_alerts(rows, window_s, key=key, ts=ts, rid=rid).where(~F.col("_open")).drop("_open", "event_us")

@@ -15,10 +15,14 @@ from pyspark.sql.streaming import StreamingQuery
 from netloom.config import DetectionParams
 from netloom.operators.alerts import alert_rules, notification_queue
 from netloom.operators.features import flow_features
-from netloom.plans.detection import rule_scores, score_flows
+from netloom.plans.detection import score_flows
 from netloom.sources.alerts import append_alerts, to_alert_rows
-from netloom.streaming.dedup import dedup_stream
-from netloom.streaming.flows import assemble_stream
+from netloom.streaming.dedup import dedup_stream, flush_waiting_alerts
+from netloom.streaming.flows import assemble_stream, flush_open_flows
+
+Scores = Callable[[DataFrame], DataFrame]
+#: The batch number of what a stream leaves open at its end.
+FLUSH = -1
 
 
 def _committed(spark: SparkSession, path: str) -> bool:
@@ -38,21 +42,32 @@ def _trigger(writer, every: str | None):
 
 
 def predict_stream(
-    packets: DataFrame, out: str, checkpoint: str, params: DetectionParams = DetectionParams(),
-    base_scores: Callable[[DataFrame], DataFrame] = rule_scores, every: str | None = None, delay: str = "10 seconds",
+    packets: DataFrame, out: str, checkpoint: str, base_scores: Scores, params: DetectionParams = DetectionParams(),
+    every: str | None = None, delay: str = "10 seconds",
 ) -> StreamingQuery:
     """Packets to scored flows in ``out``; finished flows are scored per micro-batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         # One row per flow from here on; the batch is small next to the packets.
         features = flow_features(batch, params.flows)
-        write_once(score_flows(features, params, base_scores), batch_id, out)
+        write_once(score_flows(features, base_scores, params), batch_id, out)
 
     flows = assemble_stream(packets, params.flows, delay)
     writer = flows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
 
 
+def _store_alerts(decided: DataFrame, batch_id: int, alerts_path: str, notices_path: str | None, params: DetectionParams) -> None:
+    """First alerts of their windows to the table and the messages; the batch is evaluated once."""
+    alerts = to_alert_rows(decided.where("is_first")).persist()
+    try:
+        append_alerts(alerts, alerts_path, batch_id)
+        if notices_path:
+            write_once(notification_queue(alerts, params.alerts.notify_min_severity), batch_id, notices_path)
+    finally:
+        alerts.unpersist()
+
+
 def alert_stream(
     predictions: DataFrame, alerts_path: str, checkpoint: str, params: DetectionParams = DetectionParams(),
     notices_path: str | None = None, every: str | None = None, delay: str = "10 seconds",
@@ -63,30 +78,34 @@ def alert_stream(
     deduped = dedup_stream(ruled.drop("suppress_reason", "error", "start"), params.alerts.dedup_window_s, delay=delay)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        alerts = to_alert_rows(batch.where("is_first"))
-        append_alerts(alerts, alerts_path, batch_id)
-        if notices_path:
-            write_once(notification_queue(alerts, params.alerts.notify_min_severity), batch_id, notices_path)
+        _store_alerts(batch, batch_id, alerts_path, notices_path, params)
 
     writer = deduped.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return _trigger(writer, every).start()
 
 
 def run_detection(
-    spark: SparkSession, packets: DataFrame, folder: str, params: DetectionParams = DetectionParams(),
-    base_scores: Callable[[DataFrame], DataFrame] = rule_scores, every: str | None = None, delay: str = "10 seconds",
+    spark: SparkSession, packets: DataFrame, folder: str, base_scores: Scores, params: DetectionParams = DetectionParams(),
+    every: str | None = None, delay: str = "10 seconds",
 ) -> list[StreamingQuery]:
     """Start both queries under ``folder``.
 
-    Without ``every`` all available packets are processed and both queries end.
+    Without ``every`` all available packets are processed, both queries end, and what they
+    had left open (unfinished flows, alerts that waited for the watermark) is finished too.
     """
     predictions, chk = f"{folder}/predictions", f"{folder}/checkpoints"
-    first = predict_stream(packets, predictions, f"{chk}/flows", params, base_scores, every, delay)
+    first = predict_stream(packets, predictions, f"{chk}/flows", base_scores, params, every, delay)
     if every is None:
         first.awaitTermination()
+        rest = flow_features(flush_open_flows(spark, f"{chk}/flows", params.flows), params.flows)
+        write_once(score_flows(rest, base_scores, params), FLUSH, predictions)
     schema = prediction_schema(spark, params, base_scores)
     scored = spark.readStream.schema(schema).parquet(f"{predictions}/batch=*")
     second = alert_stream(scored, f"{folder}/alerts", f"{chk}/alerts", params, f"{folder}/notices", every, delay)
+    if every is None:
+        second.awaitTermination()
+        waiting = flush_waiting_alerts(spark, f"{chk}/alerts", params.alerts.dedup_window_s)
+        _store_alerts(waiting, FLUSH, f"{folder}/alerts", f"{folder}/notices", params)
     return [first, second]
 
 
@@ -95,7 +114,7 @@ def prediction_schema(spark: SparkSession, params: DetectionParams, base_scores)
     from netloom.streaming.flows import FLOW_PACKETS
 
     empty = spark.createDataFrame([], FLOW_PACKETS)
-    return score_flows(flow_features(empty, params.flows), params, base_scores).schema
+    return score_flows(flow_features(empty, params.flows), base_scores, params).schema
 
 
 def attack_sink(predictions: DataFrame, path: str, checkpoint: str, every: str | None = None) -> StreamingQuery:

@@ -266,22 +266,6 @@ def test_histogram_quantile_edges(spark):
     assert one(metrics.histogram_quantile(empty, 0.5)).value is None
 
 
-def test_group_notifications(spark):
-    def at(s):
-        return T0 + dt.timedelta(seconds=s)
-
-    rows = [("A", "critical", at(0), at(30)), ("A", "critical", at(20), at(4000)), ("B", "warning", at(0), at(0))]
-    df = spark.createDataFrame(rows, "alertname string, severity string, started timestamp, ended timestamp")
-    got = metrics.group_notifications(df, resolve_s=0).where("alertname = 'A'").orderBy("sent").collect()
-    secs = [(round((r.sent - T0).total_seconds()), r.status, r.firing) for r in got]
-    # first at +10; both changes fall on the next tick; repeat an hour later; resolved on a tick.
-    assert secs == [(10, "firing", 1), (70, "firing", 1), (3670, "firing", 1), (4030, "resolved", 0)]
-    assert metrics.group_notifications(df, resolve_s=0).where("alertname = 'B'").count() == 0
-
-
-# -- sources and sinks ---------------------------------------------------------------------------
-
-
 def test_csv_round_trip(spark, tmp_path):
     header = [f" {n}" for n in FEATURE_NAMES]
     header[FEATURE_NAMES.index("Fwd Header Length.1")] = " Fwd Header Length"
