@@ -3,12 +3,15 @@
 A text is the set of its hashed terms: each word and its beginnings of four to six letters
 (so inflected and glued forms share terms).  Training has two steps:
 
-1. How many toxic and other training rows hold each of the ``BINS`` term hashes is counted
-   over *all* labelled training rows; the ``TERMS`` hashes most associated with the label
-   (chi-square, at least ``LEAST`` rows and ``CHI2``) become features.
+1. How many toxic and other training rows hold each of the ``BINS`` term hashes is counted; the
+   ``TERMS`` hashes most associated with the label (chi-square, at least ``LEAST`` rows and
+   ``CHI2``) become features.
 2. The machine, bias + linear weights + pairwise interactions as inner products of factors,
-   is fitted by AdaGrad on the log loss over at most ``ROWS`` labelled rows, drawn by a hash of the id.  This bound is
-   the only sample; the reduced rows are a few numbers each.
+   is fitted by AdaGrad on the log loss over the rows' features, a few numbers each.
+
+Both use the same at most ``ROWS`` labelled rows, drawn by a hash of the id from all labels.
+This bound is the only sample; it lets the labels be broadcast to the documents, so no text is
+shuffled.
 
 The interactions let two terms mean more together than apart (an insult beside the mention of a
 group).  Scoring reads whole texts in Arrow batches; the model (at most ``TERMS`` rows of
@@ -39,7 +42,7 @@ BINS = 1 << 18
 TERMS = 4096
 LEAST = 4
 CHI2 = 16.0
-ROWS = 20_000
+ROWS = 30_000
 FACTORS = 8
 FOLDS = 5
 _WORD = re.compile(r"\w+")
@@ -146,12 +149,13 @@ def fit(rows: list[list[int]], labels: np.ndarray, known: dict[int, int], factor
     return model
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text, toxic`` of the training rows."""
+def labelled(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
+    """``doc_id, text, toxic`` of the training rows, from at most ``rows`` labelled ids."""
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").alias("of"))
-    marks = marks.agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("of")))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.join(marks, F.col("doc_id") == F.col("of")).select("doc_id", "text", F.col("toxic").cast("int").alias("toxic"))
+    marks = marks.agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("of")))
+    drawn = marks.orderBy(F.xxhash64("of"), "of").limit(rows)
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return own.join(F.broadcast(drawn), F.col("doc_id") == F.col("of")).select("doc_id", "text", "toxic")
 
 
 def associated(train: DataFrame, terms: int = TERMS, bins: int = BINS) -> tuple[dict[int, int], int, int]:
@@ -181,13 +185,10 @@ def associated(train: DataFrame, terms: int = TERMS, bins: int = BINS) -> tuple[
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TERMS, bins: int = BINS) -> Machine:
-    own = labelled(docs, labels)
+    own = settle(labelled(docs, labels, rows), "toxicity-sample")
     known, toxic, other = associated(own, terms, bins)
     if not toxic or not other:
         return Machine(bias=20.0 if toxic else -20.0)
-    # The bounded part of the work: at most ``rows`` labelled rows, by a hash of the id.
-    drawn = own.select("doc_id", "toxic").withColumn("draw", F.xxhash64("doc_id")).orderBy("draw", "doc_id").limit(rows)
-    own = own.join(drawn.select(F.col("doc_id").alias("of")).distinct(), F.col("doc_id") == F.col("of"), "left_semi")
 
     def reduce(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = Terms(known, bins)
@@ -197,7 +198,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TER
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     sample = own.select("doc_id", "text", "toxic").mapInArrow(reduce, f"doc_id {id_type}, held array<int>, toxic int")
-    sample = sample.orderBy("doc_id", "toxic", "held").limit(rows).collect()
+    # An id of several documents has several rows; the bound holds for them too.
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "held").limit(rows).collect()
     return fit([r.held for r in sample], np.array([float(r.toxic > 0) for r in sample]), known)
 
 
