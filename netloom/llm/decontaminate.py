@@ -178,17 +178,39 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
-    """``doc_id, item_ids, n_items, similarity``: a row for each document that holds an item."""
-    found = settle(matches(docs, benchmark, similarity, radius), "leaks")
-    best = found.groupBy("tid").agg(
-        F.sort_array(F.collect_set("item")).alias("item_ids"), F.max("similarity").alias("similarity")
-    )
+    """``doc_id, item_id, similarity``: every document with the items it holds, and the best similarity."""
+    found = matches(docs, benchmark, similarity, radius)
+    # Written, so that both sides of the join come straight from an exchange and a hot text's rows can be split.
+    best = settle(found.groupBy("tid", "item").agg(F.max("similarity").alias("similarity")), "leaks")
     ids = docs.select("doc_id", _text_key(F.col("text")).alias("of"))
-    return ids.join(best, F.col("of") == F.col("tid")).select("doc_id", "item_ids", F.size("item_ids").alias("n_items"), "similarity")
+    return ids.join(best, F.col("of") == F.col("tid")).select("doc_id", F.col("item").alias("item_id"), "similarity")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, radius: int = RADIUS) -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    bad = settle(matches(docs, benchmark, similarity, radius), "leaks").select("tid").distinct()
+    bad = settle(matches(docs, benchmark, similarity, radius).select("tid").distinct(), "leaks")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), _text_key(F.col("text")).alias("of"))
     return rows.join(bad, F.col("of") == F.col("tid"), "left_anti").select("row.*")
+
+
+# Every window with a shared shingle, compared directly.
+SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id,
+  list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM documents),
+i AS (SELECT item_id, ws, least(5, len(ws)) AS width, len(ws) - least(5, len(ws)) + 1 AS s
+ FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS ws FROM benchmark)
+ WHERE len(ws) > 0),
+ish AS (SELECT item_id, width, s, array_to_string(ws[p + 1 : p + width], ' ') AS sh, count(*) AS c
+ FROM (SELECT *, unnest(range(0, s)) AS p FROM i) GROUP BY ALL),
+ds AS (SELECT rid, doc_id, width, len(ws) - width + 1 AS total, p, array_to_string(ws[p + 1 : p + width], ' ') AS sh
+ FROM (SELECT w.*, width, unnest(range(0, greatest(0, len(w.ws) - width + 1))) AS p FROM w, (SELECT DISTINCT width FROM i))),
+cand AS (SELECT DISTINCT rid, doc_id, item_id, width, least(s, total) AS n, s, start FROM (
+ SELECT *, unnest(range(greatest(0, p - s + 1), greatest(0, least(p, total - s)) + 1)) AS start
+ FROM (SELECT ds.*, item_id, s FROM ds JOIN ish USING (width, sh)))),
+win AS (SELECT c.rid, c.doc_id, c.item_id, c.width, c.n, c.s, c.start, d.sh, count(*) AS c
+ FROM cand c JOIN ds d ON d.rid = c.rid AND d.width = c.width AND d.p >= c.start AND d.p < c.start + c.n GROUP BY ALL),
+sim AS (SELECT w.rid, w.doc_id, w.item_id, w.start, sum(least(w.c, x.c)) AS shared, any_value(w.n + w.s) AS joint
+ FROM win w JOIN ish x ON x.item_id = w.item_id AND x.sh = w.sh GROUP BY ALL)
+SELECT doc_id, item_id, max(shared / (joint - shared)) AS similarity FROM sim
+WHERE shared / (joint - shared) >= 0.8 GROUP BY rid, doc_id, item_id
+"""

@@ -46,6 +46,7 @@ QUERIES: dict[str, Query] = {
 
 SQL: dict[str, str] = {
     "op1_mix_sources": mixing.SQL,
+    "op3_decontaminate": decontaminate.SQL,
     "op4_exact_dedup": exact_dedup.SQL,
     "op8_url_filter": url_filter.SQL,
 }
