@@ -99,8 +99,9 @@ def features(found: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
     parts = runs.select("c", "run", F.explode(F.array_distinct(F.concat(cuts, tails))).alias("p")).select("c", "run", "p.part")
     covered = parts.join(F.broadcast(words.select("word")), F.col("part") == F.col("word"))
     covered = covered.groupBy("c", "run").agg(F.max(F.length("part")).alias("n")).groupBy("c").agg(F.sum("n").alias("covered_n"))
-    two = texts.select("c", F.explode(F.expr("transform(sequence(1, length(c) - 1), i -> substring(lower(c), i, 2))")).alias("two"))
-    two = two.where(F.col("two").rlike("^[a-z]{2}$")).join(F.broadcast(pairs), F.col("two") == F.col("pair"), "left")
+    # Overlapping pairs in one pass, however long the candidate is.
+    two = texts.select("c", F.explode(F.regexp_extract_all(F.lower("c"), F.lit("(?=([a-z]{2}))"), F.lit(1))).alias("two"))
+    two = two.join(F.broadcast(pairs), F.col("two") == F.col("pair"), "left")
     rare = two.groupBy("c").agg(F.avg(F.coalesce("bits", F.lit(12.0))).alias("rare"))
     about = texts.join(covered.withColumnRenamed("c", "c1"), F.col("c") == F.col("c1"), "left")
     about = about.join(rare.withColumnRenamed("c", "c2"), F.col("c") == F.col("c2"), "left").select(F.col("c").alias("of"), "covered_n", "rare")
