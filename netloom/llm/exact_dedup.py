@@ -58,7 +58,8 @@ def exact_groups(docs: DataFrame, hashed: Callable[[Column], Column] = content_h
     )
     # Before the join: a window after it would tie a hot text's rows to one task.
     copy = F.row_number().over(Window.partitionBy("doc_id", "h", "sha").orderBy(F.lit(1)))
-    groups = equal_texts(docs, hashed).where(F.col("clash").isNull()).drop("clash")
+    # Written, so that both sides of the join come straight from an exchange and a hot text's rows can be split.
+    groups = settle(equal_texts(docs, hashed).where(F.col("clash").isNull()).drop("clash"), "exact-groups")
     return (
         ids.withColumn("copy", copy)
         .join(groups, ["h", "sha"])
