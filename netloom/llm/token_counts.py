@@ -22,7 +22,6 @@ Tokens after the last separator form an unclosed document.  Extra columns are no
 from __future__ import annotations
 
 import base64
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -184,8 +183,7 @@ def manifest(encoded: DataFrame) -> DataFrame:
 
 
 def query(docs: DataFrame) -> DataFrame:
-    vocabulary = os.environ.get("LLM_VOCABULARY", VOCABULARY)
-    encoded = settle(encode(docs, vocabulary), "token-streams")
+    encoded = settle(encode(docs), "token-streams")
     counts = token_counts(encoded.where("payload IS NOT NULL").select("stream", "block", "payload"))
     ids = manifest(encoded)
     return counts.join(ids, (F.col("stream") == F.col("of")) & (F.col("ordinal") == F.col("nth"))).select(
