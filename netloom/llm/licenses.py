@@ -10,9 +10,9 @@ is a calibrated class; a paragraph gets a family if that family is the likeliest
 reaches ``LEAST``.  A prediction is confirmed if the paragraph holds at least ``CONFIRM`` of
 the three-word runs of one of the family's templates.
 
-Scoring is a join of the paragraphs' term hashes with the table of weights (bounded by the
-terms of the training rows; broadcast after a count) and a sum per paragraph, combined on the
-map side; equal texts are scored once.  Paragraphs are lines.  Main path and training use DataFrame expressions and
+Scoring reads the texts once: the paragraphs' term and run hashes are joined with one table of
+weights and template runs (bounded by the terms of the training rows and the templates; broadcast
+after a count) and summed per paragraph, combined on the map side.  Paragraphs are lines.  Main path and training use DataFrame expressions and
 Spark's own estimator only.
 
 Rows: null and wordless texts have no paragraphs; null ids are kept; repeated rows repeat
@@ -165,11 +165,25 @@ def training_rows(docs: DataFrame, drawn: int = DRAWN, variants: int = VARIANTS)
 
 @dataclass
 class Model:
-    """Weights per term hash and family, biases and the temperature."""
+    """Weights per term hash, template runs in the same table, biases and the temperature."""
 
-    weights: DataFrame  # term long, w0 .. wn double
+    weights: DataFrame  # term long, w0.. double per family, t0.. int per template
     biases: list[float]
     temperature: float
+    sizes: list[tuple[str, int]]  # family and number of runs of each template
+
+
+def run_hashes(words: Column, width: int = RUN) -> Column:
+    """Hashes of the three-word runs, each once."""
+    n = F.size(words) - width + 1
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(width)), F.lit(width))))
+
+
+def _template_hashes(spark: SparkSession) -> list[tuple[str, list[int]]]:
+    fixed = [(f, t) for f, ts in TEMPLATES.items() for t in ts]
+    df = spark.createDataFrame(fixed, "family string, text string").withColumn("words", words_of(F.col("text")))
+    return [(r.family, r.runs) for r in df.select("family", run_hashes(F.col("words")).alias("runs")).collect()]
 
 
 def _shares(biases: list[float], temperature: float) -> Column:
@@ -197,8 +211,14 @@ def train(docs: DataFrame) -> Model:
     found = logistic.fit(vectors.transform(fitted).select("x", "label"))
     n, matrix = len(families), found.coefficientMatrix.toArray()
     pad = n - matrix.shape[0]  # classes without a training row come last
-    table = [(int(t), *map(float, matrix[:, k]), *[0.0] * pad) for k, t in enumerate(vectors.vocabulary) if matrix[:, k].any()]
-    names = ", ".join(f"w{k} double" for k in range(n))
+    templates = _template_hashes(spark)
+    rows_of = {int(t): [*map(float, matrix[:, k]), *[0.0] * pad] for k, t in enumerate(vectors.vocabulary) if matrix[:, k].any()}
+    held_by: dict[int, list[int]] = {}
+    for j, (_, runs) in enumerate(templates):
+        for h in runs:
+            held_by.setdefault(h, [0] * len(templates))[j] = 1
+    table = [(t, *rows_of.get(t, [0.0] * n), *held_by.get(t, [0] * len(templates))) for t in {**rows_of, **held_by}]
+    names = ", ".join([*(f"w{k} double" for k in range(n)), *(f"t{j} int" for j in range(len(templates)))])
     weights = spark.createDataFrame(table, f"term long, {names}")
     biases = [*map(float, found.interceptVector.toArray()), *[-50.0] * pad]
     held = rows.where("fold = 0").dropDuplicates(["row"])
@@ -206,50 +226,36 @@ def train(docs: DataFrame) -> Model:
     sums = held.select("row", "label").join(_summed(sums, F.broadcast(weights), n, "row"), "row", "left").withColumn("k", F.col("label").cast("int") + 1)
     grid = [0.5, 0.7, 1.0, 1.4, 2.0]
     loss = sums.agg(*(F.sum(-F.log(F.element_at(_shares(biases, t), F.col("k")) + 1e-12)).alias(str(i)) for i, t in enumerate(grid))).first()
-    return Model(weights, biases, min(zip([x if x is not None else 0.0 for x in loss], grid, strict=True))[1])
+    temperature = min(zip([x if x is not None else 0.0 for x in loss], grid, strict=True))[1]
+    return Model(weights, biases, temperature, [(f, len(runs)) for f, runs in templates])
 
 
-def classify(docs: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
-    """``doc_id, tid, place, family, probability`` of the paragraphs that get a family."""
-    families = _families()
-    weights = model.weights
+def scan(docs: DataFrame, model: Model | None = None, least: float = LEAST, confirm: float = CONFIRM) -> DataFrame:
+    """``doc_id, place, family, probability, similarity, confirmed`` of the paragraphs that get a family.
+
+    ``place`` counts lines from 0; ``similarity`` is the largest share of the runs of one of
+    the family's templates that the paragraph holds.
+    """
+    model = model or train(docs)
+    families, weights = _families(), model.weights
     if weights.count() <= BROADCAST:
         weights = F.broadcast(weights)
     # The number tells rows apart within this one aggregation only.
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", _key(F.col("text")).alias("tid"), "text")
-    lines = _lines(rows, "rid", "doc_id", "tid")
-    terms = lines.select("rid", "doc_id", "tid", "place", F.explode(term_hashes(F.col("words"))).alias("hash"))
-    summed = _summed(terms, weights, len(families), "rid", "doc_id", "tid", "place")
-    scored = summed.select("doc_id", "tid", "place", _shares(model.biases, model.temperature).alias("p"))
-    scored = scored.withColumn("probability", F.array_max("p")).withColumn("k", F.array_position("p", F.array_max("p")))
+    key = ("rid", "doc_id", "place")
+    lines = _lines(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "rid", "doc_id")
+    hashes = F.concat(term_hashes(F.col("words")), run_hashes(F.col("words")))
+    rows = lines.select(*key, F.explode(hashes).alias("hash")).join(weights, F.col("hash") == F.col("term"))
+    summed = rows.groupBy(*key).agg(
+        *(F.sum(f"w{k}").alias(f"s{k}") for k in range(len(families))), *(F.sum(f"t{j}").alias(f"h{j}") for j in range(len(model.sizes)))
+    )
+    alike = {f: [F.col(f"h{j}") / n for j, (g, n) in enumerate(model.sizes) if f == g] for f in families}
+    alike = F.array(*(F.greatest(F.lit(0.0), *alike[f]) if alike[f] else F.lit(0.0) for f in families))
+    scored = summed.select("doc_id", "place", _shares(model.biases, model.temperature).alias("p"), alike.alias("alike"))
+    scored = scored.withColumn("probability", F.array_max("p")).withColumn("k", F.array_position("p", F.array_max("p")).cast("int"))
     names = F.array(*(F.lit(f) for f in families))
-    scored = scored.withColumn("family", F.element_at(names, F.col("k").cast("int")))
+    scored = scored.withColumn("family", F.element_at(names, F.col("k"))).withColumn("similarity", F.element_at("alike", F.col("k")))
     scored = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
-    return scored.select("doc_id", "tid", "place", "family", "probability")
-
-
-def scan(docs: DataFrame, model: Model | None = None, least: float = LEAST, confirm: float = CONFIRM) -> DataFrame:
-    """``doc_id, place, family, probability, similarity, confirmed`` of the licence paragraphs.
-
-    ``similarity`` is the largest share of a template's runs that the paragraph holds.
-    """
-    found = settle(classify(docs, model or train(docs), least), "license-found")
-    asked = found.select(F.col("tid").alias("of"), F.col("place").alias("at"), "family").distinct()
-    texts = docs.select(_key(F.col("text")).alias("tid"), "text").join(asked.select("of").distinct(), F.col("tid") == F.col("of"), "left_semi")
-    lines = paragraphs(texts.groupBy("tid").agg(F.first("text").alias("text")))
-    held = lines.join(asked, (F.col("tid") == F.col("of")) & (F.col("place") == F.col("at"))).select(
-        "of", "at", "family", F.explode(_runs(F.col("words"))).alias("run")
-    )
-    runs = F.broadcast(template_runs(docs.sparkSession))  # the fixed templates
-    shares = held.join(runs, ["family", "run"]).groupBy("of", "at", "family", "template").agg(
-        (F.count(F.lit(1)) / F.first("n_runs")).alias("share")
-    )
-    best = shares.groupBy("of", "at").agg(F.max("share").alias("share"))
-    joined = found.join(best, (F.col("tid") == F.col("of")) & (F.col("place") == F.col("at")), "left")
-    similarity = F.coalesce("share", F.lit(0.0))
-    return joined.select(
-        "doc_id", "place", "family", "probability", similarity.alias("similarity"), (similarity >= confirm).alias("confirmed")
-    )
+    return scored.select("doc_id", "place", "family", "probability", "similarity", (F.col("similarity") >= confirm).alias("confirmed"))
 
 
 def query(docs: DataFrame) -> DataFrame:
