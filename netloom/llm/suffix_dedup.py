@@ -12,7 +12,8 @@ scanning the buckets of first bytes in order induces the rest), and compares nei
 prefixes of ``LENGTH`` bytes or more is one repeated string, which the smallest id keeps.
 The removed ranges go back to their documents.
 
-Buckets hold about ``BUCKET`` bytes of text each, so their number grows with the corpus; long
+Buckets hold about ``BUCKET`` bytes of text each, so their number grows with the corpus; ``GROUP`` of
+them are packed together, which compresses better, and compared one after another.  Long
 texts are cut into overlapping pieces before anchors are taken, so no task holds more than
 ``CHUNK`` bytes of text besides its batch.
 
@@ -34,8 +35,10 @@ from pyspark.sql import functions as F
 from netloom.llm.common import text_of
 
 LENGTH = 50
-GRAM = 12
-BUCKET = 1 << 21
+GRAM = 8
+BUCKET = 1 << 20
+GROUP = 8  # buckets that travel together
+BLOCK = 1 << 15  # bytes hashed at a time, so that the steps stay in the cache
 CHUNK = 1 << 21
 FLUSH = 3 * CHUNK
 NO_ID = 2**63 - 1
@@ -44,9 +47,19 @@ _LOW = np.uint64((1 << 21) - 1)
 
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
-    """A hash of every ``width``-byte string, from hashes of halves."""
-    if len(data) < width:
-        return np.empty(0, np.uint64)
+    """A hash of every ``width``-byte string."""
+    n = max(0, len(data) - width + 1)
+    if n <= BLOCK:
+        return _rolling(data, width) if n else np.empty(0, np.uint64)
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, BLOCK):
+        part = _rolling(data[at : at + BLOCK + width - 1], width)
+        out[at : at + len(part)] = part
+    return out
+
+
+def _rolling(data: np.ndarray, width: int) -> np.ndarray:
+    """From hashes of halves."""
     h, span, out, have, left = data.astype(np.uint64) + np.uint64(1), 1, None, 0, width
     while True:
         power = np.uint64(pow(_ODD, span, 2**64))
@@ -65,14 +78,19 @@ def rolling(data: np.ndarray, width: int) -> np.ndarray:
 
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
     """For every ``length``-byte string its smallest gram hash, with the gram's place in the low bits."""
-    h = rolling(data, gram)
-    key = (h & ~_LOW) | (np.arange(len(h), dtype=np.uint64) & _LOW)
-    places, span = length - gram + 1, 1
-    while span * 2 <= places:
-        key = np.minimum(key[:-span], key[span:])
-        span *= 2
-    rest = places - span
-    return np.minimum(key[: len(key) - rest], key[rest:]) if rest else key
+    n = max(0, len(data) - length + 1)
+    out = np.empty(n, np.uint64)
+    for at in range(0, n, BLOCK):
+        h = _rolling(data[at : at + BLOCK + length - 1], gram)
+        key = (h & ~_LOW) | (np.arange(at, at + len(h), dtype=np.uint64) & _LOW)
+        places, span = length - gram + 1, 1
+        while span * 2 <= places:
+            key = np.minimum(key[:-span], key[span:])
+            span *= 2
+        rest = places - span
+        key = np.minimum(key[: len(key) - rest], key[rest:]) if rest else key
+        out[at : at + len(key)] = key
+    return out
 
 
 def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,7 +171,14 @@ def repeated(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int
     string = _ranges(begin, counts)
     of = np.repeat(np.arange(len(sizes)), counts)
     h = rolling(data, length)[string]
-    order = np.argsort(h)
+    # Most hashes occur once; a small table of the others leaves few to be grouped.
+    ordered = np.sort(h)
+    table, low = np.zeros(1 << 22, bool), np.uint64((1 << 22) - 1)
+    table[ordered[1:][ordered[1:] == ordered[:-1]] & low] = True
+    near = np.flatnonzero(table[h & low])
+    if not len(near):
+        return none, none, none
+    order = near[np.argsort(h[near])]
     new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
     heads = np.flatnonzero(new)
     own = docs[of[order]]
@@ -211,10 +236,11 @@ def _unpack(payload: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 class Sender:
-    """Collects the segments of a task's documents and emits them packed by bucket."""
+    """Collects the segments of a task's documents and emits them packed by group of buckets."""
 
     def __init__(self, buckets: int):
         self.buckets = buckets
+        self.groups = -(-buckets // GROUP)
         self.pieces: list[tuple[int, int, int, bytes]] = []
         self.held = 0
         self.parts: list[tuple[np.ndarray, ...]] = []
@@ -237,7 +263,7 @@ class Sender:
             piece = np.searchsorted(ends, first, side="right")
             table = np.array([p[:3] for p in self.pieces], np.int64)
             starts = ends - np.array([len(p[3]) for p in self.pieces])
-            wide = 2 * LENGTH - GRAM
+            wide = -(-(2 * LENGTH - GRAM) // 8) * 8
             padded = np.concatenate([data, np.zeros(wide, np.uint8)])
             sizes = last - first + LENGTH
             rows = padded[first[:, None] + np.arange(wide)]
@@ -268,35 +294,42 @@ class Sender:
         beaten[order] = equal & (doc[order] > doc[head])
         sent = np.flatnonzero(~beaten)
         sent = sent[np.lexsort((pos[sent], doc[sent], bucket[sent]))]
-        which, cuts = np.unique(bucket[sent], return_index=True)
+        which, cuts = np.unique(bucket[sent] // GROUP, return_index=True)
         inside = np.arange(rows.shape[1])
         for b, own in zip(which.tolist(), np.split(sent, cuts[1:]), strict=True):
             d = doc[own]
             yield b, 0, _pack(
-                np.concatenate([d[:1], np.diff(d)]), mark[own], pos[own], sizes[own].astype(np.uint8), rows[own][inside < sizes[own, None]]
+                np.concatenate([d[:1], np.diff(d)]), mark[own], pos[own], sizes[own].astype(np.uint8),
+                (bucket[own] % GROUP).astype(np.uint8), rows[own][inside < sizes[own, None]],
             )
         gone = np.flatnonzero(beaten)
-        home = doc[gone] % self.buckets
+        home = doc[gone] % self.groups
         gone = gone[np.argsort(home, kind="stable")]
-        which, cuts = np.unique(doc[gone] % self.buckets, return_index=True)
+        which, cuts = np.unique(doc[gone] % self.groups, return_index=True)
         for b, own in zip(which.tolist(), np.split(gone, cuts[1:]), strict=False):
             yield b, 1, _pack(doc[own], mark[own], pos[own], pos[own] + sizes[own])
 
 
 def _compare(t: pa.Table) -> pa.Table:
-    """One bucket: the ranges that its segments lose, and those that tasks had settled."""
+    """One group of buckets: the ranges that its segments lose, and those that tasks had settled."""
     out, kept = [], []
     for kind, payload in zip(t.column("kind").to_pylist(), t.column("payload").to_pylist(), strict=True):
         if kind:
             out.append(_unpack(payload, "<i8", "<i8", "<i8", "<i8"))
         else:
-            kept.append(_unpack(payload, "<i8", "<i8", "<i8", "u1", "u1"))
-    if kept:
-        docs = np.concatenate([k[0].cumsum() for k in kept])
-        marks, pos = np.concatenate([k[1] for k in kept]), np.concatenate([k[2] for k in kept])
-        sizes = np.concatenate([k[3] for k in kept]).astype(np.int64)
-        of, low, high = repeated(np.concatenate([k[4] for k in kept]), sizes, docs)
-        out.append([docs[of], marks[of], pos[of] + low, pos[of] + high])
+            kept.append(_unpack(payload, "<i8", "<i8", "<i8", "u1", "u1", "u1"))
+            kept[-1][0] = kept[-1][0].cumsum()
+    for sub in range(GROUP if kept else 0):
+        parts = []
+        for docs, marks, pos, sizes, bucket, data in kept:  # sorted by bucket
+            low, high = np.searchsorted(bucket, [sub, sub + 1])
+            if low < high:
+                begin, end = int(sizes[:low].sum(dtype=np.int64)), int(sizes[:high].sum(dtype=np.int64))
+                parts.append((docs[low:high], marks[low:high], pos[low:high], sizes[low:high], data[begin:end]))
+        if parts:
+            docs, marks, pos, sizes, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+            of, low, high = repeated(data, sizes.astype(np.int64), docs)
+            out.append([docs[of], marks[of], pos[of] + low, pos[of] + high])
     columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
     return pa.table({"doc": columns[0], "mark": columns[1], "span": (columns[2] << 32) | columns[3]})
 
