@@ -20,7 +20,7 @@ Columns besides ``doc_id`` and ``text`` are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil, log
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
