@@ -34,7 +34,7 @@ from netloom.operators.stages import settle
 WIDTH = 3
 RADIUS = 3
 SEED = 42
-LEAF = 2048
+LEAF = 65_536
 SAMPLE = 65_536
 PIECE = 65_536  # shingles whose bits are counted at a time
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -132,7 +132,7 @@ def fit_tree(distinct: DataFrame, radius: int, leaf: int = LEAF, sample: int = S
     return Tree(own, max(32, int(leaf * share)), radius, np.random.default_rng(SEED))
 
 
-def forest(fps: np.ndarray, other: np.ndarray | None, radius: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+def forest(fps: np.ndarray, other: np.ndarray | None, radius: int, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what links within ``fps`` (or between it and ``other``) connect."""
     nodes = np.unique(fps if other is None else np.concatenate([fps, other]))
     rows = np.unique(fps)
