@@ -8,7 +8,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.config import AlertParams, FlowParams, ScoreParams, load_config
+from netloom.config import AlertParams, ScoreParams, load_config
 from netloom.functions.severity import iso_timestamp, protocol_name, severity_by_type, severity_weighted
 from netloom.operators import alerts, clean, evaluation, metrics, quality, scoring, splits
 from netloom.operators.features import flow_features
