@@ -8,7 +8,7 @@ dictionary is the ``WORDS`` most frequent short words, counted over all document
 pairs are those of the dictionary, weighted by the counts.
 
 Training rows are labelled findings (``candidate, before, after, path, label``).  Where none are given,
-:func:`labelled_findings` makes them from a bounded draw of candidates (``DRAWN`` at most): fixed
+:func:`labelled_findings` labels all candidates and draws at most ``DRAWN`` of each label: fixed
 formats and assignments to a secret's name are positive, other candidates negative, and
 contrast rows carry over a secret's value beside the words of a commit or a checksum, or a placeholder beside
 a secret's name, both negative.
@@ -17,8 +17,9 @@ All steps are DataFrame expressions and Spark's own forest.  The dictionary is b
 ``WORDS`` and broadcast.
 
 Rows: null and empty texts have no candidates; null ids are kept; repeated rows repeat their
-findings; a very long run is one candidate.  Without a training row of each kind every
-candidate keeps the probability 0.5.  Extra columns are not read, except a path if named.
+findings; a very long run is one candidate.  Both labels weigh the same in training, however
+rare one is.  Without a positive training row no candidate is a secret (probability 0), without a
+negative one all are (probability 1).  Extra columns are not read, except a path if named.
 """
 
 from __future__ import annotations
@@ -123,12 +124,14 @@ def features(found: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def labelled_findings(found: DataFrame, drawn: int = DRAWN) -> DataFrame:
-    """``candidate, before, after, path, label`` from a draw of candidates, with contrast rows."""
-    rows = found.select("candidate", "before", "after", "path").distinct()
-    rows = rows.withColumn("draw", F.xxhash64("candidate", "before", "after", "path")).orderBy("draw", "candidate", "before").limit(drawn)
+    """``candidate, before, after, path, label`` from a draw of candidates of each label, with contrast rows."""
     sure = F.col("candidate").rlike(FORMATS)
     named = F.col("before").rlike(ASSIGNED) & F.col("candidate").rlike("[a-zA-Z]") & ~F.col("candidate").rlike(PLACEHOLDER + "{1}[a-z_\\-]*$")
-    rows = settle(rows.withColumn("label", F.when(sure | named, 1.0).otherwise(0.0)), "secret-draw")
+    # All candidates are labelled before the draw, so that rare secrets are not lost among many harmless runs.
+    every = found.select("candidate", "before", "after", "path", F.when(sure | named, 1.0).otherwise(0.0).alias("label")).distinct()
+    every = every.withColumn("draw", F.xxhash64("candidate", "before", "after", "path"))
+    of_label = [every.where(F.col("label") == v).orderBy("draw", "candidate", "before").limit(drawn) for v in (1.0, 0.0)]
+    rows = settle(of_label[0].unionByName(of_label[1]), "secret-draw")
     out = ("candidate", "before", "after", "path", "label")
     pick = lambda values: F.element_at(F.array(*(F.lit(v) for v in values)), (F.pmod("draw", F.lit(len(values))) + 1).cast("int"))
     secrets = rows.where("label = 1")
@@ -138,14 +141,16 @@ def labelled_findings(found: DataFrame, drawn: int = DRAWN) -> DataFrame:
     return rows.select(*out).unionByName(harmless.select(*out)).unionByName(blank.select(*out))
 
 
-def train(findings: DataFrame, words: DataFrame, pairs: DataFrame) -> RandomForestClassificationModel | None:
-    """A forest over labelled findings; none if one kind is missing."""
+def train(findings: DataFrame, words: DataFrame, pairs: DataFrame) -> RandomForestClassificationModel | float:
+    """A forest over labelled findings; if one kind is missing, the probability of all candidates."""
     rows = settle(features(findings, words, pairs).select("label", *FEATURES), "secret-training")
-    if rows.select("label").distinct().count() < 2:
-        return None
-    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows)
-    forest = RandomForestClassifier(featuresCol="x", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=11, subsamplingRate=0.8)
-    return forest.fit(vectors.select("x", "label"))
+    counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        return 1.0 if counts.get(1.0) else 0.0
+    share = F.when(F.col("label") == 1.0, F.lit(0.5 / counts[1.0])).otherwise(F.lit(0.5 / counts[0.0]))
+    vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(rows.withColumn("weight", share * sum(counts.values())))
+    forest = RandomForestClassifier(featuresCol="x", labelCol="label", weightCol="weight", numTrees=TREES, maxDepth=DEPTH, seed=11, subsamplingRate=0.8)
+    return forest.fit(vectors.select("x", "label", "weight"))
 
 
 def scan(docs: DataFrame, path: str | None = None, findings: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -155,8 +160,8 @@ def scan(docs: DataFrame, path: str | None = None, findings: DataFrame | None =
     pairs = settle(letter_pairs(words), "letter-pairs")
     forest = train(labelled_findings(found) if findings is None else findings, words, pairs)
     columns = ("doc_id", "nth", "candidate", "before", "after", "path")
-    if forest is None:
-        judged = found.withColumn("probability", F.lit(0.5))
+    if isinstance(forest, float):
+        judged = found.withColumn("probability", F.lit(forest))
     else:
         vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(features(found, words, pairs))
         judged = forest.transform(vectors.select(*columns, "x")).withColumn("probability", vector_to_array("probability")[1])
