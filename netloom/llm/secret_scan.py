@@ -1,7 +1,10 @@
 """Secret findings with false positives removed by a random forest.
 
-Candidates are runs of 16 or more key characters (letters, digits, ``+/_-``) that hold a
-digit, taken from whole texts with the text around them.  A forest judges each by its length, its
+Candidates are taken from whole texts with the text around them: runs of 16 or more key characters
+(letters, digits, ``+/_-``) that hold a digit; values of any length and characters that are
+assigned to a secret's name (quoted up to the closing quote on the line, others up to white space, a closing quote
+or the next assignment); headers of private keys; and passwords in ``user:password@host`` (1,024
+characters at most up to an inner ``@``).  A forest judges each by its length, its
 characters and the transitions between their kinds, how common its letter pairs are, how
 much of its letters dictionary words cover, the words beside it and the path.  The
 dictionary is the ``WORDS`` most frequent short words, counted over all documents; the letter
@@ -34,6 +37,19 @@ from netloom.llm.common import text_of
 from netloom.operators.stages import settle
 
 CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}+"
+# Values right after an assignment to a name, passwords of connection strings, key headers and what follows one on its line.
+ASSIGNMENT = r"""["']?\s{0,20}[=:]{1,2}>?\s{0,20}["'`]?"""
+NAME = r"(?i:password|passwd|pwd|secret|token|api_?-?key|access_?-?key|auth|credential)"
+QUOTED = "|".join(rf"(?<={q})(?!{q})[^\r\n]+?(?<!(?<!\\)\\)(?={q})" for q in "\"'`")
+BARE = (
+    r"""(?!(?<=[=:])[=:>])[^\s"'`]\S*?(?=[,;.)\]}>]{0,8}+(?:\s|$|(?<!\w)["'`]|["'`](?!\w))"""
+    r"""|[,;&](?=["']?[\w.\-]{1,64}["']?[=:]))"""
+)
+ASSIGNED_VALUE = rf"""(?<=[=:>\s"'`])(?<={NAME}{ASSIGNMENT})(?:{QUOTED}|{BARE})"""
+USERINFO = r"""(?<=[\w.%+\-]:|//:)(?!//)[^\s"'`<>@]{1,1024}+(?:@[^\s"'`<>@/:?#,;]{1,256}+){0,4}(?=@[A-Za-z0-9\[])"""
+KEY_HEADER = r"-----BEGIN (?:[A-Z0-9]{1,16} ){0,4}PRIVATE KEY(?: BLOCK)?-----"
+AFTER_HEADER = r"(?<=PRIVATE KEY-----)(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}+"
+WIDE = "|".join((ASSIGNED_VALUE, USERINFO, KEY_HEADER, AFTER_HEADER, CANDIDATE))
 BESIDE = 48  # characters of context on each side
 WORDS = 5000
 DRAWN = 20_000
@@ -42,10 +58,16 @@ DEPTH = 8
 THRESHOLD = 0.5
 # Names that secrets are assigned to, words beside harmless hashes, placeholders, paths of examples.
 NAMES = r"(?i)(password|passwd|pwd|secret|token|api_?-?key|access_?-?key|auth|credential)"
-ASSIGNED = NAMES + r"""["']?\s*[=:]\s*["']?$"""
+ASSIGNED = NAMES + r"""["']?\s*[=:]{1,2}>?\s*["'`]?$"""
 HARMLESS = r"(?i)(commit|sha1|sha256|md5|checksum|digest|revision|uuid|build|etag)"
-FORMATS = r"^(AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk_live_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9\-]{16,})$"
+FORMATS = r"^(AKIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk_live_[A-Za-z0-9]{16,}|xox[abp]-[A-Za-z0-9\-]{16,}|" + KEY_HEADER + ")$"
 PLACEHOLDER = r"(?i)(example|your|change|dummy|placeholder|xxxx|0000|1234|test)"
+LOGIN = r"://[^\s/@]*:$"
+# Values that stand for another: words of code, variables, calls and fields.
+REFERENCE = (
+    r"^(?i:true|false|null|none|nil|undefined|yes|no|password|passwd|pass|pwd|secret|token|user|string|str|int)$"
+    r"|^(?:\$\{|\$\(|\{\{|[%<]).*|^\$[A-Z_]+$|^[A-Za-z_][A-Za-z0-9_.]*[(\[].*|^[a-z_]+(?:\.[a-z_]+)+$"
+)
 EXAMPLES = r"(?i)(test|example|sample|fixture|docs?/|readme)"
 PLACEHOLDERS = ("your_api_key_here_0", "EXAMPLEKEY0000000000", "changeme-1234-changeme", "xxxxxxxxxxxxxxxxxxx0", "test-token-0123456789")
 BESIDE_HARMLESS = ("commit ", "sha256: ", "md5=", "checksum ", "revision ")
@@ -54,8 +76,8 @@ BESIDE_HARMLESS = ("commit ", "sha256: ", "md5=", "checksum ", "revision ")
 def candidates(docs: DataFrame, path: str | None = None) -> DataFrame:
     """``doc_id, nth, candidate, before, after, path`` of every candidate in the texts."""
     rows = docs.select("doc_id", text_of(F.col("text")).alias("t"), (F.col(path).cast("string") if path else F.lit("")).alias("path"))
-    rows = rows.where(F.col("t").rlike(CANDIDATE))
-    rows = rows.select("doc_id", "path", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("t", CANDIDATE).alias("parts"))
+    rows = rows.where(F.col("t").rlike(WIDE))
+    rows = rows.select("doc_id", "path", F.regexp_extract_all("t", F.lit(WIDE), F.lit(0)).alias("found"), F.split("t", WIDE).alias("parts"))
     # Cut before the rows are made: a text's parts are not repeated per candidate.
     near = F.expr(f"transform(found, (c, i) -> struct(c AS candidate, right(get(parts, i), {BESIDE}) AS before, left(get(parts, i + 1), {BESIDE}) AS after))")
     rows = rows.select("doc_id", "path", F.posexplode(near).alias("nth", "c"))
@@ -86,6 +108,7 @@ def _share(c: Column, pattern: str) -> Column:
 FEATURES = (
     "length", "digits", "upper", "lower", "signs", "hex", "distinct", "turns", "bits", "covered", "named", "assigned",
     "harmless", "format", "placeholder", "before_words", "after_quote", "example_path",
+    "other", "before_quote", "login", "reference", "word",
 )
 
 
@@ -120,13 +143,19 @@ def features(found: DataFrame, words: DataFrame, pairs: DataFrame) -> DataFrame:
         flag(c, FORMATS).alias("format"), flag(c, PLACEHOLDER).alias("placeholder"),
         F.size(F.split(before, r"\s+")).cast("double").alias("before_words"), flag(F.col("after"), "^[\"']").alias("after_quote"),
         flag(F.col("path"), EXAMPLES).alias("example_path"),
+        _share(c, r"[^A-Za-z0-9+/_\-]").alias("other"), flag(before, "[\"'`]$").alias("before_quote"),
+        (flag(before, LOGIN) * flag(F.col("after"), "^@")).alias("login"), flag(c, REFERENCE).alias("reference"), flag(c, "^[A-Za-z]+$").alias("word"),
     )
 
 
 def labelled_findings(found: DataFrame, drawn: int = DRAWN) -> DataFrame:
     """``candidate, before, after, path, label`` from a draw of candidates of each label, with contrast rows."""
-    sure = F.col("candidate").rlike(FORMATS)
-    named = F.col("before").rlike(ASSIGNED) & F.col("candidate").rlike("[a-zA-Z]") & ~F.col("candidate").rlike(PLACEHOLDER + "{1}[a-z_\\-]*$")
+    c, before = F.col("candidate"), F.col("before")
+    stands_for = c.rlike(PLACEHOLDER + "{1}[a-z_\\-]*$") | c.rlike(REFERENCE)
+    sure = c.rlike(FORMATS) | (before.rlike(LOGIN) & F.col("after").rlike("^@") & ~stands_for)
+    # A bare word after a colon and a space is prose.
+    prose = before.rlike(r":\s+$") & c.rlike("^[A-Za-z]+$")
+    named = before.rlike(ASSIGNED) & c.rlike("[a-zA-Z]") & ~stands_for & ~prose
     # All candidates are labelled before the draw, so that rare secrets are not lost among many harmless runs.
     every = found.select("candidate", "before", "after", "path", F.when(sure | named, 1.0).otherwise(0.0).alias("label")).distinct()
     every = every.withColumn("draw", F.xxhash64("candidate", "before", "after", "path"))
