@@ -45,7 +45,7 @@ BARE = (
     r"""(?!(?<=[=:])[=:>])[^\s"'`]\S*?(?=[,;.)\]}>]{0,8}+(?:\s|$|(?<!\w)["'`]|["'`](?!\w))"""
     r"""|[,;&](?=["']?[\w.\-]{1,64}["']?[=:]))"""
 )
-ASSIGNED_VALUE = rf"""(?<=[=:>\s"'`])(?<={NAME}{ASSIGNMENT})(?:{QUOTED}|{BARE})"""
+ASSIGNED_VALUE = rf"""(?<=[=:>\s"'`])(?<=[=:][>\s"'`]{{0,22}})(?<={NAME}{ASSIGNMENT})(?:{QUOTED}|{BARE})"""
 USERINFO = r"""(?<=[\w.%+\-]:|//:)(?!//)[^\s"'`<>@]{1,1024}+(?:@[^\s"'`<>@/:?#,;]{1,256}+){0,4}(?=@[A-Za-z0-9\[])"""
 KEY_HEADER = r"-----BEGIN (?:[A-Z0-9]{1,16} ){0,4}PRIVATE KEY(?: BLOCK)?-----"
 AFTER_HEADER = r"(?<=PRIVATE KEY-----)(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{16,}+"
