@@ -12,7 +12,8 @@ the three-word runs of one of the family's templates.
 
 Scoring reads the texts once: the paragraphs' term and run hashes are joined with one table of
 weights and template runs (bounded by the terms of the training rows and the templates; broadcast
-after a count) and summed per paragraph, combined on the map side.  Paragraphs are lines.  Main path and training use DataFrame expressions and
+after a count) and summed per paragraph, combined on the map side.  Paragraphs are lines; around the end of every line a window of the
+words before and after it, ``SPAN`` on each side, finds the notices that are wrapped over several lines.  Main path and training use DataFrame expressions and
 Spark's own estimator only.
 
 Rows: null and wordless texts have no paragraphs; null ids are kept; repeated rows repeat
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.llm.common import text_of
@@ -120,6 +121,22 @@ def _key(text: Column) -> Column:
     return F.unhex(F.md5(text_of(text).cast("binary")))
 
 
+# A template that starts in a line and goes on in later ones has at most so many words on either side of the line's end.
+SPAN = max(len(t.replace("/", " ").replace("-", " ").replace(".", " ").split()) for ts in TEMPLATES.values() for t in ts) - 1
+
+
+def _windows(rows: DataFrame, *key: str) -> DataFrame:
+    """``key.., place, nth, wrapped, words``: the lines with words (``nth`` counts these), and for each one that others follow the window around its end."""
+    lines = F.transform(F.split(text_of(F.col("text")), r"[\n\r]+"), lambda t, i: F.struct(i.alias("place"), words_of(t).alias("own")))
+    rows = rows.select(*key, F.filter(lines, lambda x: F.size(x["own"]) > 0).alias("lines"))
+    rows = rows.withColumn("heads", F.transform("lines", lambda x: F.slice(x["own"], 1, SPAN)))
+    after = f"slice(flatten(slice(heads, i + 2, {SPAN})), 1, {SPAN})"
+    rows = rows.select(*key, F.posexplode(F.expr(f"transform(lines, (x, i) -> struct(x.place AS place, x.own AS own, {after} AS after))")).alias("nth", "l"))
+    end = f"concat(slice(l.own, greatest(1, size(l.own) - {SPAN - 1}), {SPAN}), l.after)"
+    both = F.expr(f"filter(array(struct(false AS wrapped, l.own AS words), struct(true AS wrapped, {end} AS words)), x -> NOT x.wrapped OR size(l.after) > 0)")
+    return rows.select(*key, "l.place", "nth", F.explode(both).alias("x")).select(*key, "place", "nth", "x.wrapped", "x.words")
+
+
 def _lines(rows: DataFrame, *key: str) -> DataFrame:
     """``key.., place, words``: the lines of ``text`` with words, counted from 0."""
     rows = rows.select(*key, F.posexplode(F.split(text_of(F.col("text")), r"[\n\r]+")).alias("place", "line"))
@@ -145,7 +162,10 @@ def training_rows(docs: DataFrame, drawn: int = DRAWN, variants: int = VARIANTS)
     known = template_runs(spark).select("run").distinct().withColumnRenamed("run", "known")
     # The smallest hashes of the paragraphs: the same draw for any partitioning.
     lines = paragraphs(docs).withColumn("draw", F.xxhash64("tid", "place"))
-    least = settle(lines.orderBy("draw", "tid", "place").limit(drawn).distinct(), "license-lines")
+    # Copies of a text are one before the limit; only keys are shuffled for it.
+    keys = settle(lines.select("draw", "tid", "place").distinct().orderBy("draw", "tid", "place").limit(drawn), "license-draw")
+    least = lines.join(F.broadcast(keys), ["draw", "tid", "place"], "left_semi").dropDuplicates(["draw", "tid", "place"])
+    least = settle(least.select("tid", "place", "words", "draw"), "license-lines")
     alike = least.select("draw", F.explode(_runs(F.col("words"))).alias("run")).join(F.broadcast(known), F.col("run") == F.col("known"))
     plain = least.join(alike.select("draw").distinct(), "draw", "left_anti")
     fillers = [r.words[:8] for r in plain.orderBy("draw").limit(50).select("words").collect()] or [["a"]]
@@ -233,7 +253,7 @@ def train(docs: DataFrame) -> Model:
 def scan(docs: DataFrame, model: Model | None = None, least: float = LEAST, confirm: float = CONFIRM) -> DataFrame:
     """``doc_id, place, family, probability, similarity, confirmed`` of the paragraphs that get a family.
 
-    ``place`` counts lines from 0; ``similarity`` is the largest share of the runs of one of
+    ``place`` counts lines from 0 and is the first one of a notice that is wrapped over several; ``similarity`` is the largest share of the runs of one of
     the family's templates that the paragraph holds.
     """
     model = model or train(docs)
@@ -241,8 +261,8 @@ def scan(docs: DataFrame, model: Model | None = None, least: float = LEAST, conf
     if weights.count() <= BROADCAST:
         weights = F.broadcast(weights)
     # The number tells rows apart within this one aggregation only.
-    key = ("rid", "doc_id", "place")
-    lines = _lines(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "rid", "doc_id")
+    key = ("rid", "doc_id", "place", "nth", "wrapped")
+    lines = _windows(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), "rid", "doc_id")
     hashes = F.concat(term_hashes(F.col("words")), run_hashes(F.col("words")))
     rows = lines.select(*key, F.explode(hashes).alias("hash")).join(weights, F.col("hash") == F.col("term"))
     summed = rows.groupBy(*key).agg(
@@ -250,11 +270,20 @@ def scan(docs: DataFrame, model: Model | None = None, least: float = LEAST, conf
     )
     alike = {f: [F.col(f"h{j}") / n for j, (g, n) in enumerate(model.sizes) if f == g] for f in families}
     alike = F.array(*(F.greatest(F.lit(0.0), *alike[f]) if alike[f] else F.lit(0.0) for f in families))
-    scored = summed.select("doc_id", "place", _shares(model.biases, model.temperature).alias("p"), alike.alias("alike"))
+    scored = summed.select(*key, _shares(model.biases, model.temperature).alias("p"), alike.alias("alike"))
     scored = scored.withColumn("probability", F.array_max("p")).withColumn("k", F.array_position("p", F.array_max("p")).cast("int"))
     names = F.array(*(F.lit(f) for f in families))
     scored = scored.withColumn("family", F.element_at(names, F.col("k"))).withColumn("similarity", F.element_at("alike", F.col("k")))
     scored = scored.where((F.col("family") != UNKNOWN) & (F.col("probability") >= least))
+    scored = scored.where(~F.col("wrapped") | (F.col("similarity") >= confirm))
+    # A window counts where no line or window beside it holds more of the notice; of equal ones the last, which starts in it.
+    near = Window.partitionBy("rid", "family").orderBy("nth")
+    here = Window.partitionBy("rid", "family", "nth")
+    for name, at in (("beyond", 1), ("earlier", -1)):
+        scored = scored.withColumn(name, F.coalesce(F.max("similarity").over(near.rangeBetween(at, at)), F.lit(0.0)))
+    scored = scored.withColumn("line", F.coalesce(F.max(F.when(~F.col("wrapped"), F.col("similarity"))).over(here), F.lit(0.0)))
+    scored = scored.where(~F.col("wrapped") | ((F.col("similarity") > F.greatest("beyond", "line")) & (F.col("similarity") >= F.col("earlier"))))
+    scored = scored.withColumn("replaced", F.max("wrapped").over(here)).where(F.col("wrapped") | ~F.col("replaced"))
     return scored.select("doc_id", "place", "family", "probability", "similarity", (F.col("similarity") >= confirm).alias("confirmed"))
 
 
