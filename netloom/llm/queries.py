@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from netloom.llm import (
+    conversation_repair,
     decontaminate,
     exact_dedup,
     licenses,
+    minhash_dedup,
     mixing,
+    periodic_runs,
     secret_scan,
     simhash_dedup,
     suffix_dedup,
@@ -42,6 +45,9 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": _over("pages", url_filter.query),
     "op9_token_counts": _over("documents", token_counts.query),
     "op10_secret_scan": _over("documents", secret_scan.query),
+    "op11_minhash_dedup": _over("documents", minhash_dedup.query),
+    "op12_conversation_repair": _over("conversations", conversation_repair.query),
+    "op13_periodic_runs": _over("documents", periodic_runs.query),
 }
 
 SQL: dict[str, str] = {
