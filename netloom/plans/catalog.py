@@ -122,6 +122,18 @@ def frame_decode(spark, sf):
     return df.select("packet_id", us("ts").alias("us"), *[c for c in df.columns if c not in ("packet_id", "ts")])
 
 
+@query(f"""WITH {PACKETS} SELECT epoch_us(ts) AS us, src_ip, dst_ip, src_port, dst_port, protocol,
+ greatest(length, 14 + header_len) AS length, header_len, tcp_flags, window_size FROM packets""")
+def raw_frames(spark, sf):
+    """Packets written as capture files and read back by byte ranges."""
+    from netloom.sources.captures import read_captures, write_captures
+
+    folder = _folder(spark, "captures")
+    write_captures(views.frames(spark, sf), folder)
+    df = decode_frames(read_captures(spark, folder, 1 << 20))
+    return df.select(us("ts").alias("us"), *[c for c in df.columns if c not in ("packet_id", "ts")])
+
+
 @query(f"""WITH {KEYED}, cut AS (SELECT *, CASE WHEN us - lag(us) OVER w > 21600000000 OR lag(us) OVER w IS NULL THEN 1 ELSE 0 END AS c
  FROM keyed WINDOW w AS (PARTITION BY {KEY} ORDER BY us, packet_id)),
 s AS (SELECT *, sum(c) OVER (PARTITION BY {KEY} ORDER BY us, packet_id) AS no FROM cut)
