@@ -10,10 +10,11 @@ document; there is no index.  The scan works on blocks of any stream:
    stream is not ordered by one task;
 3. each separator closes a document: the tokens since the separator before it.
 
-:func:`read_token_files` cuts raw files into blocks; :func:`encode` writes documents as such
-streams: every task appends the tokens of its documents to its own stream, cut into blocks
-without regard to documents, and lists their ids in order (the manifest), which the scan
-does not read.
+:func:`read_token_files` is a data source over raw files: a file is cut into byte ranges of whole blocks, so one of
+any size is read by many tasks, and a stream may be one file or the files of a folder in order of their names.
+:func:`encode` turns documents into streams: every task appends the tokens of its documents to its own stream, cut into blocks
+without regard to documents, and lists their ids in order (the manifest), which the scan does not read;
+:func:`write_token_files` puts the streams into flat files in the shared folder.
 
 Rows: a null or empty text has no tokens and still one separator; null and repeated ids are kept in the manifest.
 Tokens after the last separator form an unclosed document.  Extra columns are not read.
@@ -22,6 +23,7 @@ Tokens after the last separator form an unclosed document.  Extra columns are no
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,11 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader
+from pyspark.sql.types import StructType
 
-from netloom.operators.stages import settle
+from netloom.operators.stages import settle, shared_folder
+from netloom.sources.ranges import RANGE_BYTES, ByteRange, File, chunks, list_files, opened, plan_ranges
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The usual split into words, numbers, signs and spaces that this vocabulary was made with (fixed value).
@@ -97,29 +102,83 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, end: int = END, width:
     return rows.mapInArrow(batches, f"stream int, block long, payload binary, first long, ids array<{id_type}>")
 
 
-def read_token_files(spark: SparkSession, path: str, width: int = WIDTH, block: int = BLOCK) -> DataFrame:
-    """``stream, block, payload`` of raw token files; the stream is the file's path.
+class TokenReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.path, self.width, self.block = options["path"], int(options["width"]), int(options["block"])
+        self.span, self.joined = int(options.get("rangebytes", RANGE_BYTES)), options.get("joined") == "true"
 
-    Each file is one row of Spark's binary reader, so a file should stay well below the memory of
-    a task (two gigabytes at most); a longer stream is kept as several files.
+    def partitions(self) -> list[ByteRange]:
+        files = list_files(self.path)
+        for f in files:
+            if f.size % self.width:
+                raise ValueError(f"{f.path}: {f.size} bytes are no whole number of tokens")
+        if self.joined:
+            named = sorted(files, key=lambda f: f.path)
+            files = [File(f.path, f.size, f.modified, k) for k, f in enumerate(named)]
+        return plan_ranges(files, self.span, self.width * self.block)
+
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no files
+            return
+        size = self.width * self.block
+        # Block numbers give the order only, so a file of a joined stream leaves room behind it.
+        stream, first = (self.path, partition.number << 40) if self.joined else (partition.path, 0)
+        for k, payload in enumerate(chunks(partition.path, partition.start, partition.stop, size), first + partition.start // size):
+            yield pa.RecordBatch.from_arrays([pa.array([stream]), pa.array([k], pa.int64()), pa.array([payload], pa.binary())], ["stream", "block", "payload"])
+
+
+class TokenSource(DataSource):
+    """``spark.read.format("tokens")``; options ``path``, ``width``, ``block``, ``rangeBytes``, ``joined``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tokens"
+
+    def schema(self) -> str:
+        return "stream string, block long, payload binary"
+
+    def reader(self, schema: StructType) -> TokenReader:
+        return TokenReader(self.options)
+
+
+def read_token_files(
+    spark: SparkSession, path: str, width: int = WIDTH, block: int = BLOCK, range_bytes: int = RANGE_BYTES, joined: bool = False
+) -> DataFrame:
+    """``stream, block, payload`` of raw token files, read by byte ranges.
+
+    A stream is a file (named by its path) or, if ``joined``, all files of the folder in order of their names.
     """
+    spark.dataSource.register(TokenSource)
+    reader = spark.read.format("tokens").option("width", width).option("block", block)
+    return reader.option("rangeBytes", range_bytes).option("joined", str(joined).lower()).load(path)
 
-    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            for name, content in zip(*batch.columns, strict=True):
-                data, size = content.as_buffer(), block * width
-                if data is None or not data.size:
-                    continue
-                if data.size % width:
-                    raise ValueError(f"{name.as_py()}: {data.size} bytes are no whole number of tokens")
-                for k, at in enumerate(range(0, data.size, size)):
-                    part = data.slice(at, min(size, data.size - at)).to_pybytes()
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([name.as_py()]), pa.array([k], pa.int64()), pa.array([part], pa.binary())], ["stream", "block", "payload"]
-                    )
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(batches, "stream string, block long, payload binary")
+
+def write_token_files(encoded: DataFrame, folder: str) -> DataFrame:
+    """The streams of :func:`encode` as flat files in ``folder``; returns ``file, first, ids`` of their documents.
+
+    The files are written as the result is evaluated, once for every attempt of a task; the rows name the file of the attempt that counts.
+    """
+    ids_type = encoded.schema["ids"].dataType.simpleString()
+
+    def make() -> tuple:
+        system, inner = opened(folder)
+        system.create_dir(inner, recursive=True)
+        return system, inner
+
+    def write(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner = make()
+        name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.bin"
+        with system.open_output_stream(f"{inner}/{name}") as out:
+            for batch in it:
+                for payload in batch.column("payload").drop_null():
+                    out.write(payload.as_buffer())
+                own = batch.filter(batch.column("ids").is_valid())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * own.num_rows, pa.string()), own.column("first"), own.column("ids")], ["file", "first", "ids"]
+                )
+
+    make()  # an empty table has no tasks that would
+    return encoded.select("payload", "first", "ids").mapInArrow(write, f"file string, first long, ids {ids_type}")
 
 
 def separators(blocks: DataFrame, end: int = END, width: int = WIDTH) -> DataFrame:
@@ -176,16 +235,17 @@ def token_counts(blocks: DataFrame, end: int = END, width: int = WIDTH, group: i
     return closed.unionByName(tails)
 
 
-def manifest(encoded: DataFrame) -> DataFrame:
+def manifest(encoded: DataFrame, stream: str = "stream") -> DataFrame:
     """``of, nth, doc_id``: which document of a stream is which."""
-    rows = encoded.where("ids IS NOT NULL").select("stream", "first", F.posexplode("ids").alias("pos", "doc_id"))
-    return rows.select(F.col("stream").alias("of"), (F.col("first") + F.col("pos")).alias("nth"), "doc_id")
+    rows = encoded.where("ids IS NOT NULL").select(stream, "first", F.posexplode("ids").alias("pos", "doc_id"))
+    return rows.select(F.col(stream).alias("of"), (F.col("first") + F.col("pos")).alias("nth"), "doc_id")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    encoded = settle(encode(docs), "token-streams")
-    counts = token_counts(encoded.where("payload IS NOT NULL").select("stream", "block", "payload"))
-    ids = manifest(encoded)
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    ids = manifest(settle(write_token_files(encode(docs), folder), "token-manifest"), "file")
+    counts = token_counts(read_token_files(spark, folder)).withColumn("stream", F.substring_index("stream", "/", -1))
     return counts.join(ids, (F.col("stream") == F.col("of")) & (F.col("ordinal") == F.col("nth"))).select(
         "doc_id", "n_tokens", "stream", "ordinal", "start"
     )

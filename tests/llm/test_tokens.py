@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import numpy as np
+import pytest
 
 from netloom.llm import token_counts as tc
 
@@ -38,6 +39,26 @@ def test_raw_files(spark, tmp_path):
     assert sorted((r.start, r.n_tokens) for r in got) == [(0, 1), (2, 1)]
 
 
+def test_ranges_and_joined_files(spark, tmp_path):
+    rng = random.Random(6)
+    tokens = np.array([7 if rng.random() < 0.01 else rng.randrange(100, 60_000) for _ in range(30_000)], "<u2")
+    want = brute(tokens.tolist(), 7)
+    tokens.tofile(tmp_path / "one.bin")
+    for range_bytes in (1, 1000, 10**9):
+        blocks = tc.read_token_files(spark, str(tmp_path / "one.bin"), block=500, range_bytes=range_bytes)
+        assert blocks.rdd.getNumPartitions() == (60 if range_bytes <= 1000 else 1)
+        assert sorted((r.start, r.n_tokens, r.closed) for r in tc.token_counts(blocks, end=7).collect()) == want
+    # The same stream as files of odd sizes, one of them empty: documents go on across file borders.
+    (tmp_path / "parts").mkdir()
+    for k, (low, high) in enumerate([(0, 1), (1, 7001), (7001, 7001), (7001, 29_000), (29_000, 30_000)]):
+        tokens[low:high].tofile(tmp_path / "parts" / f"{k}.bin")
+    blocks = tc.read_token_files(spark, str(tmp_path / "parts"), block=512, range_bytes=2000, joined=True)
+    assert sorted((r.start, r.n_tokens, r.closed) for r in tc.token_counts(blocks, end=7, group=4).collect()) == want
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="no whole number of tokens"):
+        tc.read_token_files(spark, str(tmp_path / "odd.bin")).collect()
+
+
 def test_round_trip(docs_of):
     code = tc.encoder(tc.read_vocabulary())
     rng = random.Random(1)
