@@ -116,8 +116,10 @@ def first_record(f, size: int, form: Format, start: int) -> int:
         back *= 2
 
 
-def read_range(part: ByteRange) -> Iterator[pa.RecordBatch]:
-    """The records that begin within a range; one that the capture cut off is dropped."""
+def read_range(part: ByteRange | None) -> Iterator[pa.RecordBatch]:
+    """The records that begin within a range (without one: none); one that the capture cut off is dropped."""
+    if part is None:
+        return
     system, inner = opened(part.path)
     with system.open_input_file(inner) as f:
         form = Format.of(f.read_at(min(HEADER, part.size), 0))
@@ -159,12 +161,12 @@ class CaptureReader(DataSourceReader):
     def partitions(self) -> list[ByteRange]:
         return plan_ranges(list_files(self.path), self.span)
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
         yield from read_range(partition)
 
 
 class CaptureStream(NewFiles):
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
         yield from read_range(partition)
 
 

@@ -83,6 +83,7 @@ def test_cut_and_foreign_files(tmp_path):
     (tmp_path / "text.pcap").write_bytes(b"no capture at all, only text")
     with pytest.raises(ValueError):
         [b for p in captures.plan_ranges(captures.list_files(str(tmp_path / "text.pcap")), 50) for b in captures.read_range(p)]
+    assert list(captures.read_range(None)) == []
     with pytest.raises(FileNotFoundError):
         captures.list_files(str(tmp_path / "none"))
 
