@@ -12,12 +12,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from netloom.operators.alerts import DEDUP_KEY, dedup_alerts
 from netloom.session import use_disk_state
+from netloom.streaming.buckets import TimeBuckets, read_state, waiting_rows
 
+BUCKETS = 4  # time buckets to a window
 _ANCHOR = "anchor_us long, anchor_id long"
 
 
 class DedupProcessor(StatefulProcessor):
-    """State per key: alerts the watermark has not passed, and the open window's anchor.
+    """State per key: alerts the watermark has not passed, by time bucket, and the open window's anchor.
 
     The anchor is dropped by a timer once its window is over, so idle keys hold no state.
     """
@@ -28,49 +30,36 @@ class DedupProcessor(StatefulProcessor):
         self.us, self.rid = self.names.index("event_us"), self.names.index(rid)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.waiting = handle.getListState("waiting", self.schema)
+        self.waiting = TimeBuckets(handle, self.schema, self.window_us // BUCKETS, self.us)
         self.anchor = handle.getValueState("anchor", _ANCHOR)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(r) for pdf in rows for r in pdf[self.names].itertuples(index=False, name=None)]
-        yield self._advance(new, timerValues)
+        for pdf in rows:
+            self.waiting.add(pdf[self.names].itertuples(index=False, name=None))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance([], timerValues)
+        out = self._advance(timerValues.getCurrentWatermarkInMs())
+        if out:
+            yield pd.DataFrame(out, columns=[*self.names, "is_first", "anchor_us", "anchor_id"]).convert_dtypes()
 
     def close(self) -> None:
         pass
 
-    def _advance(self, new: list[tuple], timers) -> pd.DataFrame:
-        clock = timers.getCurrentWatermarkInMs() * 1000
-        order = lambda r: (r[self.us], r[self.rid])
-        rows = sorted([*(tuple(r) for r in self.waiting.get()), *new], key=order)
-        ready = [r for r in rows if r[self.us] < clock]
-        later = rows[len(ready):]
-        anchor = tuple(self.anchor.get()) if self.anchor.exists() else None
+    def _advance(self, clock_ms: int) -> list[tuple]:
+        before = anchor = tuple(self.anchor.get()) if self.anchor.exists() else None
         out = []
-        for r in ready:
+        for r in sorted(self.waiting.take(clock_ms), key=lambda r: (r[self.us], r[self.rid])):
             first = anchor is None or r[self.us] - anchor[0] >= self.window_us
             if first:
                 anchor = (r[self.us], r[self.rid])
             out.append((*r, first, *anchor))
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        over = anchor is not None and clock >= anchor[0] + self.window_us
-        if over or anchor is None:
+        if anchor is not None and self.waiting.passed(clock_ms) >= anchor[0] + self.window_us:
             self.anchor.clear()
-        else:
+        elif anchor != before:
             self.anchor.update(anchor)
-        if later:
-            self.waiting.put(later)
-        else:
-            self.waiting.clear()
-        wake = [later[0][self.us]] if later else []
-        wake += [anchor[0] + self.window_us] if anchor is not None and not over else []
-        if wake:
-            self.handle.registerTimer(min(wake) // 1000 + 1)
-        return pd.DataFrame(out, columns=[*self.names, "is_first", "anchor_us", "anchor_id"]).convert_dtypes()
+            self.waiting.wake(anchor[0] + self.window_us)
+        return out
 
 
 def dedup_stream(
@@ -97,18 +86,17 @@ def dedup_stream(
 
 
 def flush_waiting_alerts(spark: SparkSession, checkpoint: str, window_s: float = 60.0, *, ts: str = "ts", rid: str = "flow_id",
-                         key: Sequence[str] = DEDUP_KEY) -> DataFrame:
-    """End of stream: decide the alerts that still wait, given the windows left open."""
-
-    def state(name: str) -> DataFrame:
-        rows = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", name).load()
-        value = [f.name for f in rows.schema if f.name not in ("key", "partition_id")][0]
-        return rows.select("key", F.col(value).alias("value"))
-
-    waiting = state("waiting").select("value.*").withColumn("_open", F.lit(False))
-    opened = state("anchor").select(
+                         key: Sequence[str] = DEDUP_KEY, more: DataFrame | None = None) -> DataFrame:
+    """End of stream: decide the alerts that still wait (and ``more`` of them), given the windows left open."""
+    held = read_state(spark, checkpoint, "anchor")
+    value = [f.name for f in held.schema if f.name not in ("key", "partition_id")][0]
+    waiting = waiting_rows(spark, checkpoint).drop("key")
+    if more is not None:
+        waiting = waiting.unionByName(more.withColumn("event_us", F.unix_micros(ts)).select(waiting.columns))
+    opened = held.select(
         *(F.col(f"key.{k}").alias(k) for k in key),
-        F.col("value.anchor_us").alias("event_us"), F.col("value.anchor_id").alias(rid), F.lit(True).alias("_open"),
+        F.col(f"{value}.anchor_us").alias("event_us"), F.col(f"{value}.anchor_id").alias(rid), F.lit(True).alias("_open"),
     )
-    rows = waiting.unionByName(opened, allowMissingColumns=True).withColumn(ts, F.timestamp_micros("event_us"))
+    rows = waiting.withColumn("_open", F.lit(False)).unionByName(opened, allowMissingColumns=True)
+    rows = rows.withColumn(ts, F.timestamp_micros("event_us"))
     return dedup_alerts(rows, window_s, key=key, ts=ts, rid=rid).where(~F.col("_open")).drop("_open", "event_us")

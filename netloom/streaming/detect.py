@@ -21,7 +21,8 @@ from netloom.streaming.dedup import dedup_stream, flush_waiting_alerts
 from netloom.streaming.flows import assemble_stream, flush_open_flows
 
 Scores = Callable[[DataFrame], DataFrame]
-#: The batch number of what a stream leaves open at its end.
+#: The batch number of what is still open when a run ends.  These rows are provisional: the next run removes them and
+#: goes on from the state, so a flow that packets of a later run prolong, or an alert that they precede, comes out whole.
 FLUSH = -1
 
 
@@ -30,6 +31,15 @@ def _committed(spark: SparkSession, path: str) -> bool:
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
 
 
+def drop_provisional(spark: SparkSession, folder: str) -> None:
+    """Remove what the last run under ``folder`` wrote for flows and alerts that were still open."""
+    for pattern in (f"{folder}/predictions/batch={FLUSH}", f"{folder}/notices/batch={FLUSH}", f"{folder}/alerts/date=*/batch={FLUSH}"):
+        glob = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        files = glob.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in files.globStatus(glob) or []:
+            files.delete(found.getPath(), True)
+
+
 def write_once(batch: DataFrame, batch_id: int, path: str) -> None:
     """Each micro-batch has its own directory; a replayed batch is not written twice."""
     target = f"{path}/batch={batch_id}"
@@ -68,14 +78,19 @@ def _store_alerts(decided: DataFrame, batch_id: int, alerts_path: str, notices_p
         alerts.unpersist()
 
 
+def _alert_rows(predictions: DataFrame, params: DetectionParams) -> DataFrame:
+    """Predictions that pass the gates."""
+    ruled = alert_rules(predictions, params.alerts).where(F.col("suppress_reason").isNull())
+    # Gates that passed leave no reason; the rest of the row travels through the state.
+    return ruled.drop("suppress_reason", "error", "start")
+
+
 def alert_stream(
     predictions: DataFrame, alerts_path: str, checkpoint: str, params: DetectionParams = DetectionParams(),
     notices_path: str | None = None, every: str | None = None, delay: str = "10 seconds",
 ) -> StreamingQuery:
     """Scored flows to stored alerts and, from a severity on, message rows."""
-    ruled = alert_rules(predictions, params.alerts).where(F.col("suppress_reason").isNull())
-    # Gates that passed leave no reason; the rest of the row travels through the state.
-    deduped = dedup_stream(ruled.drop("suppress_reason", "error", "start"), params.alerts.dedup_window_s, delay=delay)
+    deduped = dedup_stream(_alert_rows(predictions, params), params.alerts.dedup_window_s, delay=delay)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         _store_alerts(batch, batch_id, alerts_path, notices_path, params)
@@ -88,23 +103,29 @@ def run_detection(
     spark: SparkSession, packets: DataFrame, folder: str, base_scores: Scores, params: DetectionParams = DetectionParams(),
     every: str | None = None, delay: str = "10 seconds",
 ) -> list[StreamingQuery]:
-    """Start both queries under ``folder``.
+    """Start both queries under ``folder``, or go on where an earlier run there has ended.
 
-    Without ``every`` all available packets are processed, both queries end, and what they
-    had left open (unfinished flows, alerts that waited for the watermark) is finished too.
+    Without ``every`` all available packets are processed and both queries end.  What is then still open (unfinished flows, alerts
+    that wait for the watermark) is finished as if no packet followed and stored as batch ``FLUSH`` beside the
+    others; the state keeps it, and the next run replaces those rows.  After every run the tables equal the batch plan
+    over all packets so far, apart from packets later than ``delay``.
     """
     predictions, chk = f"{folder}/predictions", f"{folder}/checkpoints"
+    drop_provisional(spark, folder)
     first = predict_stream(packets, predictions, f"{chk}/flows", base_scores, params, every, delay)
+    schema = prediction_schema(spark, params, base_scores)
     if every is None:
         first.awaitTermination()
-        rest = flow_features(flush_open_flows(spark, f"{chk}/flows", params.flows), params.flows)
-        write_once(score_flows(rest, base_scores, params), FLUSH, predictions)
-    schema = prediction_schema(spark, params, base_scores)
-    scored = spark.readStream.schema(schema).parquet(f"{predictions}/batch=*")
+    scored = spark.readStream.schema(schema).parquet(f"{predictions}/batch=[0-9]*")
     second = alert_stream(scored, f"{folder}/alerts", f"{chk}/alerts", params, f"{folder}/notices", every, delay)
     if every is None:
         second.awaitTermination()
-        waiting = flush_waiting_alerts(spark, f"{chk}/alerts", params.alerts.dedup_window_s)
+        rest = flow_features(flush_open_flows(spark, f"{chk}/flows", params.flows), params.flows)
+        write_once(score_flows(rest, base_scores, params), FLUSH, predictions)
+        unfinished = spark.read.schema(schema).parquet(f"{predictions}/batch={FLUSH}")
+        waiting = flush_waiting_alerts(
+            spark, f"{chk}/alerts", params.alerts.dedup_window_s, more=_alert_rows(unfinished, params)
+        )
         _store_alerts(waiting, FLUSH, f"{folder}/alerts", f"{folder}/notices", params)
     return [first, second]
 

@@ -1,8 +1,9 @@
 """Flow assembly on a stream.
 
-State per key is only the packets that are not emitted yet.  Packets wait until the
+State per key is only the packets that are not emitted yet.  Packets wait in time buckets until the
 watermark has passed them, so arrival order inside the watermark delay does not matter
-and the result equals the batch operator on the same packets.  A flow leaves the state
+and the result equals the batch operator on the same packets.  A packet that has been passed joins the open flow,
+of which only the start and the last time are read; its packets are appended, and read once when the flow leaves the state
 whole: on FIN/RST, when a later packet starts a new flow, or when the watermark passes
 its idle or absolute deadline.
 """
@@ -21,7 +22,9 @@ from netloom.config import FlowParams
 from netloom.operators.flows import KEY, assemble_flows, canonical_key, micros
 from netloom.schema import FIN, RST
 from netloom.session import use_disk_state
+from netloom.streaming.buckets import TimeBuckets, read_state, waiting_rows
 
+BUCKETS = 8  # time buckets to the shorter timeout
 _PACKET = ("us", "packet_id", "side", "length", "header_len", "tcp_flags", "window_size")
 _STATE = T.StructType(
     [T.StructField(n, T.LongType() if n in ("us", "packet_id") else T.IntegerType()) for n in _PACKET]
@@ -59,50 +62,57 @@ class FlowProcessor(StatefulProcessor):
         self.absolute_us = round(params.absolute_s * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
+        self.waiting = TimeBuckets(handle, _STATE, min(self.idle_us, self.absolute_us) // BUCKETS)
+        self.head = handle.getValueState("head", "start_us long, last_us long")
         self.packets = handle.getListState("packets", _STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        new = [tuple(r) for pdf in rows for r in pdf[list(_PACKET)].itertuples(index=False, name=None)]
-        yield self._advance(key, new, timerValues)
+        for pdf in rows:
+            self.waiting.add(pdf[list(_PACKET)].itertuples(index=False, name=None))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, [], timerValues)
+        done = self._advance(key, timerValues.getCurrentWatermarkInMs())
+        if done:
+            yield pd.DataFrame(done, columns=FLOW_PACKETS.names).convert_dtypes()
 
     def close(self) -> None:
         pass
 
-    def _advance(self, key, new: list[tuple], timers) -> pd.DataFrame:
-        """Replay what the watermark has passed; keep the open flow and later packets."""
-        clock = timers.getCurrentWatermarkInMs() * 1000
-        waiting = sorted([*(tuple(p) for p in self.packets.get()), *new])
-        done, flow = [], []
-        ready = [p for p in waiting if p[0] < clock]
+    def _advance(self, key: tuple, clock_ms: int) -> list[tuple]:
+        """Replay what the watermark has passed; the open flow and later packets stay."""
+        head = tuple(self.head.get()) if self.head.exists() else None
+        stored, done, new = head is not None, [], []
+        ready = sorted(self.waiting.take(clock_ms))
+
+        def leave(closed: bool) -> None:
+            nonlocal head, stored, new
+            flow = [*(tuple(p) for p in self.packets.get()), *new] if stored else new
+            done.extend(_closed_flow(key, flow, closed))
+            if stored:
+                self.packets.clear()
+            head, stored, new = None, False, []
+
         for p in ready:
-            if flow and (p[0] - flow[-1][0] > self.idle_us or p[0] - flow[0][0] > self.absolute_us):
-                done += _closed_flow(key, flow, False)
-                flow = []
-            flow.append(p)
-            if len(flow) > 1 and p[5] & (FIN | RST):
-                done += _closed_flow(key, flow, True)
-                flow = []
-        if flow and clock > self._deadline(flow):
-            done += _closed_flow(key, flow, False)
-            flow = []
-        keep = flow + waiting[len(ready):]
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        if keep:
-            self.packets.put(keep)
-            wake = [self._deadline(flow)] if flow else []
-            wake += [waiting[len(ready)][0]] if len(ready) < len(waiting) else []
-            self.handle.registerTimer(min(wake) // 1000 + 1)
-        else:
-            self.packets.clear()
-        return pd.DataFrame(done, columns=FLOW_PACKETS.names).convert_dtypes()
-
-    def _deadline(self, flow: list[tuple]) -> int:
-        return min(flow[-1][0] + self.idle_us, flow[0][0] + self.absolute_us)
+            if head and (p[0] - head[1] > self.idle_us or p[0] - head[0] > self.absolute_us):
+                leave(False)
+            first = head is None
+            head = (p[0] if first else head[0], p[0])
+            new.append(p)
+            if not first and p[5] & (FIN | RST):
+                leave(True)
+        if head and self.waiting.passed(clock_ms) > self._deadline(head):
+            leave(False)
+        if head is None:
+            self.head.clear()
+        elif new:
+            self.packets.appendList(new) if stored else self.packets.put(new)
+            self.head.update(head)
+            self.waiting.wake(self._deadline(head))
+        return done
+
+    def _deadline(self, head: tuple) -> int:
+        return min(head[1] + self.idle_us, head[0] + self.absolute_us)
 
 
 def assemble_stream(packets: DataFrame, params: FlowParams = FlowParams(), delay: str = "10 seconds") -> DataFrame:
@@ -119,10 +129,11 @@ def assemble_stream(packets: DataFrame, params: FlowParams = FlowParams(), delay
 
 
 def open_packets(spark: SparkSession, checkpoint: str) -> DataFrame:
-    """Packets still in the state of a stopped query."""
-    rows = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "packets").load()
+    """Packets still in the state of a stopped query: those of open flows and those that wait."""
+    rows = read_state(spark, checkpoint, "packets")
     value = [f.name for f in rows.schema if f.name not in ("key", "partition_id")][0]
-    return rows.select("key.*", f"{value}.*")
+    opened = rows.select("key.*", f"{value}.*")
+    return opened.unionByName(waiting_rows(spark, checkpoint).select("key.*", *_PACKET))
 
 
 def flush_open_flows(spark: SparkSession, checkpoint: str, params: FlowParams = FlowParams()) -> DataFrame:

@@ -6,13 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from netloom.config import AlertParams, DetectionParams, FlowParams
-from netloom.operators.alerts import dedup_alerts
+from netloom.operators.alerts import dedup_alerts, notification_queue
 from netloom.operators.features import flow_features
 from netloom.operators.flows import assemble_flows
 from netloom.plans.detection import detect
 from netloom.plans.views import rule_scores
 from netloom.schema import PACKET_SCHEMA
-from netloom.sources.alerts import read_alerts
+from netloom.sources.alerts import read_alerts, to_alert_rows
 from netloom.sources.packets import packet_stream
 from netloom.streaming.dedup import dedup_stream
 from netloom.streaming.detect import run_detection
@@ -97,3 +97,134 @@ def test_run_detection_stores_alerts(spark, packet_dir, tmp_path):
     want = {(r.ts, r.src_ip, r.src_port, r.attack_type) for r in batch.collect()}
     got = {(r.timestamp, r.src_ip, r.src_port, r.attack_type) for r in alerts.collect()}
     assert got == want and len(got) > 5
+
+
+def _alerts(df):
+    return sorted((r.timestamp, r.src_ip, r.src_port, r.attack_type) for r in df.collect())
+
+
+def test_runs_go_on_where_the_last_one_ended(spark, packet_dir, tmp_path):
+    """Three runs over a growing folder: after each, the tables equal the batch plan over what has come."""
+    params = DetectionParams(flows=PARAMS, alerts=AlertParams(dedup_window_s=120))
+    packets, source = spark.read.schema(PACKET_SCHEMA).parquet(packet_dir).cache(), str(tmp_path / "in")
+    folder = str(tmp_path / "out")
+    for run, (low, high) in enumerate([(0, 350), (350, 420), (420, 900)]):
+        packets.where(f"packet_id >= {low} AND packet_id < {high}").coalesce(2).write.mode("append").parquet(source)
+        for q in run_detection(spark, packet_stream(spark, source), folder, rule_scores, params, delay="1 minute"):
+            assert q.exception() is None
+        batch = detect(packets.where(f"packet_id < {high}"), rule_scores, params).cache()
+        got = spark.read.parquet(f"{folder}/predictions")
+        assert sorted(r.flow_id for r in got.collect()) == sorted(r.flow_id for r in batch.collect()), run
+        alerts = batch.where("outcome = 'alert'").withColumn("timestamp", F.col("ts"))
+        assert _alerts(read_alerts(spark, f"{folder}/alerts")) == _alerts(alerts), run
+        notices = spark.read.parquet(f"{folder}/notices")
+        assert notices.count() == notification_queue(to_alert_rows(alerts), params.alerts.notify_min_severity).count()
+    # A run without new packets changes nothing.
+    before = _alerts(read_alerts(spark, f"{folder}/alerts"))
+    run_detection(spark, packet_stream(spark, source), folder, rule_scores, params, delay="1 minute")
+    assert _alerts(read_alerts(spark, f"{folder}/alerts")) == before
+
+
+class _Map(dict):
+    reads = 0
+
+    containsKey = dict.__contains__
+
+    def getValue(self, key):
+        type(self).reads += len(self[key][0]) if isinstance(self[key][0], list) else 0
+        return self[key]
+
+    updateValue = dict.__setitem__
+    removeKey = dict.__delitem__
+
+
+class _List:
+    reads = 0
+
+    def __init__(self):
+        self.rows = []
+
+    def get(self):
+        type(self).reads += len(self.rows)
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = list(rows)
+
+    def appendList(self, rows):
+        self.rows += rows
+
+    def clear(self):
+        self.rows = []
+
+
+class _Value:
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+
+class _Handle:
+    def __init__(self):
+        self.timers = set()
+
+    def getMapState(self, *_):
+        return _Map()
+
+    def getListState(self, *_):
+        return _List()
+
+    def getValueState(self, *_):
+        return _Value()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+class _Clock:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_every_waiting_row_is_read_once():
+    """One key with an open flow: what a batch reads does not grow with what the key holds."""
+    import pandas as pd
+
+    from netloom.streaming import flows as S
+
+    processor = S.FlowProcessor(FlowParams(idle_s=60, absolute_s=3600))
+    handle = _Handle()
+    processor.init(handle)
+    _Map.reads = _List.reads = 0
+    rows, out, start = 0, [], 1_700_000_000
+    for batch in range(300):
+        new = pd.DataFrame([((start + batch * 10 + k) * 1_000_000, batch * 10 + k, k % 2, 100, 40, 16, 512) for k in range(10)], columns=list(S._PACKET))
+        assert list(processor.handleInputRows(("a", 1, "b", 2, 6), iter([new]), _Clock(0))) == []
+        rows += len(new)
+        clock = (start + batch * 10 - 30) * 1000
+        for at in sorted(t for t in handle.timers if t <= clock):
+            handle.timers.discard(at)
+            out += processor.handleExpiredTimer(("a", 1, "b", 2, 6), _Clock(clock), None)
+        assert _Map.reads <= rows and _List.reads == 0
+    assert not out and _Map.reads >= rows - 60
+    late = (start + 100_000) * 1000
+    while any(t <= late for t in handle.timers):
+        at = min(handle.timers)
+        handle.timers.discard(at)
+        out += processor.handleExpiredTimer(("a", 1, "b", 2, 6), _Clock(late), None)
+    assert _Map.reads == rows and _List.reads <= rows
+    assert sum(len(f) for f in out) == rows and not handle.timers and processor.head.value is None
