@@ -1001,7 +1001,13 @@ def silent_sources(spark, sf):
 # -- streams and models ------------------------------------------------------------------------
 
 
-@query(f"WITH RECURSIVE {FLOW_CTE} SELECT flow_id, src_ip, dst_ip, src_port, dst_port, start_us, last_us, packets, bytes FROM flows")
+# The stream's clock is the end of the last time bucket that the watermark, a minute behind the newest packet, has passed.
+@query(f"""WITH RECURSIVE {FLOW_CTE},
+clock AS (SELECT (max(us) // 1000 - 60000) // 2700000 * 2700000000 AS passed FROM keyed)
+SELECT flow_id, src_ip, dst_ip, src_port, dst_port, start_us, last_us, packets, bytes,
+ CASE WHEN close_reason = 'flush' AND passed > least(last_us + 21600000000, start_us + 43200000000)
+  THEN CASE WHEN last_us + 21600000000 <= start_us + 43200000000 THEN 'idle_timeout' ELSE 'absolute_timeout' END
+  ELSE close_reason END AS close_reason FROM flows, clock""")
 def streamed_flows(spark, sf):
     """Packets as a stream to its end, then the flush of what is still open."""
     from netloom.operators.stages import shared_folder
@@ -1012,7 +1018,7 @@ def streamed_flows(spark, sf):
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
 
-    stream = assemble_stream(views.packet_events_stream(spark, sf), FLOWS, "1 minute")
+    stream = assemble_stream(views.events_stream(spark, sf), FLOWS, "1 minute")
     q = stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     q.start().awaitTermination()
     done = spark.read.parquet(f"{folder}/out").drop("batch")
@@ -1020,10 +1026,36 @@ def streamed_flows(spark, sf):
     flows = flow_table(done.unionByName(rest), FLOWS)
     return flows.select(
         "flow_id", "src_ip", "dst_ip", "src_port", "dst_port", us("start").alias("start_us"), us("last").alias("last_us"),
-        "packets", "bytes",
+        "packets", "bytes", "close_reason",
     )
 
 
+# A third of the events pass the gates of a stream; the seconds keep repeats within a window of a day.
+@query(f"""WITH RECURSIVE gated AS (SELECT flow_id, epoch_us(ts) AS us, src_ip, dst_ip, class_name AS attack_type FROM ({views.SCORED_SQL}) WHERE rf > 0.66),
+o AS (SELECT *, row_number() OVER (PARTITION BY src_ip, dst_ip, attack_type ORDER BY us, flow_id) AS rn,
+  dense_rank() OVER (ORDER BY src_ip, dst_ip, attack_type) AS kid FROM gated),
+w AS (SELECT kid, rn, flow_id, us AS anchor, true AS is_first FROM o WHERE rn = 1
+ UNION ALL SELECT o.kid, o.rn, o.flow_id, CASE WHEN o.us - w.anchor >= 86400000000 THEN o.us ELSE w.anchor END, o.us - w.anchor >= 86400000000
+ FROM w JOIN o ON o.kid = w.kid AND o.rn = w.rn + 1)
+SELECT flow_id, is_first, anchor AS anchor_us FROM w""")
+def streamed_dedup(spark, sf):
+    """Alerts as a stream to its end, then those that still waited."""
+    from netloom.streaming.dedup import dedup_stream, flush_waiting_alerts
+
+    folder = _folder(spark, "dedup")
+    events = views.events_stream(spark, sf, views.SCORED_SQL)
+    alerts = events.where("rf > 0.66").selectExpr("flow_id", "ts", "src_ip", "dst_ip", "class_name AS attack_type")
+
+    def write(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={batch_id}")
+
+    q = dedup_stream(alerts, DEDUP_S, delay="1 minute").writeStream.foreachBatch(write)
+    q.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    done = spark.read.parquet(f"{folder}/out").select("flow_id", "is_first", "anchor_us")
+    rest = flush_waiting_alerts(spark, f"{folder}/state", DEDUP_S)
+    return done.unionByName(rest.select("flow_id", "is_first", us("anchor_ts").alias("anchor_us")))
+
+
 # -- sources and sinks: written to the shared folder, read back ----------------------------------
 
 

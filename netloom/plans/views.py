@@ -58,8 +58,8 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def packet_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packets of :func:`packets` as a stream over ``events``, a file or a folder of files."""
+def events_stream(spark: SparkSession, sf_dir: str, sql: str = PACKETS_SQL) -> DataFrame:
+    """A view of ``events`` (by default the packets of :func:`packets`) as a stream over its file or folder of files."""
     schema = table(spark, sf_dir, "events").schema
     path = f"{sf_dir}/events.parquet"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -69,7 +69,7 @@ def packet_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         src = stream.parquet(path)
     else:
         src = stream.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    df = spark.sql(PACKETS_SQL.replace("FROM events", "FROM {src}"), src=src)
+    df = spark.sql(sql.replace("FROM events", "FROM {src}"), src=src)
     return df.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
