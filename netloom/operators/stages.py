@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _settled: dict[str, list[str]] = {}
 
 
@@ -34,13 +35,19 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as a Parquet table in the shared folder and read it back.
 
     Later branches then read only their columns instead of repeating the plan, and a lost
-    executor costs a re-read, not a recomputation of everything before.  :func:`release`
+    executor costs a re-read, not a recomputation of everything before.  What the plan had shuffled is
+    deleted as soon as the table is written, so the disk never holds the shuffles of two steps.  :func:`release`
     deletes the tables when the results that read them are no longer needed.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     _settled.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
