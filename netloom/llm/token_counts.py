@@ -246,6 +246,9 @@ def query(docs: DataFrame) -> DataFrame:
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     ids = manifest(settle(write_token_files(encode(docs), folder), "token-manifest"), "file")
     counts = token_counts(read_token_files(spark, folder)).withColumn("stream", F.substring_index("stream", "/", -1))
+    # The places of the separators are settled; the files of this query are not read again.
+    system, inner = opened(folder)
+    system.delete_dir(inner)
     return counts.join(ids, (F.col("stream") == F.col("of")) & (F.col("ordinal") == F.col("nth"))).select(
         "doc_id", "n_tokens", "stream", "ordinal", "start"
     )
