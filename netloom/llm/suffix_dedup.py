@@ -2,7 +2,8 @@
 
 Every ``LENGTH``-byte string is routed by its *anchor*, the ``GRAM``-byte string inside it with the
 smallest hash: equal strings have equal anchors, so they meet in one bucket.  Consecutive strings with the same anchor
-travel together as one segment (at most ``2 * LENGTH - GRAM`` bytes).  Segments that several documents of one task
+travel together as one segment (at most ``2 * LENGTH - GRAM`` bytes).  Equal segments of one text travel once, with all their places, so
+texts that repeat themselves stay small.  Segments that several documents of one task
 share are settled there: the document with the smallest id keeps it and represents the others, so
 a passage that a third of all rows hold reaches its bucket once per task.
 
@@ -18,7 +19,7 @@ texts are cut into overlapping pieces before anchors are taken, so no task holds
 ``CHUNK`` bytes of text besides its batch.
 
 Rows: a null text is empty, and texts under ``LENGTH`` bytes stay whole; a null id counts as larger than
-any other, equal ids are not smaller than each other; rows that repeat an id are told apart by
+any other, other ids must cast to long, equal ids are not smaller than each other; rows that repeat an id are told apart by
 a hash of their text, and equal rows get equal results.  Extra columns are not read.
 """
 
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.llm.common import text_of
+from netloom.operators.stages import settle
 
 LENGTH = 50
 GRAM = 8
@@ -43,7 +45,6 @@ CHUNK = 1 << 21
 FLUSH = 3 * CHUNK
 NO_ID = 2**63 - 1
 _ODD = 0x9E3779B97F4A7C15
-_LOW = np.uint64((1 << 21) - 1)
 
 
 def rolling(data: np.ndarray, width: int) -> np.ndarray:
@@ -77,12 +78,11 @@ def _rolling(data: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
-    """For every ``length``-byte string its smallest gram hash, with the gram's place in the low bits."""
+    """For every ``length``-byte string its smallest gram hash."""
     n = max(0, len(data) - length + 1)
     out = np.empty(n, np.uint64)
     for at in range(0, n, BLOCK):
-        h = _rolling(data[at : at + BLOCK + length - 1], gram)
-        key = (h & ~_LOW) | (np.arange(at, at + len(h), dtype=np.uint64) & _LOW)
+        key = _rolling(data[at : at + BLOCK + length - 1], gram)
         places, span = length - gram + 1, 1
         while span * 2 <= places:
             key = np.minimum(key[:-span], key[span:])
@@ -94,7 +94,11 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndar
 
 
 def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """First and last string start and anchor of every segment; ``ends`` closes the pieces in ``data``."""
+    """First and last string start and anchor of every segment; ``ends`` closes the pieces in ``data``.
+
+    Neighbouring strings whose smallest gram has the same hash are one segment, wherever the gram stands in them, so a
+    repeating text is not cut at every byte; a segment holds ``length - GRAM + 1`` strings at most.
+    """
     key = anchors(data, length)
     starts = np.concatenate([[0], ends[:-1]])
     allowed = np.zeros(len(key) + 1, np.int64)
@@ -106,6 +110,8 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[
         return valid, valid, key[:0]
     own = key[valid]
     new = np.concatenate([[True], (own[1:] != own[:-1]) | (valid[1:] != valid[:-1] + 1)])
+    heads = np.flatnonzero(new)
+    new = (np.arange(len(own)) - np.repeat(heads, np.diff(np.append(heads, len(own))))) % (length - GRAM + 1) == 0
     first = valid[new]
     last = valid[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(valid) - 1]])]
     return first, last, own[new]
@@ -268,7 +274,7 @@ class Sender:
             sizes = last - first + LENGTH
             rows = padded[first[:, None] + np.arange(wide)]
             rows[np.arange(wide) >= sizes[:, None]] = 0
-            bucket = ((key >> np.uint64(21)) * np.uint64(_ODD) >> np.uint64(32)) % np.uint64(self.buckets)
+            bucket = (key * np.uint64(_ODD) >> np.uint64(32)) % np.uint64(self.buckets)
             self.parts.append((
                 bucket.astype(np.int64), table[piece, 0], table[piece, 1], first - starts[piece] + table[piece, 2], sizes, rows
             ))
@@ -292,15 +298,25 @@ class Sender:
         equal = (sizes[order] == sizes[head]) & (rows[order] == rows[head]).all(axis=1)
         beaten = np.zeros(len(doc), bool)
         beaten[order] = equal & (doc[order] > doc[head])
-        sent = np.flatnonzero(~beaten)
+        # Equal segments of one text travel once, with the places of the others.
+        again = equal & (order != head) & (doc[order] == doc[head]) & (mark[order] == mark[head])
+        other, leader = order[again], head[again]
+        held = beaten.copy()
+        held[other] = True
+        sent = np.flatnonzero(~held)
         sent = sent[np.lexsort((pos[sent], doc[sent], bucket[sent]))]
+        place = np.zeros(len(doc), np.int64)
+        place[sent] = np.arange(len(sent))
+        ranked = np.lexsort((pos[other], place[leader]))
+        other, leader = other[ranked], place[leader[ranked]]
         which, cuts = np.unique(bucket[sent] // GROUP, return_index=True)
         inside = np.arange(rows.shape[1])
-        for b, own in zip(which.tolist(), np.split(sent, cuts[1:]), strict=True):
-            d = doc[own]
+        for b, start, own in zip(which.tolist(), cuts.tolist(), np.split(sent, cuts[1:]), strict=True):
+            d, (low, high) = doc[own], np.searchsorted(leader, [start, start + len(own)])
             yield b, 0, _pack(
                 np.concatenate([d[:1], np.diff(d)]), mark[own], pos[own], sizes[own].astype(np.uint8),
                 (bucket[own] % GROUP).astype(np.uint8), rows[own][inside < sizes[own, None]],
+                (leader[low:high] - start).astype(np.uint32), pos[other[low:high]],
             )
         gone = np.flatnonzero(beaten)
         home = doc[gone] % self.groups
@@ -317,19 +333,29 @@ def _compare(t: pa.Table) -> pa.Table:
         if kind:
             out.append(_unpack(payload, "<i8", "<i8", "<i8", "<i8"))
         else:
-            kept.append(_unpack(payload, "<i8", "<i8", "<i8", "u1", "u1", "u1"))
+            kept.append(_unpack(payload, "<i8", "<i8", "<i8", "u1", "u1", "u1", "<u4", "<i8"))
             kept[-1][0] = kept[-1][0].cumsum()
     for sub in range(GROUP if kept else 0):
-        parts = []
-        for docs, marks, pos, sizes, bucket, data in kept:  # sorted by bucket
+        parts, before = [], 0
+        for docs, marks, pos, sizes, bucket, data, leader, places in kept:  # sorted by bucket
             low, high = np.searchsorted(bucket, [sub, sub + 1])
             if low < high:
                 begin, end = int(sizes[:low].sum(dtype=np.int64)), int(sizes[:high].sum(dtype=np.int64))
-                parts.append((docs[low:high], marks[low:high], pos[low:high], sizes[low:high], data[begin:end]))
+                first, last = np.searchsorted(leader, [low, high])
+                parts.append((
+                    docs[low:high], marks[low:high], pos[low:high], sizes[low:high], data[begin:end],
+                    leader[first:last].astype(np.int64) + (before - low), places[first:last],
+                ))
+                before += high - low
         if parts:
-            docs, marks, pos, sizes, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+            docs, marks, pos, sizes, data, leader, places = (np.concatenate(x) for x in zip(*parts, strict=True))
             of, low, high = repeated(data, sizes.astype(np.int64), docs)
             out.append([docs[of], marks[of], pos[of] + low, pos[of] + high])
+            # The same ranges at the other places of an equal segment.
+            first, n = np.searchsorted(leader, of), np.searchsorted(leader, of, side="right")
+            n -= first
+            at, hit = places[_ranges(first, n)], np.repeat(np.arange(len(of)), n)
+            out.append([docs[of[hit]], marks[of[hit]], at + low[hit], at + high[hit]])
     columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 4
     return pa.table({"doc": columns[0], "mark": columns[1], "span": (columns[2] << 32) | columns[3]})
 
@@ -387,7 +413,8 @@ def cut_text(text: bytes, spans: list[int]) -> tuple[bytes, int, int]:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes) of every row."""
     rows = _identified(docs)
-    spans = removed_ranges(rows).groupBy("doc", "mark").agg(F.sort_array(F.collect_set("span")).alias("spans"))
+    # Written, so that the packed segments are deleted before the texts are shuffled.
+    spans = settle(removed_ranges(rows), "repeat-spans").groupBy("doc", "mark").agg(F.sort_array(F.collect_set("span")).alias("spans"))
     spans = spans.withColumnsRenamed({"doc": "of", "mark": "of_mark"})
     joined = rows.join(spans, (F.col("doc") == F.col("of")) & (F.col("mark") == F.col("of_mark")), "left")
 

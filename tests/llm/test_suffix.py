@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pytest
 
 from netloom.llm import suffix_dedup as sx
 
@@ -95,3 +96,22 @@ def test_given_documents(spark, rows_of):
     got = rows_of(sx.query(spark.read.parquet(f"{path}/documents.parquet")))
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{path}/documents.parquet'").fetchall()
     assert got == brute(rows) and os.path.exists(path)
+
+
+@pytest.mark.parametrize("gram", ["-", "ab", "=-= "])
+def test_repeating_texts_stay_small(gram):
+    """A text of one repeated string is not blown up, whatever its period."""
+    raw = np.frombuffer((gram * 60_000)[:100_000].encode(), np.uint8)
+    first, last, key = sx.segments(raw, np.array([len(raw)]))
+    assert first[0] == 0 and last[-1] == len(raw) - sx.LENGTH and (first[1:] == last[:-1] + 1).all()
+    assert (last - first + sx.LENGTH).sum() <= 2.5 * len(raw)
+    sender = sx.Sender(16)
+    sent = [*sender.add(1, 0, raw.tobytes()), *sender.cut(), *sender.flush()]
+    assert sum(len(x[2]) for x in sent) < len(raw) / 10
+
+
+def test_long_runs_equal_brute_force(spark, docs_of, rows_of):
+    line = "-" * 300 + "\n" + "=-" * 120 + "\n"
+    rows = [(k, f"text {k} " * (k % 5) + line * (1 + k % 3) + "x" * (40 + k)) for k in range(30)]
+    rows += [(100 + k, "ab" * (30 + k)) for k in range(8)] + [(200, "y" * 5000), (201, "y" * 49), (202, "y" * 50)]
+    assert rows_of(sx.query(docs_of(rows))) == brute(rows)
