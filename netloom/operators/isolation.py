@@ -1,6 +1,9 @@
 """Isolation forest: MLlib has none.
 
-Each tree sees a small random sample, so sampling is one distributed pass, the trees grow
+Each tree sees a small random sample of exactly ``subsample`` rows.  Sampling costs one hash per row: a row is a
+candidate of ``k`` of the ``trees`` with ``k`` drawn from the binomial law of its copies, which is nothing for nearly all rows
+of a large table, and each tree keeps its smallest draws.  Only the hashes of rows are counted and only
+candidates' vectors move; their number is bounded by the parameters.  The trees grow
 in parallel (one small group each) and the forest is a table bounded by its parameters.
 """
 
@@ -16,6 +19,8 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.operators.stages import settle
+
 _NODES = "tree int, node int, feature int, threshold double, left int, right int, size int, depth int"
 
 
@@ -53,6 +58,39 @@ def _grow(tree: int, x: np.ndarray, max_depth: int, seed: int) -> pd.DataFrame:
     return pd.DataFrame(nodes, columns=[c.split()[0] for c in _NODES.split(", ")])
 
 
+def _candidates(h1: int, h2: int, copies: int, trees: int, share: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (copy times tree) of a row that draws at least one of them, and the draws, uniform below ``share``."""
+    rng = np.random.Generator(np.random.Philox(key=[(h1 ^ seed) & (2**64 - 1), h2 & (2**64 - 1)]))
+    n = copies * trees
+    if share >= 1.0:
+        k = n
+    elif n * share > 30:  # none at all is out of the question
+        k = max(1, int(rng.binomial(n, share)))
+    else:
+        # The inverse of the binomial law without its zero.
+        none, odds, k = (1.0 - share) ** n, share / (1.0 - share), 1
+        left, term = rng.random() * (1.0 - none), n * odds * none
+        while left > term and k < n:
+            left -= term
+            term *= odds * (n - k) / (k + 1)
+            k += 1
+    return rng.choice(n, k, replace=False, shuffle=False), rng.random(k) * share
+
+
+def _draw(rows: list, trees: int, psi: int, share: float, seed: int) -> pd.DataFrame | None:
+    """``tree, h1, h2, take``: the ``psi`` smallest draws of every tree, or None where a tree has too few candidates."""
+    parts = []
+    for h1, h2, copies in rows:
+        places, draws = _candidates(h1, h2, copies, trees, share, seed)
+        parts.append(pd.DataFrame({"tree": places % trees, "draw": draws, "copy": places // trees, "h1": h1, "h2": h2}))
+    drawn = pd.concat(parts) if parts else pd.DataFrame(columns=["tree", "draw", "copy", "h1", "h2"])
+    drawn = drawn.sort_values(["tree", "draw", "h1", "h2", "copy"], ignore_index=True)
+    if (drawn.groupby("tree").size().reindex(range(trees), fill_value=0) < psi).any():
+        return None
+    kept = drawn[drawn.groupby("tree").cumcount() < psi]
+    return kept.groupby(["tree", "h1", "h2"]).size().rename("take").reset_index()
+
+
 class _ForestParams(Params):
     inputCol = Param(Params._dummy(), "inputCol", "array<double> column", TypeConverters.toString)
     outputCol = Param(Params._dummy(), "outputCol", "decision column, low = anomalous", TypeConverters.toString)
@@ -73,21 +111,31 @@ class IsolationForest(Estimator, _ForestParams):
     def _fit(self, dataset: DataFrame) -> "IsolationForestModel":
         trees, want, seed = (self.getOrDefault(p) for p in (self.numTrees, self.subsample, self.seed))
         col = self.getOrDefault(self.inputCol)
+        spark = dataset.sparkSession
         rows = dataset.select(F.col(col).alias("x")).where(F.col("x").isNotNull())
-        n = rows.count()
+        rows = rows.select("x", F.xxhash64("x").alias("h1"), F.xxhash64(F.lit(seed), "x").alias("h2"))
+        counted = settle(rows.groupBy("h1", "h2").agg(F.count("*").alias("copies")), "isolation-rows")
+        n = counted.agg(F.sum("copies")).first()[0] or 0
         if n == 0:
             raise ValueError("no rows to fit on")
         psi = min(want, n)
         depth = max(1, math.ceil(math.log2(max(psi, 2))))
-        # One rule for every size: a hash of (row, tree) decides, so the forest depends neither on
-        # partitioning nor on order.  Equal rows are counted first and a tree takes their
-        # share of its sample; sample sizes vary by a few rows around the mean.
-        drawn = rows.groupBy("x").agg(F.count("*").alias("copies"))
-        unit = F.pmod(F.xxhash64("x", "tree", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-        ids = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-        dealt = drawn.select("x", "copies", ids.alias("tree"))
-        dealt = dealt.select("tree", "x", F.floor(F.col("copies") * F.lit(psi / n) + unit).cast("int").alias("take")).where("take > 0")
-        sample = dealt.select("tree", F.explode(F.array_repeat("x", F.col("take"))).alias("x"))
+        # Neither partitioning nor order matters: all draws come from the hashes.  More candidates than needed are
+        # drawn, so that a second round is hardly ever needed.
+        share, picked = (psi + 6 * math.sqrt(psi) + 10) / n, None
+        while picked is None:
+            share = min(1.0, share)
+            none = F.pow(F.lit(1.0 - share), F.col("copies") * trees)
+            unit = F.pmod(F.xxhash64(F.lit(seed), "h2", "h1"), F.lit(1 << 52)) / float(1 << 52)
+            hit = counted if share == 1.0 else counted.where(unit >= none)
+            picked = _draw(hit.orderBy("h1", "h2").collect(), trees, psi, share, seed)
+            share *= 2
+        # At most trees * psi rows, as the sample itself.
+        picks = spark.createDataFrame(picked.astype("int64"), "tree long, p1 long, p2 long, take long")
+        wanted = F.broadcast(picks.select("p1", "p2").distinct())
+        vectors = rows.join(wanted, (F.col("h1") == F.col("p1")) & (F.col("h2") == F.col("p2")), "left_semi").dropDuplicates(["h1", "h2"])
+        sample = picks.join(vectors, (F.col("h1") == F.col("p1")) & (F.col("h2") == F.col("p2")))
+        sample = sample.select(F.col("tree").cast("int").alias("tree"), F.explode(F.array_repeat("x", F.col("take").cast("int"))).alias("x"))
 
         def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             return _grow(int(key[0]), np.stack(pdf["x"].to_numpy()), depth, seed)

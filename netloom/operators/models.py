@@ -1,7 +1,7 @@
-"""Training plans on MLlib: base learners, meta-learner, classifier.
+"""Training plans: base learners, meta-learner, classifier.
 
-MLlib has no boosted trees with L1/L2 terms and none for more than two classes; the
-substitutes are named per function.
+Forests, first-order boosting and logistic regression come from MLlib; boosted trees with second-order gains,
+L1/L2 terms and several classes from :mod:`netloom.operators.boosting`.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.operators.boosting import BoostedModel, BoostParams, train_boosted
 from netloom.operators.clean import q
 from netloom.operators.splits import with_class_weight
 from netloom.schema import FEATURE_NAMES
@@ -40,20 +41,28 @@ def train_random_forest(df: DataFrame, y: str = "attack", **over) -> "RandomFore
     return rf.fit(with_class_weight(df, y))
 
 
-def train_boosted_binary(df: DataFrame, y: str = "attack", **over):
-    """Boosted trees with the positive class weighted by negatives / positives."""
+def train_boosted_binary(
+    df: DataFrame, y: str = "attack", second_order: dict | None = None, cols: Sequence[str] = FEATURE_NAMES, **over
+):
+    """Boosted trees with the positive class weighted by negatives / positives.
+
+    ``second_order`` (parameters of :class:`BoostParams`) and ``cols`` choose boosting with L1/L2 terms and column draws.
+    """
+    n = df.agg(F.count(F.when(F.col(y) == 0, 1)).alias("neg"), F.count(F.when(F.col(y) == 1, 1)).alias("pos")).first()
+    weight = F.when(F.col(y) == 1, n.neg / max(n.pos, 1)).otherwise(1.0)
+    if second_order is not None:
+        return train_boosted(df, cols, y, 2, BoostParams(**{"depth": 8, "l2": 2.0, "l1": 1.0, **second_order}), weight)
     params = {
         "maxIter": 300, "maxDepth": 8, "stepSize": 0.05, "subsamplingRate": 0.8,
         "featureSubsetStrategy": "0.8", "seed": 42, **over,
     }
-    n = df.agg(F.count(F.when(F.col(y) == 0, 1)).alias("neg"), F.count(F.when(F.col(y) == 1, 1)).alias("pos")).first()
-    weighted = df.withColumn("weight", F.when(F.col(y) == 1, n.neg / max(n.pos, 1)).otherwise(1.0))
+    weighted = df.withColumn("weight", weight)
     gbt = GBTClassifier(labelCol=y, weightCol="weight", predictionCol="xgb_pred", **params)
     return gbt.setRawPredictionCol("xgb_raw").setProbabilityCol("xgb_vec").fit(weighted)
 
 
-def train_multiclass(df: DataFrame, y: str = "label_enc", kind: str = "forest", **over):
-    """Classifier over all classes: a forest, or one boosted model per class (``ovr``)."""
+def train_multiclass(df: DataFrame, y: str = "label_enc", kind: str = "forest", cols: Sequence[str] = FEATURE_NAMES, **over):
+    """Classifier over all classes: a forest, one boosted model per class (``ovr``), or softmax boosting (``softmax``)."""
     weighted = with_class_weight(df.withColumn(y, F.col(y).cast("double")), y)
     if kind == "forest":
         params = {"numTrees": 300, "maxDepth": 6, "seed": 42, **over}
@@ -61,11 +70,15 @@ def train_multiclass(df: DataFrame, y: str = "label_enc", kind: str = "forest",
             labelCol=y, weightCol="weight", probabilityCol="class_vec", rawPredictionCol="class_raw",
             predictionCol="class_pred", **params,
         ).fit(weighted)
+    if kind == "softmax":
+        classes = int(weighted.agg(F.max(y)).first()[0]) + 1
+        return train_boosted(weighted, cols, y, classes, BoostParams(**over), F.col("weight"))
     if kind != "ovr":
-        raise ValueError("kind must be 'forest' or 'ovr'")
+        raise ValueError("kind must be 'forest', 'ovr' or 'softmax'")
     params = {"maxIter": 300, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": 42, **over}
     return OneVsRest(
-        classifier=GBTClassifier(**params), labelCol=y, weightCol="weight", predictionCol="class_pred",
+        # One-vs-rest reads its models' margins under its own name for them.
+        classifier=GBTClassifier(**params).setRawPredictionCol("class_raw"), labelCol=y, weightCol="weight", predictionCol="class_pred",
         rawPredictionCol="class_raw",
     ).fit(weighted)
 
@@ -86,16 +99,30 @@ def train_meta_learner(df: DataFrame, y: str = "attack", scores: Sequence[str] =
 
 def with_base_scores(df: DataFrame, forest, boosted) -> DataFrame:
     """Add ``rf`` and ``xgb`` attack probabilities in one pass."""
-    scored = boosted.transform(forest.transform(df))
+    scored = forest.transform(df)
+    scored = boosted.transform(scored, "xgb_vec", "xgb_pred") if isinstance(boosted, BoostedModel) else boosted.transform(scored)
     keep = [c for c in df.columns]
-    return scored.select(*(q(c) for c in keep), probability_of("rf_vec").alias("rf"), probability_of("xgb_vec").alias("xgb"))
+    xgb = F.get("xgb_vec", F.lit(1)) if isinstance(boosted, BoostedModel) else probability_of("xgb_vec")
+    return scored.select(*(q(c) for c in keep), probability_of("rf_vec").alias("rf"), xgb.alias("xgb"))
 
 
 def with_class(df: DataFrame, model, class_names: Sequence[str]) -> DataFrame:
-    """Add ``class_name`` and ``class_confidence`` from a forest classifier."""
+    """Add ``class_name`` and ``class_confidence``.
+
+    One-vs-rest models have margins only: each becomes the probability of its binary model, scaled to the sum 1.
+    """
     names = F.array(*(F.lit(c) for c in class_names))
-    scored = model.transform(df)
-    probs = vector_to_array("class_vec")
+    if isinstance(model, BoostedModel):
+        scored, probs = model.transform(df, "class_vec", "class_pred"), F.col("class_vec")
+    else:
+        scored = model.transform(df)
+        if "class_vec" in scored.columns:
+            probs = vector_to_array("class_vec")
+        else:
+            each = F.transform(vector_to_array("class_raw"), lambda m: 1.0 / (1.0 + F.exp(-2.0 * m)))
+            scored = scored.withColumn("_each", each)
+            total = F.aggregate("_each", F.lit(0.0), lambda a, b: a + b)
+            probs = F.transform("_each", lambda v: v / total)
     best = F.array_max(probs)
     return scored.select(
         *(q(c) for c in df.columns),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from netloom.config import ScoreParams
 from netloom.functions.severity import severity_by_type
+from netloom.operators.stages import settle
 
 PREDICTION_COLUMNS = (
     "is_attack", "attack_probability", "rf_probability", "xgb_probability", "meta_probability",
@@ -118,8 +119,10 @@ def early_exit(
 ) -> DataFrame:
     """Run an expensive classifier on known attacks only.
 
-    ``scored`` has ``is_attack`` and ``_unknown``; ``classify`` adds the class columns.
+    ``scored`` has ``is_attack`` and ``_unknown``; ``classify`` adds the class columns.  The rows are written
+    once and both branches read them, so the models before run once.
     """
+    scored = settle(scored, "base-scores")
     known = F.col("is_attack") & ~F.col("_unknown")
     rest = scored.where(~known).withColumns(
         {class_name: F.lit(None).cast("string"), class_confidence: F.lit(None).cast("double")}

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from netloom.config import ScoreParams
 from netloom.operators import clean, models
+from netloom.operators.boosting import BoostedModel
 from netloom.operators.isolation import IsolationForest, IsolationForestModel
 from netloom.operators.scoring import early_exit, fit_anomaly_range, input_error, normalise_anomaly, with_verdict
 from netloom.operators.splits import stratified_split
@@ -75,18 +76,26 @@ class FittedStack:
 
     def save(self, spark: SparkSession, path: str) -> None:
         """Model folders, the isolation forest's table and a one-row table of parameters."""
-        stages = [self.forest, self.boosted, self.classes, self.meta]
+        named = {"forest": self.forest, "boosted": self.boosted, "classes": self.classes, "meta": self.meta}
+        tables = [n for n, m in named.items() if isinstance(m, BoostedModel)]
+        for name in tables:
+            named[name].save_table(spark, f"{path}/{name}")
+        stages = [m for n, m in named.items() if n not in tables]
         models.PipelineModel(stages).write().overwrite().save(f"{path}/models")
         self.isolation.save_table(spark, f"{path}/isolation")
-        plain = {"cols": self.cols, "medians": self.medians, "scale": self.scale, "class_names": self.class_names, "params": asdict(self.params)}
+        plain = {"cols": self.cols, "medians": self.medians, "scale": self.scale, "class_names": self.class_names, "params": asdict(self.params), "tables": tables}
         spark.createDataFrame([(json.dumps(plain),)], "parameters string").write.mode("overwrite").parquet(f"{path}/parameters")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "FittedStack":
-        forest, boosted, classes, meta = models.PipelineModel.load(f"{path}/models").stages
+        stages = iter(models.PipelineModel.load(f"{path}/models").stages)
         isolation = IsolationForestModel.load_table(spark, f"{path}/isolation")
         raw = json.loads(spark.read.parquet(f"{path}/parameters").first().parameters)
         scale = {c: (m, s) for c, (m, s) in raw["scale"].items()}
+        names = ("forest", "boosted", "classes", "meta")
+        forest, boosted, classes, meta = (
+            BoostedModel.load_table(spark, f"{path}/{n}") if n in raw.get("tables", ()) else next(stages) for n in names
+        )
         return cls(raw["cols"], raw["medians"], scale, forest, boosted, isolation, meta, classes, raw["class_names"], ScoreParams(**raw["params"]))
 
 
@@ -105,7 +114,7 @@ def train(df: DataFrame, cols: Sequence[str], label: str = "label", params: Trai
     fit_rows = parts.where("split = 'train'")
 
     forest = models.train_random_forest(fit_rows, **params.forest)
-    boosted = models.train_boosted_binary(fit_rows, **params.boosted)
+    boosted = models.train_boosted_binary(fit_rows, cols=cols, **params.boosted)
     benign = fit_rows.where("attack = 0")
     scale = clean.fit_standardiser(benign, cols)
     scaled = F.array(*((clean.q(c) - F.lit(m)) / F.lit(s) for c, (m, s) in scale.items()))
@@ -116,7 +125,7 @@ def train(df: DataFrame, cols: Sequence[str], label: str = "label", params: Trai
     scores = ScoreParams(iso_min=lo, iso_max=hi)
     # The class model learns all classes; only attacks reach it when scoring.
     indexer = StringIndexer(inputCol=label, outputCol="label_enc", stringOrderType="alphabetAsc").fit(fit_rows)
-    classes = models.train_multiclass(indexer.transform(fit_rows), **params.classes)
+    classes = models.train_multiclass(indexer.transform(fit_rows), cols=cols, **params.classes)
     stack = FittedStack(cols, medians, scale, forest, boosted, isolation, None, classes, list(indexer.labels), scores)
     stack.meta = models.train_meta_learner(stack.base_scores(held.drop("features")))
     return stack, parts

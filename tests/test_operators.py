@@ -5,6 +5,7 @@ import json
 import math
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,3 +328,51 @@ def test_isolation_forest(spark, tmp_path):
     same = [m.transform(odd).agg(F.sum("iso_decision").alias("s")).first().s for m in (model, again)]
     assert same[0] == pytest.approx(same[1])
     assert path_norm(2) == 1.0 and path_norm(1) == 0.0 and float(path_norm(256)) == pytest.approx(10.2448, abs=1e-3)
+
+
+def test_isolation_sample_is_exact_and_the_same_for_any_partitioning(spark):
+    from netloom.operators.isolation import _candidates, _draw, _grow
+
+    rows = [[float(k % 37), float(k % 11)] for k in range(900)] + [[5.0, 5.0]] * 300
+    df = spark.createDataFrame([(r,) for r in rows], "scaled array<double>")
+    models = [IsolationForest(numTrees=30, subsample=64, seed=3).fit(df.repartition(p)) for p in (1, 7)]
+    assert models[0].nodes.equals(models[1].nodes)
+    roots = models[0].nodes[models[0].nodes["node"] == 0]
+    assert len(roots) == 30 and set(roots["size"]) == {64}
+    whole = IsolationForest(numTrees=3, subsample=5000, seed=3).fit(df)
+    assert set(whole.nodes[whole.nodes["node"] == 0]["size"]) == {1200}
+    # The trees are those that grow from the drawn sample, written out row by row.
+    counts = df.selectExpr("scaled AS x", "xxhash64(scaled) AS h1", "xxhash64(3, scaled) AS h2").groupBy("h1", "h2").agg(
+        F.count("*").alias("copies"), F.first("x").alias("x")).collect()
+    by = {(r.h1, r.h2): r.x for r in counts}
+    share = (64 + 6 * 64**0.5 + 10) / 1200
+    hit = []
+    for r in spark.createDataFrame([(r.h1, r.h2, r.copies) for r in counts], "h1 long, h2 long, copies long").selectExpr(
+            "h1", "h2", "copies", "pmod(xxhash64(3, h2, h1), 4503599627370496L) / 4503599627370496D AS u").collect():
+        if r.u >= (1 - share) ** (r.copies * 30):
+            hit.append((r.h1, r.h2, r.copies))
+    picked = _draw(hit, 30, 64, share, 3)
+    assert picked.groupby("tree")["take"].sum().tolist() == [64] * 30
+    for tree, own in picked.groupby("tree"):
+        x = np.array([by[h] for h, n in zip(zip(own.h1, own.h2), own["take"]) for _ in range(n)])
+        want = _grow(tree, x, 6, 3)
+        got = models[0].nodes[models[0].nodes["tree"] == tree].reset_index(drop=True)
+        assert want[["feature", "threshold", "size"]].values.tolist() == got[["feature", "threshold", "size"]].values.tolist()
+    # Draws follow the binomial law: mean and share of rows without any.
+    n, share = 40, 0.03
+    k = [len(_candidates(h, 9, 2, 20, share, 1)[0]) for h in range(4000)]
+    assert abs(np.mean(k) - n * share / (1 - (1 - share) ** n)) < 0.06
+
+
+def test_early_exit_runs_the_models_once(spark):
+    from netloom.operators.scoring import early_exit
+
+    @F.pandas_udf("double")
+    def slow(x):
+        return x * 1.0
+
+    df = spark.range(100).withColumn("p", slow(F.col("id").cast("double")))
+    df = df.withColumns({"is_attack": F.col("p") >= 50, "_unknown": F.col("p") >= 90})
+    out = early_exit(df, lambda known: known.withColumns({"class_name": F.lit("Bot"), "class_confidence": F.lit(0.9)}))
+    assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.is_attack, r._unknown, r.class_name) for r in out.collect()} == {(False, False, None), (True, True, None), (True, False, "Bot")}
