@@ -1,16 +1,18 @@
-"""SimHash near-duplicates through a sharded vantage-point tree.
+"""SimHash near-duplicates through sharded vantage-point trees.
 
 Each text becomes a 64-bit SimHash of its word shingles.  The distinct fingerprints are
 partitioned by a vantage-point tree: a node sends a fingerprint left if its Hamming
 distance to the node's point is at most ``mu + r`` and right if it is above ``mu``.  By the triangle
 inequality, two fingerprints at most ``r`` bits apart have distances to a point that differ
-by at most ``r``, so every such pair meets in some leaf; fingerprints near a boundary sit on
-both sides.  Leaves are compared exactly, in blocks, and a leaf larger than planned (very many different
-fingerprints around one point) is compared as a grid of block pairs, spread over tasks.
-A leaf reports a spanning forest of its links, not the pairs; components join the forests.
+by at most ``r``, so every such pair meets in some shard; fingerprints near a boundary sit on
+both sides.  Inside a shard a vantage-point tree with small leaves holds every fingerprint once, and each fingerprint searches
+it, leaving out branches that the same bound excludes.  A shard larger than planned (very many different
+fingerprints around one point) is searched as a grid of part pairs, spread over tasks.
+A shard reports a spanning forest of its links, not the pairs; components join the forests.
 
-The tree is fitted on at most ``SAMPLE`` fingerprints.  It decides where comparisons happen,
-never their outcome.  Copies share a fingerprint and take part once.
+The tree of the shards is fitted on at most ``SAMPLE`` fingerprints.  It decides where comparisons happen,
+never their outcome.  Copies share a fingerprint and take part once.  At 3 bits of 64 the bound prunes modestly: distances
+to a point lie within a few bits of 32, so about three in ten fingerprints sit on both sides of a node.
 
 Rows: null counts as empty, and all texts without a word have fingerprint zero; a null id is
 never the smallest unless all ids of a component are null; repeated rows each give a row.
@@ -25,8 +27,9 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from netloom.llm.components import components
 from netloom.operators.stages import settle
@@ -34,7 +37,8 @@ from netloom.operators.stages import settle
 WIDTH = 3
 RADIUS = 3
 SEED = 42
-LEAF = 65_536
+LEAF = 16_384  # fingerprints of a shard
+NODE = 256  # fingerprints of a leaf inside a shard
 SAMPLE = 65_536
 PIECE = 65_536  # shingles whose bits are counted at a time
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -132,7 +136,41 @@ def fit_tree(distinct: DataFrame, radius: int, leaf: int = LEAF, sample: int = S
     return Tree(own, max(32, int(leaf * share)), radius, np.random.default_rng(SEED))
 
 
-def forest(fps: np.ndarray, other: np.ndarray | None, radius: int, block: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def search(rows: np.ndarray, cols: np.ndarray, radius: int, leaf: int = NODE, block: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers (row, column) of all pairs at most ``radius`` bits apart, by a vantage-point tree over ``cols``.
+
+    A node splits its columns at the distance ``mu`` to its point; rows go down to the side that the triangle
+    inequality leaves possible, or to both.
+    """
+    rng = np.random.default_rng(SEED)
+    todo = [(np.arange(len(cols)), np.arange(len(rows)))]
+    while todo:
+        own, asks = todo.pop()
+        if not len(own) or not len(asks):
+            continue
+        best = None
+        if len(own) > leaf:
+            for point in cols[rng.choice(own, 4)]:
+                d = np.bitwise_count(cols[own] ^ point)
+                counts = np.bincount(d, minlength=65).cumsum()
+                mu = int(np.abs(2 * counts - len(own)).argmin())
+                larger = max(int(counts[mu]), len(own) - int(counts[mu]))
+                if best is None or larger < best[0]:
+                    best = (larger, point, mu, d)
+        if best is None or best[0] > 0.95 * len(own):  # a leaf, or columns that no point of them separates
+            for at in range(0, len(asks), block):
+                part = asks[at : at + block]
+                for low in range(0, len(own), block):
+                    i, j = (np.bitwise_count(rows[part, None] ^ cols[None, own[low : low + block]]) <= radius).nonzero()
+                    if len(i):
+                        yield part[i], own[low + j]
+            continue
+        _, point, mu, d = best
+        away = np.bitwise_count(rows[asks] ^ point).astype(np.int64)
+        todo += [(own[d <= mu], asks[away <= mu + radius]), (own[d > mu], asks[away > mu - radius])]
+
+
+def forest(fps: np.ndarray, other: np.ndarray | None, radius: int, leaf: int = NODE) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what links within ``fps`` (or between it and ``other``) connect."""
     nodes = np.unique(fps if other is None else np.concatenate([fps, other]))
     rows = np.unique(fps)
@@ -150,11 +188,8 @@ def forest(fps: np.ndarray, other: np.ndarray | None, radius: int, block: int =
             parent[p] = x
         return x
 
-    for at in range(0, len(rows), block):
-        first = at if other is None else 0
-        near = np.bitwise_count(rows[at : at + block, None] ^ cols[None, first:]) <= radius
-        i, j = near.nonzero()
-        a, b = label[row_at[at + i]], label[col_at[first + j]]
+    for i, j in search(rows, cols, radius, leaf):
+        a, b = label[row_at[i]], label[col_at[j]]
         new = a != b
         if new.any():
             for x, y in np.unique(np.stack([a[new], b[new]]), axis=1).T.tolist():
@@ -183,7 +218,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, leaf: int = LEAF, sample: i
     homes = settle(distinct.mapInArrow(route, "fp long, leaf int"), "vp-homes")
     # One row per leaf; the sample bounds their number.
     sizes = homes.groupBy("leaf").count().collect()
-    parts = {r["leaf"]: ceil(r["count"] / (4 * leaf)) for r in sizes}
+    parts = {r["leaf"]: ceil(r["count"] / (2 * leaf)) for r in sizes}
     grid = spark.createDataFrame(list(parts.items()) or [(0, 1)], "of int, parts int")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     meets = F.expr("transform(sequence(0, parts - 1), k -> named_struct('i', least(own, k), 'j', greatest(own, k)))")
@@ -204,26 +239,51 @@ def links(distinct: DataFrame, radius: int = RADIUS, leaf: int = LEAF, sample: i
 
 
 def near_components(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS, leaf: int = LEAF, sample: int = SAMPLE) -> DataFrame:
-    """``doc_id, fp, component_id``: the smallest id reachable over links of ``radius`` bits."""
+    """``doc_id, fp, component_id, root``: the smallest id reachable over links of ``radius`` bits, and the component's smallest fingerprint."""
     prints = settle(fingerprints(docs, width), "simhash")
     per = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-distinct")
     hung = settle(components(links(per.select("fp"), radius, leaf, sample)), "simhash-roots")
     rooted = per.join(hung, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(ids, "root").select(F.col("fp").alias("of"), "component_id")
-    return prints.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+    named = rooted.join(ids, "root").select(F.col("fp").alias("of"), "component_id", "root")
+    return prints.join(named, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id", "root")
 
 
 def keep_first(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """The documents with the smallest id of their component, with all their columns.
+    """One row of each component, with all its columns: the one with the smallest id.
 
-    Documents with a null id stay only where no id of the component is known.
+    Among rows of a component that share the smallest id, the smallest fingerprint and then the smallest hash of the text decide, and
+    of equal rows one stays.  Rows with a null id stay only where no id of the component is known.
     """
-    kept = near_components(docs, width, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("doc_id").alias("kept_id")
-    ).distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id").alias("id"))
-    return rows.join(kept, F.col("id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
+    found = near_components(docs, width, radius)
+    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # A component without ids is known by its fingerprints alone; they meet in `root`.
+    kept = first.groupBy("root").agg(F.first("doc_id").alias("id"), F.min("fp").alias("kept_fp")).select(
+        _known(F.col("id")).alias("kept_id"), "kept_fp"
+    )
+    whole = with_fingerprints(docs, width).withColumn("id", _known(F.col("row.doc_id")))
+    stays = whole.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("fp") == F.col("kept_fp")), "left_semi")
+    # The grouping keeps the join's partitioning, and copies of a row are combined before any exchange.
+    text = F.xxhash64(F.col("row.text").cast("string"))
+    return stays.groupBy("id", "fp").agg(F.min_by("row", text).alias("row")).select("row.*")
+
+
+def _known(doc_id: Column) -> Column:
+    """An id as a key without nulls."""
+    return F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit(""))
+
+
+def with_fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``row, fp``: every row as a struct, with its fingerprint."""
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            fps = np.fromiter((simhash(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["row", "fp"])
+
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    df = docs.select(row, F.col("text").cast("string").alias("said"))
+    return df.mapInArrow(batches, T.StructType([df.schema["row"], T.StructField("fp", T.LongType())]))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -92,3 +92,47 @@ def test_very_long_text(docs_of):
     text = " ".join(f"v{i % 7919}" for i in range(150_000))
     row = sd.query(docs_of([(1, text)])).first()
     assert row.fingerprint == f"{brute_print(text):016x}" and row.component_id == 1
+
+
+def test_search_finds_every_pair_and_prunes():
+    rng = np.random.default_rng(8)
+    cols = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64))
+    near = cols[:400] ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 400).astype(np.uint64))
+    rows = np.unique(np.concatenate([cols[::7], near]))
+    want = set(zip(*(x.tolist() for x in (np.bitwise_count(rows[:, None] ^ cols[None]) <= 3).nonzero()), strict=True))
+    for leaf in (8, 256, 10**6):
+        found = [p for i, j in sd.search(rows, cols, 3, leaf) for p in zip(i.tolist(), j.tolist(), strict=True)]
+        assert len(found) == len(set(found)) and set(found) == want, leaf
+    compared = []
+    real = np.bitwise_count
+    try:
+        np.bitwise_count = lambda x: compared.append(x.size) or real(x)
+        list(sd.search(cols, cols, 3))
+    finally:
+        np.bitwise_count = real
+    assert sum(compared) < 0.8 * len(cols) ** 2
+
+
+def test_given_fingerprints_have_trees(spark):
+    """The tables' fingerprints are searched through nodes, not in one leaf."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    fps = np.array([r.fp for r in sd.fingerprints(docs).select("fp").distinct().collect()], np.int64).view(np.uint64)
+    assert len(fps) > 2 * sd.NODE
+    sizes = []
+    real = np.random.default_rng
+    try:
+        np.random.default_rng = lambda seed: type("R", (), {"choice": lambda _, own, n: sizes.append(len(own)) or real(1).choice(own, n)})()
+        list(sd.search(fps, fps, 3))
+    finally:
+        np.random.default_rng = real
+    assert len(sizes) >= 3
+
+
+def test_one_row_of_each_component_stays(docs_of):
+    rows = [(7, "solo text of its own"), (7, "a b c d e f g"), (3, "A B C D E F G"), (None, "A b C d e f g"), (None, "no id here at all"),
+            (None, "no id here at all"), (None, None), (9, ""), (9, ""), (5, "q r s t"), (5, "q r s t"), (5, "Q R S T")]
+    kept = sd.keep_first(docs_of(rows)).collect()
+    assert sorted((str(r.doc_id), (r.text or "").lower()) for r in kept) == [
+        ("3", "a b c d e f g"), ("5", "q r s t"), ("7", "solo text of its own"), ("9", ""), ("None", "no id here at all"),
+    ]
+    assert sd.keep_first(docs_of(rows).limit(0)).collect() == []
