@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import SPACE, text_of
+from netloom.llm.common import SPACE, known, text_of, whole_row
 from netloom.operators.stages import settle
 
 
@@ -71,19 +71,19 @@ def exact_groups(docs: DataFrame, hashed: Callable[[Column], Column] = content_h
 
 
 def drop_copies(docs: DataFrame, hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
-    """The rows that stay, with all their columns."""
-    kept = exact_groups(docs, hashed).where("kept").select(
-        F.col("doc_id").alias("kept_id"), F.col("h").alias("kept_h"), F.col("sha").alias("kept_sha")
-    )
+    """The rows that stay, with all their columns; of rows that repeat id and text one stays.
+
+    The rows are shuffled once: the grouping behind the join keeps its partitioning.
+    """
+    leaders = settle(equal_texts(docs, hashed).where(F.col("clash").isNull()).select("h", "sha", "keep_id"), "exact-leaders")
+    kept = leaders.select(known(F.col("keep_id")).alias("kept_id"), F.col("h").alias("kept_h"), F.col("sha").alias("kept_sha"))
     t = normalised(F.col("text"))
     rows = docs.select(
-        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-        F.col("doc_id").alias("id"), hashed(t).alias("h"), F.unhex(F.sha2(t, 256)).alias("sha"),
-    )
-    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("h") == F.col("kept_h")) & (F.col("sha") == F.col("kept_sha"))
-    first = F.row_number().over(Window.partitionBy("id", "h", "sha").orderBy(F.lit(1)))
-    stays = rows.join(kept, same, "left_semi").withColumn("n", first).where("n = 1")
-    return stays.select("row.*")
+        whole_row(docs), known(F.col("doc_id")).alias("id"), hashed(t).alias("h"), F.unhex(F.sha2(t, 256)).alias("sha")
+    )
+    same = (F.col("id") == F.col("kept_id")) & (F.col("h") == F.col("kept_h")) & (F.col("sha") == F.col("kept_sha"))
+    stays = rows.join(kept, same, "left_semi")
+    return stays.groupBy("id", "h", "sha").agg(F.first("row").alias("row")).select("row.*")
 
 
 SQL = r"""

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.common import WORD, text_of
+from netloom.llm.common import WORD, known, text_of, whole_row
 from netloom.operators.stages import settle
 
 WEIGHTS = (5, 2, 1)
@@ -34,10 +34,10 @@ BUCKETS = 4096
 
 
 def sized(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """``doc_id, source, size, draw``: words of each document and its place in the draw."""
+    """``doc_id, source, size, draw, mark``: words of each document, its place in the draw and a hash of its text."""
     draw = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).cast("binary"))
     size = F.regexp_count(text_of(F.col("text")), F.lit(WORD)).cast("long")
-    return docs.select("doc_id", "source", size.alias("size"), draw.alias("draw"))
+    return docs.select("doc_id", "source", size.alias("size"), draw.alias("draw"), F.xxhash64(text_of(F.col("text"))).alias("mark"))
 
 
 def weighted(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
@@ -75,6 +75,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
 
     ``copies`` whole repetitions and ``taken - copies * size`` leading words once more.
     """
+    return _shares(docs, weights, share, epochs, seed).drop("mark")
+
+
+def mixed_rows(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = SEED) -> DataFrame:
+    """The documents that the mix takes, with all their columns and ``copies`` and ``taken`` as in :func:`mix` (in place of own ones).
+
+    Rows are found again by id and text; the shares of rows that repeat both are dealt among them, in one task.
+    """
+    shares = _shares(docs, weights, share, epochs, seed).groupBy(known(F.col("doc_id")).alias("of"), F.col("mark").alias("of_mark")).agg(
+        F.sort_array(F.collect_list(F.struct("taken", "copies")), asc=False).alias("shares")
+    )
+    rows = docs.select(whole_row(docs), known(F.col("doc_id")).alias("id"), F.xxhash64(text_of(F.col("text"))).alias("mark"))
+    found = rows.join(shares, (F.col("id") == F.col("of")) & (F.col("mark") == F.col("of_mark")))
+    nth = F.row_number().over(Window.partitionBy("id", "mark").orderBy(F.lit(1)))
+    own = [F.col(f"row.`{c}`") for c in docs.columns if c not in ("copies", "taken")]
+    got = found.withColumn("got", F.element_at("shares", nth)).where("got.taken > 0")
+    return got.select(*own, "got.copies", "got.taken")
+
+
+def _shares(docs: DataFrame, weights, share: float, epochs: int, seed: str) -> DataFrame:
     rows = settle(sized(docs, seed).withColumn("bucket", F.conv(F.substring("draw", 1, 3), 16, 10).cast("int")), "mix-sizes")
     sources = settle(weighted(rows, weights), "mix-sources")
     plan = fill(sources, share, epochs)
@@ -101,7 +121,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     border = border.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("left"))))
     return plain.unionByName(border).select(
         "doc_id", "source", "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size") + F.col("extra")).alias("taken"),
+        (F.col("copies") * F.col("size") + F.col("extra")).alias("taken"), "mark",
     )
 
 

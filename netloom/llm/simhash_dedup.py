@@ -27,10 +27,11 @@ from math import ceil
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from netloom.llm.common import known, whole_row
 from netloom.llm.components import components
 from netloom.operators.stages import settle
 
@@ -259,20 +260,15 @@ def keep_first(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> Dat
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     # A component without ids is known by its fingerprints alone; they meet in `root`.
     kept = first.groupBy("root").agg(F.first("doc_id").alias("id"), F.min("fp").alias("kept_fp")).select(
-        _known(F.col("id")).alias("kept_id"), "kept_fp"
+        known(F.col("id")).alias("kept_id"), "kept_fp"
     )
-    whole = with_fingerprints(docs, width).withColumn("id", _known(F.col("row.doc_id")))
+    whole = with_fingerprints(docs, width).withColumn("id", known(F.col("row.doc_id")))
     stays = whole.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("fp") == F.col("kept_fp")), "left_semi")
     # The grouping keeps the join's partitioning, and copies of a row are combined before any exchange.
     text = F.xxhash64(F.col("row.text").cast("string"))
     return stays.groupBy("id", "fp").agg(F.min_by("row", text).alias("row")).select("row.*")
 
 
-def _known(doc_id: Column) -> Column:
-    """An id as a key without nulls."""
-    return F.coalesce(F.concat(F.lit("="), doc_id.cast("string")), F.lit(""))
-
-
 def with_fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """``row, fp``: every row as a struct, with its fingerprint."""
 
@@ -281,8 +277,7 @@ def with_fingerprints(docs: DataFrame, width: int = WIDTH) -> DataFrame:
             fps = np.fromiter((simhash(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["row", "fp"])
 
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
-    df = docs.select(row, F.col("text").cast("string").alias("said"))
+    df = docs.select(whole_row(docs), F.col("text").cast("string").alias("said"))
     return df.mapInArrow(batches, T.StructType([df.schema["row"], T.StructField("fp", T.LongType())]))
 
 

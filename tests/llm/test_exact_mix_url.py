@@ -122,3 +122,13 @@ def test_queries_match_sql(spark):
     con = compare.connect(sf_dir)
     for name in queries.SQL:
         assert compare.compare(spark, con, name, sf_dir, queries.QUERIES, queries.SQL)[2] == "", name
+
+
+def test_mixed_rows_are_those_of_the_mix(docs_of):
+    rows = [(k, "w " * (k % 7), f"s{k % 3}") for k in range(60)] + [(None, "a b c", "s1"), (None, "d e", "s1"), (None, "a b c", "s1"), (5, "x y", None), (5, "x y", None)]
+    docs = docs_of(rows)
+    want = sorted((str(r.doc_id), r.size, r.copies, r.taken) for r in mixing.mix(docs).where("taken > 0").collect())
+    got = mixing.mixed_rows(docs)
+    assert got.columns == [*docs.columns, "copies", "taken"]
+    assert sorted((str(r.doc_id), len(r.text.split()), r.copies, r.taken) for r in got.collect()) == want
+    assert mixing.mixed_rows(docs.limit(0)).collect() == []

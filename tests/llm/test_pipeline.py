@@ -55,6 +55,9 @@ def test_columns_and_run(spark, stages):
     docs = spark.read.parquet(f"{PATH}/documents.parquet")
     for rows in stages[:4]:
         assert rows[0].__fields__ == docs.columns
+    assert stages[4][0].__fields__ == [*docs.columns, "copies", "taken"]
+    by_id = {r.doc_id: r for r in stages[3]}
+    assert all(tuple(r)[:-2] == tuple(by_id[r.doc_id]) and 0 < r.taken <= 2 * len(r.text.split()) for r in stages[4])
     assert sorted(map(str, cp.run(spark, PATH).collect())) == sorted(map(str, stages[4]))
 
 
