@@ -2,17 +2,16 @@
 
 Each stage reads the table that its predecessor wrote.  Toxic documents go, of equal texts and
 of SimHash components the row with the smallest id stays, documents that hold a benchmark item go,
-and the last stage mixes the sources: a row per document that the mix takes, with the number
+and the last stage mixes the sources: the documents that the mix takes, with all their columns, the number
 of whole copies and of words taken (a document the mix leaves out has no row).
 
 Rows: the stages' operators define nulls, empty texts, ties, repeated rows and empty tables;
-extra columns travel along to the last stage.
+extra columns travel along through all stages.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from netloom.llm import decontaminate, exact_dedup, mixing, simhash_dedup, toxicity
 from netloom.llm.common import table
@@ -36,7 +35,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).where(F.col("taken") > 0)
+    return mixing.mixed_rows(docs)
 
 
 STAGES = [
