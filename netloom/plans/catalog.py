@@ -1057,6 +1057,51 @@ def streamed_dedup(spark, sf):
     return done.unionByName(rest.select("flow_id", "is_first", us("anchor_ts").alias("anchor_us")))
 
 
+# What a stream a minute behind its newest event has closed.
+_CLOSED = "(SELECT (max(epoch_us(ts)) // 1000 - 60000) * 1000 FROM events)"
+
+
+def _streamed(spark, stream: DataFrame, name: str) -> DataFrame:
+    """All rows that a stream emits until its input ends."""
+    from netloom.streaming.detect import write_once
+
+    folder = _folder(spark, name)
+    q = stream.writeStream.foreachBatch(lambda batch, batch_id: write_once(batch, batch_id, f"{folder}/out"))
+    q.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out/batch=*")
+
+
+def _event_stream(spark, sf):
+    return views.events_stream(spark, sf, "SELECT ts, event_type, value AS latency_ms FROM events")
+
+
+@query(f"{SQL['hourly_increase']} HAVING e * 300000000 <= {_CLOSED}")
+def streamed_increase(spark, sf):
+    from netloom.streaming.monitor import increase_stream
+
+    found = _streamed(spark, increase_stream(_event_stream(spark, sf), "1 hour", "5 minutes", "event_type = 'error'", "1 minute"), "increase")
+    return found.select(us("ts").alias("us"), "increase")
+
+
+@query(f"WITH {RATIO.replace('FROM events GROUP BY 1)', f'FROM events WHERE epoch_us(ts) // 3600000000 * 3600000000 + 3600000000 <= {_CLOSED} GROUP BY 1)')} SELECT 'firing' AS event, started_us, fired_us FROM held")
+def streamed_attack_rate(spark, sf):
+    """A rule over closed windows of a stream, held for two hours."""
+    from netloom.streaming.monitor import hold_stream, ratio_stream
+
+    ratio = ratio_stream(_event_stream(spark, sf), "event_type IN ('error', 'click')", "1 hour", "1 minute")
+    found = _streamed(spark, hold_stream(metrics.firing(ratio, "ratio", 0.25), 7200, 3600, "attack rate"), "rule")
+    return found.where("event = 'firing'").select("event", "started_us", "fired_us")
+
+
+@query(f"{SQL['daily_counters']} HAVING window_us + 86400000000 <= {_CLOSED}")
+def streamed_counters(spark, sf):
+    from netloom.streaming.monitor import counters_stream
+
+    scored = scoring.score_stacking(views.events_stream(spark, sf, views.SCORED_SQL))
+    c = _streamed(spark, counters_stream(scored, "1 day", "1 minute"), "counters").drop("window_end")
+    return r6(c.withColumn("window_us", us("window_start")).drop("window_start"), "attack_rate")
+
+
 # -- sources and sinks: written to the shared folder, read back ----------------------------------
 
 
