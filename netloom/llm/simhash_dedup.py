@@ -38,7 +38,7 @@ from netloom.operators.stages import settle
 WIDTH = 3
 RADIUS = 3
 SEED = 42
-LEAF = 16_384  # fingerprints of a shard
+LEAF = 32_768  # fingerprints of a shard: a few seconds of search, and fewer boundaries to copy for
 NODE = 256  # fingerprints of a leaf inside a shard
 SAMPLE = 65_536
 PIECE = 65_536  # shingles whose bits are counted at a time
