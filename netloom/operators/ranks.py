@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators.stages import settle
+
 _FINE = 65_536
 _SPAN = 1_100 * _FINE  # |log2| of a double stays below 1100
 
@@ -91,18 +93,20 @@ def values_at_ranks(
     ``ranks`` are expressions over ``total_n``; ``bucket`` and ``finer`` are monotone.  Equal
     values are counted before the shuffle, so a value that fills a column is one row from
     there on; a histogram of those counts finds the bucket of each rank, and only the counts of
-    these buckets are ranked.  The plan is the same for any number of groups.  Rows: ``by, rank,
-    at, value, before_n, n, total_n``, where ``at`` is the rank itself.
+    these buckets are ranked.  The plan is the same for any number of groups.  The counts, the histogram and the
+    buckets found are written (so this runs jobs when called): ``df`` is read once, and the small
+    tables that follow have known sizes.  Rows: ``by, rank, at, value, before_n, n, total_n``, where ``at`` is the rank itself.
     """
     by = list(by)
     counted = df.withColumn("_b", bucket(F.col(value))).groupBy(*by, "_b", value).agg(F.count("*").alias("n"))
-    hist = counted.groupBy(*by, "_b").agg(F.sum("n").alias("n"))
+    counted = settle(counted, "value-counts")
+    hist = settle(counted.groupBy(*by, "_b").agg(F.sum("n").alias("n")), "value-histogram")
     hist = running_sums(hist, by, "_b", ["n"], None)
     wanted = F.explode(F.array(*(F.struct(F.lit(r).alias("rank"), c.cast("long").alias("at")) for r, c in ranks.items())))
     hist = hist.select(*by, "_b", "n", F.col("before_n").alias("_base"), "total_n", wanted.alias("w"))
     hist = hist.select(*by, "_b", "n", "_base", "total_n", "w.*")
-    targets = hist.where((F.col("at") >= F.col("_base")) & (F.col("at") < F.col("_base") + F.col("n"))).drop("n")
-    inside = counted.join(targets.select(*by, "_b").distinct(), [*by, "_b"])
+    targets = settle(hist.where((F.col("at") >= F.col("_base")) & (F.col("at") < F.col("_base") + F.col("n"))).drop("n"), "rank-buckets")
+    inside = settle(counted.join(targets.select(*by, "_b").distinct(), [*by, "_b"], "left_semi"), "rank-values")
     ranked = running_sums(inside, [*by, "_b"], value, ["n"], finer(F.col(value))).drop("total_n")
     ranked = ranked.join(targets, [*by, "_b"]).withColumn("before_n", F.col("_base") + F.col("before_n"))
     hit = (F.col("at") >= F.col("before_n")) & (F.col("at") < F.col("before_n") + F.col("n"))

@@ -708,6 +708,12 @@ def top_destinations(spark, sf):
     return traffic.top_talkers(flow_table(assemble_flows(views.packets(spark, sf), FLOWS), FLOWS), "dst_ip")
 
 
+@query(f"WITH {PACKETS} SELECT src_ip, count(*) AS flows FROM packets GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10")
+def frequent_sources(spark, sf):
+    """The most frequent senders of all packets, by a summary and an exact count of its candidates."""
+    return traffic.frequent_talkers(views.packets(spark, sf), "src_ip", tracked=4096)
+
+
 @query(f"WITH {SCORED} SELECT CASE protocol WHEN 1 THEN 'ICMP' WHEN 6 THEN 'TCP' WHEN 17 THEN 'UDP' ELSE CAST(protocol AS VARCHAR) END AS protocol, count(*) AS flows FROM scored GROUP BY 1")
 def protocol_shares(spark, sf):
     return traffic.protocol_flows(_scored(spark, sf))
@@ -939,6 +945,21 @@ def overall_latency(spark, sf):
     return r6(metrics.weighted_latency(s, "event_type", {"view": 0.835, "error": 0.165}), "avg_ms", "throughput_per_s")
 
 
+@query("SELECT event_type, count(*) AS samples, true AS p50_near, true AS p95_near, true AS p99_near FROM events GROUP BY 1")
+def sketched_latency(spark, sf):
+    """Hourly sketches merged per type; an estimate is near if the share of values up to it is within twice the sketch's error of its percent."""
+    events = _latencies(spark, sf)
+    merged = metrics.merged_latency(metrics.latency_sketches(events, by=["event_type"]), ["event_type"])
+    joined = events.join(F.broadcast(merged.withColumnRenamed("event_type", "of")), F.col("event_type") == F.col("of"))
+    off = 2 * metrics.rank_error()
+    near = []
+    for p in (50, 95, 99):
+        below = F.avg((F.col("latency_ms") < F.col(f"p{p}_ms")).cast("int"))
+        upto = F.avg((F.col("latency_ms") <= F.col(f"p{p}_ms")).cast("int"))
+        near.append(((below <= p / 100 + off) & (upto >= p / 100 - off)).alias(f"p{p}_near"))
+    return joined.groupBy("event_type").agg(F.first("samples").alias("samples"), *near)
+
+
 @query("""WITH s AS (SELECT event_type AS name, ts, epoch_us(ts) AS us, event_id % 100 AS value FROM events),
 l AS (SELECT *, lag(us) OVER w AS pu, lag(value) OVER w AS pv FROM s WINDOW w AS (PARTITION BY name ORDER BY us))
 SELECT name, us, value, round(greatest((value - pv) / greatest((us - pu) / CAST(1000000 AS DOUBLE), 0.001), 0), 6) AS rate FROM l WHERE pu IS NOT NULL""")

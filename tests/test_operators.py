@@ -376,3 +376,33 @@ def test_early_exit_runs_the_models_once(spark):
     out = early_exit(df, lambda known: known.withColumns({"class_name": F.lit("Bot"), "class_confidence": F.lit(0.9)}))
     assert "ArrowEvalPython" not in out._jdf.queryExecution().executedPlan().toString()
     assert {(r.is_attack, r._unknown, r.class_name) for r in out.collect()} == {(False, False, None), (True, True, None), (True, False, "Bot")}
+
+
+def test_frequent_talkers_are_exact(spark):
+    from netloom.operators import traffic
+
+    hot = spark.range(40_000).selectExpr("concat('10.0.0.', cast(floor(sqrt(id % 400)) as string)) AS src_ip")
+    rare = spark.range(60_000).selectExpr("concat('x', cast(id as string)) AS src_ip")
+    df = hot.unionByName(rare).unionByName(spark.createDataFrame([(None,)] * 50, "src_ip string"))
+    want = traffic.top_talkers(df.where("src_ip IS NOT NULL"), "src_ip", 10).collect()
+    for tracked in (512, 4096):
+        assert traffic.frequent_talkers(df, "src_ip", 10, tracked).collect() == want
+    flat = rare.limit(3000)  # nothing is frequent: all are counted
+    assert traffic.frequent_talkers(flat, "src_ip", 10, 64).collect() == traffic.top_talkers(flat, "src_ip", 10).collect()
+    assert traffic.frequent_talkers(flat.limit(0)).collect() == []
+    parts = traffic.talker_sketch(hot.withColumn("hour", F.hash("src_ip") % 3), "src_ip", 512, ["hour"])
+    assert {r["item"] for r in traffic.merged_talkers(parts, 5, 512).collect()} == {f"10.0.0.{k}" for k in range(15, 20)}
+
+
+def test_latency_sketches_merge_within_their_error(spark):
+    df = spark.range(50_000).selectExpr("timestamp_seconds(1700000000 + id) AS ts", "exp(rand(4) * 8) AS latency_ms", "id % 2 AS path")
+    df = df.unionByName(spark.createDataFrame([(T0, None, 0)], "ts timestamp, latency_ms double, path long"))
+    hourly = metrics.latency_sketches(df, by=["path"])
+    assert hourly.count() == df.where("latency_ms IS NOT NULL").selectExpr("path", "date_trunc('hour', ts) AS h").distinct().count()
+    for by in ([], ["path"]):
+        for r in metrics.merged_latency(hourly, by).collect():
+            own = df if not by else df.where(F.col("path") == r.path)
+            n = own.where("latency_ms IS NOT NULL").count()
+            assert r.samples == n
+            for p in (50, 95, 99):
+                assert abs(own.where(F.col("latency_ms") <= r[f"p{p}_ms"]).count() / n - p / 100) <= 2 * metrics.rank_error()
