@@ -98,6 +98,60 @@ OTHER = (
     "The rights of the person are all in the law.",
     "The commons are open to the creative public of the town.",
 )
+# Notices of licences that are none of the families but share their words.
+RELATIVES = (
+    "Licensed under the GNU Lesser General Public License, version 3.",
+    "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
+    "Distributed under the GNU LGPL v3 or later.",
+    "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "This work is licensed under the GNU General Public License, version 2.",
+    "This program is free software; you can redistribute it under the terms of the GNU General Public License version 2.",
+    "Distributed under the GNU GPL v2 or later.",
+    "Licensed under the GNU General Public License version 2 only.",
+    "This work is licensed under the GNU Affero General Public License, version 3.",
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License.",
+    "Distributed under the GNU AGPL v3 or later.",
+    "This work is licensed under the GNU Free Documentation License, version 1.3.",
+    "Licensed under CC BY-SA 4.0.",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "Licensed under CC BY-ND 4.0.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "This work is licensed under a Creative Commons Attribution-NoDerivs 4.0 International License.",
+    "Licensed under the Mozilla Public License 1.1.",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.",
+    "The contents of this file are subject to the Mozilla Public License Version 1.1.",
+    "Licensed under the Apache License, Version 1.1.",
+    "This project is distributed under the Apache License 1.1.",
+    "Licensed under the BSD 2-Clause License.",
+    "Licensed under the BSD 4-Clause License.",
+    "Released under the ISC License.",
+    "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    "Licensed under the Eclipse Public License 2.0.",
+    "Licensed under the European Union Public Licence 1.2.",
+    "Released under the Boost Software License 1.0.",
+    "This project is available under the zlib license.",
+)
+# Further wordings of the families, to learn from beside their relatives; they are no templates.
+WORDINGS = {
+    "gpl-3.0": (
+        "This code is licensed under the GNU General Public License, version 3.",
+        "The software is licensed under the GNU General Public License version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License.",
+        "This file is part of a program under the GNU General Public License, version 3 or later.",
+        "Licensed under the GNU General Public License version 3 only.",
+        "Licensed under the GNU GPL v3.",
+    ),
+    "cc-by": ("The data are licensed under a Creative Commons Attribution 4.0 International License.", "Published under CC BY 4.0."),
+    "cc-by-nc": (
+        "The data are licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+        "Published under CC BY-NC 4.0.",
+    ),
+    "mpl-2.0": ("The library is licensed under the Mozilla Public License 2.0.", "Subject to the Mozilla Public License, version 2.0."),
+    "bsd": ("The library is licensed under the BSD 3-Clause License.", "Released under the BSD 3-Clause License."),
+    "apache-2.0": ("The library is licensed under the Apache License, Version 2.0.", "Released under the Apache License 2.0."),
+    "mit": ("The library is released under the MIT License.", "Licensed under the MIT License."),
+}
 
 
 def _families() -> list[str]:
@@ -169,7 +223,7 @@ def training_rows(docs: DataFrame, drawn: int = DRAWN, variants: int = VARIANTS)
     alike = least.select("draw", F.explode(_runs(F.col("words"))).alias("run")).join(F.broadcast(known), F.col("run") == F.col("known"))
     plain = least.join(alike.select("draw").distinct(), "draw", "left_anti")
     fillers = [r.words[:8] for r in plain.orderBy("draw").limit(50).select("words").collect()] or [["a"]]
-    fixed = [(f, t) for f, ts in TEMPLATES.items() for t in ts] + [(UNKNOWN, t) for t in OTHER]
+    fixed = [(f, t) for f, ts in TEMPLATES.items() for t in ts] + [(f, t) for f, ts in WORDINGS.items() for t in ts] + [(UNKNOWN, t) for t in OTHER + RELATIVES]
     notices = spark.createDataFrame(fixed, "family string, text string").withColumn("w", words_of(F.col("text")))
     notices = notices.withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))))
     # Version 0 and 1 are whole; later ones lack about one word in eight.

@@ -71,3 +71,33 @@ def test_secret_rows(docs_of, spark):
     own = spark.createDataFrame(findings, "candidate string, before string, after string, path string, label double")
     judged = sec.scan(docs_of([(1, "password=9ab8c7d6e5f4a3b2c1 x"), (2, "commit 9ab8c7d6e5f4a3b2c1 x")]), findings=own)
     assert {r.doc_id: r.secret for r in judged.collect()} == {1: True, 2: False}
+
+
+def test_relatives_of_the_families_are_not_confirmed(spark, docs_of):
+    """Held-out wordings of other licences, and of the families themselves."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = lic.train(docs)
+    other = [
+        "This file is licensed under the GNU Lesser General Public License, version 3.",
+        "This program is free software: you may redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
+        "This text is licensed under the GNU General Public License, version 2.",
+        "The code is licensed under the GNU Affero General Public License, version 3.",
+        "This text is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "This text is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "The module is licensed under the Mozilla Public License 1.1.",
+        "The module is licensed under the BSD 2-Clause License.",
+        "The module is released under the ISC License.",
+    ]
+    own = [
+        ("gpl-3.0", "This text is licensed under the GNU General Public License, version 3."),
+        ("cc-by", "This text is licensed under a Creative Commons Attribution 4.0 International License."),
+        ("cc-by-nc", "This text is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+        ("mpl-2.0", "The module is licensed under the Mozilla Public License 2.0."),
+        ("bsd", "The module is licensed under the BSD 3-Clause License."),
+        ("mit", "The module is released under the MIT License."),
+        ("apache-2.0", "The module is licensed under the Apache License, Version 2.0."),
+    ]
+    rows = [(k, t) for k, t in enumerate(other)] + [(100 + k, t) for k, (_, t) in enumerate(own)]
+    got = {r.doc_id: r for r in lic.scan(docs_of(rows), model).collect() if r.confirmed}
+    assert not [(other[k], got[k].family) for k in got if k < 100]
+    assert [got[100 + k].family if 100 + k in got else None for k in range(len(own))] == [f for f, _ in own]
