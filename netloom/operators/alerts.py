@@ -24,6 +24,7 @@ def suppress_reason(params: AlertParams, columns: Sequence[str]) -> Column:
         prob = F.coalesce("meta_probability", "attack_probability")
     severity = F.coalesce("severity", F.lit("NONE"))
     kind = F.coalesce("attack_type", F.lit(""))
+    # The wording of the reasons.
     return (
         F.when(~F.coalesce("is_attack", F.lit(False)), "BENIGN flow")
         .when(severity_rank(severity) < least, F.concat(F.lit("severity "), severity, F.lit(f" < min {params.min_severity}")))
@@ -148,6 +149,7 @@ def top_attack_types(df: DataFrame, n: int = 10) -> DataFrame:
 
 def notification_queue(alerts: DataFrame, min_severity: str = "HIGH") -> DataFrame:
     """Alerts at or above a severity, each with the text to send."""
+    # Fixed value: the wording of the message.
     message = F.format_string(
         "IDS ALERT\n\nAttack Type: %s\nSource IP: %s\nDestination IP: %s\nConfidence: %s%%\nSeverity: %s",
         "attack_type",

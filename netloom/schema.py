@@ -158,6 +158,7 @@ FLOW_CSV_SCHEMA = T.StructType(
 # Score columns that a stored alert may lack when it was written by an older release.
 ALERT_ADDED_COLUMNS = ("rf_probability", "xgb_probability", "meta_probability")
 
+# Names, order and types of the alert table's columns.
 ALERT_SCHEMA = T.StructType(
     [
         T.StructField("id", T.LongType(), False),

@@ -26,7 +26,7 @@ def test_queries_match_their_sql(spark):
     wrong = [(n, e) for n, _, e in results if e]
     assert not wrong
     # Rules over long spans may find nothing in the smallest tables.
-    assert {n for n, rows, _ in results if rows == 0} <= {"rare_labels", "high_latency", "high_attack_rate"}
+    assert {n for n, rows, _ in results if rows == 0} <= {"rare_labels", "high_latency", "high_attack_rate", "streamed_attack_rate"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
