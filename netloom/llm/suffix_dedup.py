@@ -117,6 +117,42 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[
     return first, last, own[new]
 
 
+def _ordered(direct: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
+    """Places in the order of ``depth`` symbols or a few more; of equal strings one is sorted."""
+    n, steps = len(words) - 1, range(0, depth, 7)
+    if not len(direct):
+        return direct
+    keys = [words[np.minimum(direct + k, n)] for k in steps]
+    h = np.zeros(len(direct), np.uint64)
+    for key in keys:
+        h = (h ^ key.view(np.uint64)) * np.uint64(_ODD)
+        h ^= h >> np.uint64(29)
+    by = np.argsort(h)
+    new = np.concatenate([[True], h[by][1:] != h[by][:-1]])
+    begin = np.flatnonzero(new)
+    sizes = np.diff(np.append(begin, len(by)))
+    for key in keys:
+        own = key[by]
+        if not ((own[1:] == own[:-1]) | new[1:]).all():  # different strings with one hash
+            return direct[np.lexsort(keys[::-1])]
+    # By the first seven symbols, then those still tied by the next ones.
+    least = by[begin]
+    order = np.argsort(keys[0][least])
+    own = keys[0][least[order]]
+    edge = np.concatenate([[True], own[1:] != own[:-1]])
+    for key in keys[1:]:
+        tied = ~edge
+        tied[:-1] |= ~edge[1:]
+        tied = np.flatnonzero(tied)
+        if not len(tied):
+            break
+        group, own = edge.cumsum()[tied], key[least[order[tied]]]
+        ranked = np.lexsort((own, group))
+        order[tied], own = order[tied[ranked]], own[ranked]
+        edge[tied[1:]] |= own[1:] != own[:-1]
+    return direct[by[_ranges(begin[order], sizes[order])]]
+
+
 def suffix_array(s: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes of ``s`` (symbols 0 to 256) in order of at least ``depth`` symbols, in two stages.
 
@@ -127,8 +163,7 @@ def suffix_array(s: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     turn = np.minimum.accumulate(np.where(s != after, at, n)[::-1])[::-1]  # where an equal run ends
     small = (s < after)[turn]
     direct = np.flatnonzero(small)
-    keys = [words[np.minimum(direct + k, n)] for k in range(0, depth, 7)]
-    direct = direct[np.lexsort(keys[::-1])]
+    direct = _ordered(direct, words, depth)
     bounds = np.searchsorted(s[direct], np.arange(258))
     waiting: list[list[np.ndarray]] = [[] for _ in range(257)]
     waiting[s[n - 1]].append(np.array([n - 1]))
@@ -178,10 +213,11 @@ def repeated(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int
     of = np.repeat(np.arange(len(sizes)), counts)
     h = rolling(data, length)[string]
     # Most hashes occur once; a small table of the others leaves few to be grouped.
-    ordered = np.sort(h)
-    table, low = np.zeros(1 << 22, bool), np.uint64((1 << 22) - 1)
+    half = h.astype(np.uint32)
+    ordered = np.sort(half)
+    table, low = np.zeros(1 << 22, bool), np.uint32((1 << 22) - 1)
     table[ordered[1:][ordered[1:] == ordered[:-1]] & low] = True
-    near = np.flatnonzero(table[h & low])
+    near = np.flatnonzero(table[half & low])
     if not len(near):
         return none, none, none
     order = near[np.argsort(h[near])]

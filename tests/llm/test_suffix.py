@@ -115,3 +115,25 @@ def test_long_runs_equal_brute_force(spark, docs_of, rows_of):
     rows = [(k, f"text {k} " * (k % 5) + line * (1 + k % 3) + "x" * (40 + k)) for k in range(30)]
     rows += [(100 + k, "ab" * (30 + k)) for k in range(8)] + [(200, "y" * 5000), (201, "y" * 49), (202, "y" * 50)]
     assert rows_of(sx.query(docs_of(rows))) == brute(rows)
+
+
+def test_equal_suffixes_are_sorted_once(monkeypatch):
+    """Copies of a text cost one sorted string each, and the order is that of all symbols."""
+    rng = random.Random(3)
+    part = [rng.randrange(1, 5) for _ in range(700)]
+    s = np.array(([*part, 0] * 40) + [2] * 90 + [0], np.int64)
+    padded = np.concatenate([s, np.zeros(7, np.int64)])
+    words = np.zeros(len(s) + 1, np.int64)
+    for k in range(7):
+        words = (words << 9) | padded[k : k + len(s) + 1]
+    sorted_, lexsort = [], np.lexsort
+    monkeypatch.setattr(sx.np, "lexsort", lambda keys: (sorted_.append(len(keys[0])), lexsort(keys))[1])
+    sa = sx.suffix_array(s, words, 50)
+    assert sum(sorted_) < len(s) / 10
+    assert sorted(sa.tolist()) == list(range(len(s)))
+    cut = [tuple(s[i : i + 50].tolist()) for i in sa]
+    assert cut == sorted(cut)
+    # Hashes that all clash change nothing.
+    monkeypatch.setattr(sx, "_ODD", 0)
+    cut = [tuple(s[i : i + 50].tolist()) for i in sx.suffix_array(s, words, 50)]
+    assert cut == sorted(cut)
