@@ -251,5 +251,8 @@ def capture_stream(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTE
 
 def write_captures(frames: DataFrame, path: str, mode: str = "append", link: int = ETHERNET) -> None:
     """``ts`` and ``frame`` as capture files, one per task."""
-    frames.sparkSession.dataSource.register(CaptureSource)
+    # Spark looks a source up for writing in the active session, which may be another than that of the frames.
+    for session in (frames.sparkSession, SparkSession.getActiveSession()):
+        if session is not None:
+            session.dataSource.register(CaptureSource)
     frames.select("ts", "frame").write.format("capture").option("link", link).mode(mode).save(path)
