@@ -14,7 +14,11 @@ prefixes of ``LENGTH`` bytes or more is one repeated string, which the smallest
 The removed ranges go back to their documents.
 
 Buckets hold about ``BUCKET`` bytes of text each, so their number grows with the corpus; ``GROUP`` of
-them are packed together, which compresses better, and compared one after another.  Long
+them are packed together, which compresses better, and compared one after another.  The share of a common gram
+would grow with the corpus: the strings of anchors that weigh more than ``HOT`` bytes by the weights in about ``SAMPLE``
+bytes of text are routed by the anchors of a longer gram instead.  The sample decides where strings meet,
+never which are equal.  A bucket that is larger than ``LIMIT`` all the same is compared in parts, dealt by
+longer grams too, so the memory of the comparison does not depend on how common an anchor is.  Long
 texts are cut into overlapping pieces before anchors are taken, so no task holds more than
 ``CHUNK`` bytes of text besides its batch.
 
@@ -38,8 +42,13 @@ from netloom.operators.stages import settle
 
 LENGTH = 50
 GRAM = 8
+WIDE = -(-(2 * LENGTH - GRAM) // 8) * 8  # of a segment, in whole words
+GRAMS = (GRAM, 24, 40, LENGTH)  # for strings whose anchor is too common, the next longer one
 BUCKET = 1 << 20
 GROUP = 8  # buckets that travel together
+SAMPLE = 1 << 25  # bytes of text that tell common anchors
+HOT = 1 << 22  # bytes of segments of one anchor
+LIMIT = 1 << 23  # bytes of segments compared at once
 BLOCK = 1 << 15  # bytes hashed at a time, so that the steps stay in the cache
 CHUNK = 1 << 21
 FLUSH = 3 * CHUNK
@@ -93,13 +102,13 @@ def anchors(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndar
     return out
 
 
-def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First and last string start and anchor of every segment; ``ends`` closes the pieces in ``data``.
 
     Neighbouring strings whose smallest gram has the same hash are one segment, wherever the gram stands in them, so a
-    repeating text is not cut at every byte; a segment holds ``length - GRAM + 1`` strings at most.
+    repeating text is not cut at every byte; a segment holds ``length - gram + 1`` strings at most.
     """
-    key = anchors(data, length)
+    key = anchors(data, length, gram)
     starts = np.concatenate([[0], ends[:-1]])
     allowed = np.zeros(len(key) + 1, np.int64)
     has = ends - starts >= length
@@ -111,12 +120,21 @@ def segments(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[
     own = key[valid]
     new = np.concatenate([[True], (own[1:] != own[:-1]) | (valid[1:] != valid[:-1] + 1)])
     heads = np.flatnonzero(new)
-    new = (np.arange(len(own)) - np.repeat(heads, np.diff(np.append(heads, len(own))))) % (length - GRAM + 1) == 0
+    new = (np.arange(len(own)) - np.repeat(heads, np.diff(np.append(heads, len(own))))) % (length - gram + 1) == 0
     first = valid[new]
     last = valid[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(valid) - 1]])]
     return first, last, own[new]
 
 
+def recut(data: np.ndarray, first: np.ndarray, sizes: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The strings of some ranges as segments of a longer gram: number of the range, first and last string start in ``data``, anchor."""
+    ends = sizes.cumsum()
+    low, high, key = segments(data[_ranges(first, sizes)], ends, LENGTH, gram)
+    of = np.searchsorted(ends, low, side="right")
+    moved = (first - (ends - sizes))[of]
+    return of, low + moved, high + moved, key
+
+
 def _ordered(direct: np.ndarray, words: np.ndarray, depth: int) -> np.ndarray:
     """Places in the order of ``depth`` symbols or a few more; of equal strings one is sorted."""
     n, steps = len(words) - 1, range(0, depth, 7)
@@ -263,6 +281,78 @@ def repeated(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray, length: int
     return of[first], string[first] - begin[of[first]], string[last] - begin[of[first]] + length
 
 
+def _padded(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([data, np.zeros(WIDE, np.uint8)])
+
+
+def _rows(padded: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Segments as rows of equal width, zeros behind them."""
+    rows = padded[first[:, None] + np.arange(WIDE)]
+    rows[np.arange(WIDE) >= sizes[:, None]] = 0
+    return rows
+
+
+def _row_hashes(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    h = sizes.astype(np.uint64)
+    for k, word in enumerate(rows.view(np.uint64).T):
+        h = (h ^ word) * np.uint64(pow(_ODD, k + 1, 2**64))
+        h ^= h >> np.uint64(31)
+    return h
+
+
+def repeated_in_parts(data: np.ndarray, sizes: np.ndarray, docs: np.ndarray, level: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As :func:`repeated`, for any number of segments of a bucket.
+
+    Beyond ``LIMIT`` bytes equal segments are compared once, and the strings of the others are dealt by the anchors of a longer gram.
+    """
+    if len(data) <= LIMIT:
+        return repeated(data, sizes, docs)
+    begin, padded = np.concatenate([[0], sizes.cumsum()[:-1]]), _padded(data)
+    step = max(1, LIMIT // int(sizes.max()))
+    blocks = [slice(at, at + step) for at in range(0, len(sizes), step)]
+    h = np.concatenate([_row_hashes(_rows(padded, begin[b], sizes[b]), sizes[b]) for b in blocks])
+    order = np.lexsort((docs, h))
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    equal = [(sizes[x] == sizes[y]) & (_rows(padded, begin[x], sizes[x]) == _rows(padded, begin[y], sizes[y])).all(axis=1) for x, y in ((order[b], head[b]) for b in blocks)]
+    equal = np.concatenate(equal) & (order != head)
+    beaten = equal & (docs[order] > docs[head])
+    gone, other, leader = order[beaten], order[equal & ~beaten], head[equal & ~beaten]
+    alone = np.sort(order[~equal])
+    del padded, h, order, new, head, equal, beaten
+
+    if int(sizes[alone].sum()) <= LIMIT or level + 1 == len(GRAMS):
+        which, low, high = repeated(data[_ranges(begin[alone], sizes[alone])], sizes[alone], docs[alone])
+        which = alone[which]
+    else:
+        cuts = []
+        for b in (alone[at : at + step] for at in range(0, len(alone), step)):
+            of, first, last, key = recut(data, begin[b], sizes[b], GRAMS[level + 1])
+            cuts.append((b[of], (first - begin[b][of]).astype(np.uint8), (last - first + LENGTH).astype(np.uint8), key))
+        of, first, own, key = (np.concatenate(x) for x in zip(*cuts, strict=True))
+        parts = -(-2 * int(own.sum(dtype=np.int64)) // LIMIT)
+        part = ((key * np.uint64(_ODD) >> np.uint64(32)) % np.uint64(parts)).astype(np.int32)
+        del cuts, key
+        out = []
+        for k in range(parts):
+            at = np.flatnonzero(part == k)
+            if len(at):
+                size, start = own[at].astype(np.int64), first[at].astype(np.int64)
+                hit, low, high = repeated_in_parts(data[_ranges(begin[of[at]] + start, size)], size, docs[of[at]], level + 1)
+                out.append((of[at[hit]], low + start[hit], high + start[hit]))
+        which, low, high = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(which, kind="stable")
+    which, low, high = which[order], low[order], high[order]
+    # What the leaders lose, their equals of the same document lose too.
+    at, n = np.searchsorted(which, leader), np.searchsorted(which, leader, side="right")
+    n -= at
+    at, copy = _ranges(at, n), np.repeat(other, n)
+    which = np.concatenate([which, copy, gone])
+    low, high = np.concatenate([low, low[at], np.zeros_like(gone)]), np.concatenate([high, high[at], sizes[gone]])
+    order = np.lexsort((low, which))
+    return which[order], low[order], high[order]
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     raw = b"".join(np.uint32(a.nbytes).tobytes() + a.tobytes() for a in arrays)
     return zstandard.ZstdCompressor(level=3).compress(raw)
@@ -280,8 +370,9 @@ def _unpack(payload: bytes, *kinds: str) -> list[np.ndarray]:
 class Sender:
     """Collects the segments of a task's documents and emits them packed by group of buckets."""
 
-    def __init__(self, buckets: int):
+    def __init__(self, buckets: int, hot: np.ndarray | None = None):
         self.buckets = buckets
+        self.hot = np.empty(0, np.uint64) if hot is None else np.sort(hot)
         self.groups = -(-buckets // GROUP)
         self.pieces: list[tuple[int, int, int, bytes]] = []
         self.held = 0
@@ -302,14 +393,16 @@ class Sender:
             data = np.frombuffer(b"".join(p[3] for p in self.pieces), np.uint8)
             ends = np.cumsum([len(p[3]) for p in self.pieces])
             first, last, key = segments(data, ends)
+            if len(self.hot):
+                common = self.hot[np.minimum(np.searchsorted(self.hot, key), len(self.hot) - 1)] == key
+                again = np.flatnonzero(common)
+                _, *cut = recut(data, first[again], last[again] - first[again] + LENGTH, GRAMS[1])
+                first, last, key = (np.concatenate([x[~common], y]) for x, y in zip((first, last, key), cut, strict=True))
             piece = np.searchsorted(ends, first, side="right")
             table = np.array([p[:3] for p in self.pieces], np.int64)
             starts = ends - np.array([len(p[3]) for p in self.pieces])
-            wide = -(-(2 * LENGTH - GRAM) // 8) * 8
-            padded = np.concatenate([data, np.zeros(wide, np.uint8)])
             sizes = last - first + LENGTH
-            rows = padded[first[:, None] + np.arange(wide)]
-            rows[np.arange(wide) >= sizes[:, None]] = 0
+            rows = _rows(_padded(data), first, sizes)
             bucket = (key * np.uint64(_ODD) >> np.uint64(32)) % np.uint64(self.buckets)
             self.parts.append((
                 bucket.astype(np.int64), table[piece, 0], table[piece, 1], first - starts[piece] + table[piece, 2], sizes, rows
@@ -324,10 +417,7 @@ class Sender:
             return
         bucket, doc, mark, pos, sizes, rows = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.sent = [], 0
-        h = sizes.astype(np.uint64)
-        for k, word in enumerate(rows.view(np.uint64).T):
-            h = (h ^ word) * np.uint64(pow(_ODD, k + 1, 2**64))
-            h ^= h >> np.uint64(31)
+        h = _row_hashes(rows, sizes)
         order = np.lexsort((doc, h))
         new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
         head = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
@@ -385,7 +475,7 @@ def _compare(t: pa.Table) -> pa.Table:
                 before += high - low
         if parts:
             docs, marks, pos, sizes, data, leader, places = (np.concatenate(x) for x in zip(*parts, strict=True))
-            of, low, high = repeated(data, sizes.astype(np.int64), docs)
+            of, low, high = repeated_in_parts(data, sizes.astype(np.int64), docs)
             out.append([docs[of], marks[of], pos[of] + low, pos[of] + high])
             # The same ranges at the other places of an equal segment.
             first, n = np.searchsorted(leader, of), np.searchsorted(leader, of, side="right")
@@ -406,13 +496,42 @@ def _identified(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", "doc", "text", F.when(F.col("again").isNotNull(), F.xxhash64("text")).otherwise(F.lit(0)).alias("mark"))
 
 
+def common_anchors(rows: DataFrame, size: int) -> np.ndarray:
+    """Anchors whose segments hold more than ``HOT`` bytes of the whole table, by the weights in a sample of its rows.
+
+    Their number is bounded by the size of all segments over ``HOT``.  ``size`` is that of all texts.
+    """
+    parts = -(-size // SAMPLE)
+
+    def weigh(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            held, pieces = 0, []
+            for last, text in zip((*[False] * (batch.num_rows - 1), True), batch.column(0), strict=True):
+                raw = text.as_py()
+                for at in range(0, max(1, len(raw) - LENGTH + 1), CHUNK):
+                    pieces.append(raw[at : at + CHUNK + LENGTH - 1])
+                    held += len(pieces[-1])
+                    if held >= CHUNK or (last and at + CHUNK > len(raw) - LENGTH):
+                        first, end, key = segments(np.frombuffer(b"".join(pieces), np.uint8), np.cumsum([len(p) for p in pieces]))
+                        found, of = np.unique(key, return_inverse=True)
+                        weight = np.bincount(of, end - first + LENGTH, len(found)).astype(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(weight)], ["anchor", "weight"])
+                        held, pieces = 0, []
+
+    drawn = rows.where(F.pmod(F.xxhash64("doc", "mark"), F.lit(parts)) == 0) if parts > 1 else rows
+    weights = drawn.select(F.col("text").cast("binary")).mapInArrow(weigh, "anchor long, weight long")
+    total = weights.groupBy("anchor").agg(F.sum("weight").alias("weight")).where(F.col("weight") * parts > HOT)
+    return np.array([r.anchor for r in total.select("anchor").collect()], np.int64).view(np.uint64)
+
+
 def removed_ranges(rows: DataFrame) -> DataFrame:
     """``doc, mark, span``: ranges to remove (``from << 32 | to``), overlaps included."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(16, -(-size // BUCKET))
+    hot = common_anchors(rows, size) if size > HOT else None
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = Sender(buckets)
+        sender = Sender(buckets, hot)
 
         def batch(found: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
             kinds = (pa.int64(), pa.int32(), pa.binary())

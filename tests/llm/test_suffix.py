@@ -137,3 +137,66 @@ def test_equal_suffixes_are_sorted_once(monkeypatch):
     monkeypatch.setattr(sx, "_ODD", 0)
     cut = [tuple(s[i : i + 50].tolist()) for i in sx.suffix_array(s, words, 50)]
     assert cut == sorted(cut)
+
+
+def common_gram(docs=400, seed=4):
+    """Texts whose strings all have one anchor, and the anchor: rare words around one gram that each window holds."""
+    rng = random.Random(seed)
+    grams = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(3000)]
+    gram = min(grams, key=lambda g: int(sx.rolling(np.frombuffer(g.encode(), np.uint8), 8)[0]))
+    word = lambda: "".join(rng.choice("mnopqrst") for _ in range(rng.randrange(6, 14)))
+    parts = [gram + word() for _ in range(300)]
+    rows = [(k, "".join(rng.choice(parts) if rng.random() < 0.3 else gram + word() for _ in range(40))) for k in range(docs)]
+    return rows, int(sx.rolling(np.frombuffer(gram.encode(), np.uint8), 8)[0])
+
+
+def test_common_anchor_is_spread(monkeypatch):
+    """Strings of a common anchor go to many buckets once it is known, and equal strings to one."""
+    rows, hot = common_gram()
+    share = []
+    for known in (None, np.array([hot], np.uint64)):
+        sender = sx.Sender(64, known)
+        packs = [p for i, t in rows for p in sender.add(i, 0, t.encode())] + [*sender.cut()]
+        bucket, _, _, _, sizes, text = (np.concatenate(x) for x in zip(*sender.parts, strict=True))
+        weight = np.bincount(bucket, sizes)
+        share.append(weight.max() / weight.sum())
+        home = {}
+        for b, n, row in zip(bucket.tolist(), sizes.tolist(), text, strict=True):
+            raw = row[:n].tobytes()
+            for p in range(n - sx.LENGTH + 1):
+                assert home.setdefault(raw[p : p + sx.LENGTH], b) == b
+        assert not packs and len(home) > 50_000
+    assert share[0] > 0.7 and share[1] < 0.1
+
+
+def test_large_bucket_is_compared_in_parts(monkeypatch):
+    """No more than a few times the limit at once, with the same ranges."""
+    rows, _ = common_gram(150, 8)
+    rows += [(1000 + k, "q" * 300 + t) for k, (_, t) in enumerate(rows[:20])]
+    raws = [np.frombuffer(t.encode(), np.uint8) for _, t in rows]
+    data, ends = np.concatenate(raws), np.cumsum([len(r) for r in raws])
+    first, last, _ = sx.segments(data, ends)
+    sizes, docs = last - first + sx.LENGTH, np.array([i for i, _ in rows])[np.searchsorted(ends, first, side="right")]
+    data = data[sx._ranges(first, sizes)]
+
+    def strings(found):
+        return {(s, p) for s, low, high in zip(*(x.tolist() for x in found), strict=True) for p in range(low, high - sx.LENGTH + 1)}
+
+    want = strings(sx.repeated(data, sizes, docs))
+    assert want
+    seen, repeated = [], sx.repeated
+    monkeypatch.setattr(sx, "LIMIT", 5000)
+    monkeypatch.setattr(sx, "repeated", lambda d, *x: (seen.append(len(d)), repeated(d, *x))[1])
+    assert strings(sx.repeated_in_parts(data, sizes, docs)) == want
+    assert len(seen) > 20 and max(seen) < len(data) / 10
+
+
+def test_common_anchors_change_no_result(docs_of, rows_of, monkeypatch):
+    rows, hot = common_gram(60, 6)
+    rows += made(3)
+    for name, value in (("BUCKET", 1000), ("SAMPLE", 20_000), ("HOT", 3000), ("LIMIT", 4000), ("CHUNK", 700)):
+        monkeypatch.setattr(sx, name, value)
+    identified = sx._identified(docs_of(rows))
+    size = sum(len((t or "").encode()) for _, t in rows)
+    assert hot in sx.common_anchors(identified, size).tolist()
+    assert rows_of(sx.query(docs_of(rows))) == brute(rows)
