@@ -13,9 +13,10 @@ This bound loses nothing, and it leaves a few windows around each suspicious pas
 window belongs to is found by the fingerprints alone.
 
 Words are runs of letters and digits, lower case, so case, punctuation and line breaks do
-not hide a passage.  All steps are DataFrame expressions.  The only broadcast is that of the
-benchmark's shingles, after they were counted (``BROADCAST`` rows at most; otherwise the
-same join runs by shuffle).  Copies of a text are examined once.
+not hide a passage.  All steps are DataFrame expressions.  Of the tables made here only the
+benchmark's shingles are broadcast, after they were counted (``BROADCAST`` rows at most).  The other joins on windows and shingles say
+that they run by shuffle: these rows are unfolded from arrays or repeat their text, so the size that Spark expects
+(of the files, or from before the unfolding) is far too low.  Copies of a text are examined once.
 
 Rows: null or wordless texts and items match nothing; null ids are kept as they are; repeated rows give repeated
 results.  Columns besides ids and ``text`` are not read.
@@ -36,6 +37,7 @@ SIMILARITY = 0.8
 RADIUS = 23
 BLOCKS = 8
 BROADCAST = 500_000
+ITEM_ROWS = 100_000  # the same for shingles with their text
 CHUNK = 256  # words
 
 
@@ -93,6 +95,11 @@ def _indexed(prints: DataFrame, masks: list[int]) -> DataFrame:
     return rows.withColumn("block", F.col("at.block")).withColumn("value", F.col("at.value").bitwiseXOR(F.col("mask")))
 
 
+def _sized(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """The side of a join: broadcast if it was counted and is small, else never, whatever its size is estimated at."""
+    return F.broadcast(df) if rows <= most else df.hint("merge")
+
+
 def windows(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``tid, n, width, s, starts``: per text and item size, the windows that could reach ``similarity``."""
     sizes = items.select("n", "width", "s").distinct()
@@ -104,8 +111,7 @@ def windows(docs: DataFrame, items: DataFrame, similarity: float = SIMILARITY) -
     for more in known[1:]:
         all_known = all_known.unionByName(more)
     all_known = settle(all_known.distinct(), "item-shingles")
-    if all_known.count() <= BROADCAST:
-        all_known = F.broadcast(all_known)
+    all_known = _sized(all_known, all_known.count(), BROADCAST)
     texts = docs.select(_text_key(F.col("text")).alias("tid"), words_of(F.col("text")).alias("words"))
     per_width = F.array(*(F.struct(F.lit(w).alias("w"), _hashes("words", w).alias("hashes")) for w in widths))
     hashes = texts.select("tid", F.explode(per_width).alias("at")).select("tid", F.col("at.w").alias("w"), "at.hashes")
@@ -144,7 +150,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     chunks = texts.where(F.size("words") > 0).select("tid", F.explode(chunks).alias("c")).select("tid", "c.chunk", "c.part")
     starts = spots.select(F.col("tid").alias("of"), "n", "width", "s", F.explode("starts").alias("start"))
     starts = starts.groupBy("of", "n", "width", "s", F.expr(f"start div {CHUNK}").alias("in_chunk")).agg(F.collect_list("start").alias("own"))
-    placed = starts.join(chunks, (F.col("of") == F.col("tid")) & (F.col("in_chunk") == F.col("chunk")))
+    placed = starts.join(chunks.hint("merge"), (F.col("of") == F.col("tid")) & (F.col("in_chunk") == F.col("chunk")))
     cut = F.transform("own", lambda x: F.struct(x.alias("start"), F.slice("part", (x - F.col("chunk") * CHUNK + 1).cast("int"), F.col("s") + F.col("width") - 1).alias("words")))
     placed = placed.select("tid", "n", "width", "s", F.explode(cut).alias("w")).select("tid", "n", "width", "s", "w.start", "w.words")
 
@@ -163,14 +169,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARIT
     right = _indexed(item_prints.withColumnRenamed("item_fp", "fp"), _near_blocks(radius)).select(
         "item", "m", "item_s", F.col("fp").alias("item_fp"), F.col("block").alias("b"), F.col("value").alias("v")
     )
-    near = left.join(right, (F.col("n") == F.col("m")) & (F.col("block") == F.col("b")) & (F.col("value") == F.col("v")))
+    near = left.join(right.hint("merge"), (F.col("n") == F.col("m")) & (F.col("block") == F.col("b")) & (F.col("value") == F.col("v")))
     near = near.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
     pairs = near.select("tid", "n", "start", "item", (F.col("s") + F.col("item_s")).alias("all")).distinct()
 
     weights = doc_rows.groupBy("tid", "n", "start", "shingle").agg(F.count(F.lit(1)).alias("weight"))
     item_weights = item_rows.groupBy("item", "shingle").agg(F.count(F.lit(1)).alias("item_weight"))
+    item_weights = _sized(item_weights, item_rows.count(), ITEM_ROWS)
     shared = (
-        pairs.join(weights, ["tid", "n", "start"]).join(item_weights, ["item", "shingle"])
+        pairs.join(weights.hint("merge"), ["tid", "n", "start"]).join(item_weights, ["item", "shingle"])
         .groupBy("tid", "start", "item", "all").agg(F.sum(F.least("weight", "item_weight")).alias("both"))
     )
     scored = shared.withColumn("similarity", F.col("both") / (F.col("all") - F.col("both")))

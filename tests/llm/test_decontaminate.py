@@ -93,3 +93,24 @@ def test_given_documents(spark):
     items = duckdb.sql(f"SELECT item_id, text FROM '{path}/benchmark.parquet'").fetchall()
     got = dc.contaminated(spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/benchmark.parquet")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(d, i) for d, v in brute(docs, items).items() for i in v}
+
+
+def test_only_counted_tables_are_broadcast(docs_of, spark, monkeypatch):
+    """Windows and their shingles repeat one text, so their files look small enough for a broadcast."""
+    rng = random.Random(2)
+    words = lambda n: " ".join(rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(n))
+    items = [(k, words(60)) for k in range(8)]
+    docs = docs_of([(k, f"{words(30)} {items[k % 8][1]} {words(30)}") for k in range(40)])
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    plan = lambda: dc.matches(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan().count("BroadcastExchange") == 1  # the items' shingles
+    placed = []
+    settle = dc.settle
+    monkeypatch.setattr(dc, "settle", lambda df, name: (placed.append((name, df._jdf.queryExecution().executedPlan().toString())), settle(df, name))[1])
+    for name in ("BROADCAST", "ITEM_ROWS"):
+        monkeypatch.setattr(dc, name, 0)
+    assert "BroadcastExchange" not in plan()
+    unfolded = dict(placed)["window-shingles"]
+    assert "SortMergeJoin [of" in unfolded and unfolded.count("BroadcastExchange") == 1  # the texts' hashes
+    found = {(r.item, r.similarity) for r in dc.matches(docs, bench).select("item", "similarity").collect()}
+    assert {k for k, s in found if s == 1.0} == set(range(8))
