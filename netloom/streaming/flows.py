@@ -56,13 +56,20 @@ def _closed_flow(key: tuple, flow: list[tuple], closed: bool) -> list[tuple]:
     return out
 
 
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    """Rows of ``FLOW_PACKETS`` with the types that they have, which need not be found out."""
+    kinds = {T.LongType(): "Int64", T.IntegerType(): "Int32", T.BooleanType(): "boolean", T.StringType(): "string"}
+    return pd.DataFrame({f.name: pd.array(column, kinds[f.dataType]) for f, column in zip(FLOW_PACKETS, map(list, zip(*rows, strict=True)), strict=True)})
+
+
 class FlowProcessor(StatefulProcessor):
-    def __init__(self, params: FlowParams):
+    def __init__(self, params: FlowParams, delay_us: int | None = None):
+        self.delay_us = delay_us
         self.idle_us = round(params.idle_s * 1_000_000)
         self.absolute_us = round(params.absolute_s * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.waiting = TimeBuckets(handle, _STATE, min(self.idle_us, self.absolute_us) // BUCKETS)
+        self.waiting = TimeBuckets(handle, _STATE, min(self.idle_us, self.absolute_us) // BUCKETS, delay_us=self.delay_us)
         self.head = handle.getValueState("head", "start_us long, last_us long")
         self.packets = handle.getListState("packets", _STATE)
 
@@ -74,15 +81,17 @@ class FlowProcessor(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         done = self._advance(key, timerValues.getCurrentWatermarkInMs())
         if done:
-            yield pd.DataFrame(done, columns=FLOW_PACKETS.names).convert_dtypes()
+            yield _frame(done)
 
     def close(self) -> None:
         pass
 
     def _advance(self, key: tuple, clock_ms: int) -> list[tuple]:
         """Replay what the watermark has passed; the open flow and later packets stay."""
-        head = tuple(self.head.get()) if self.head.exists() else None
-        stored, done, new = head is not None, [], []
+        head = self.head.get()
+        head = tuple(head) if head is not None else None
+        held = stored = head is not None
+        done, new = [], []
         ready = sorted(self.waiting.take(clock_ms))
 
         def leave(closed: bool) -> None:
@@ -104,7 +113,8 @@ class FlowProcessor(StatefulProcessor):
         if head and self.waiting.passed(clock_ms) > self._deadline(head):
             leave(False)
         if head is None:
-            self.head.clear()
+            if held:
+                self.head.clear()
         elif new:
             self.packets.appendList(new) if stored else self.packets.put(new)
             self.head.update(head)
@@ -122,9 +132,10 @@ def assemble_stream(packets: DataFrame, params: FlowParams = FlowParams(), delay
     query progress.  Use the RocksDB state store.
     """
     use_disk_state(packets.sparkSession)
+    delay_us = packets.sparkSession.range(1).select(F.expr(f"unix_micros(timestamp_micros(0) + INTERVAL '{delay}')")).first()[0]
     keyed = canonical_key(packets).withColumn("us", micros()).withWatermark("ts", delay)
     return keyed.select("ts", *KEY, *_PACKET).groupBy(*KEY).transformWithStateInPandas(
-        FlowProcessor(params), FLOW_PACKETS, outputMode="Append", timeMode="EventTime"
+        FlowProcessor(params, delay_us), FLOW_PACKETS, outputMode="Append", timeMode="EventTime"
     )
 
 

@@ -228,3 +228,38 @@ def test_every_waiting_row_is_read_once():
         out += processor.handleExpiredTimer(("a", 1, "b", 2, 6), _Clock(late), None)
     assert _Map.reads == rows and _List.reads <= rows
     assert sum(len(f) for f in out) == rows and not handle.timers and processor.head.value is None
+
+
+def test_rows_far_behind_the_newest_are_one_chunk():
+    """A month of one key in one batch: the accesses to the state do not grow with its time buckets, and the flows are the same."""
+    import random
+
+    import pandas as pd
+
+    from netloom.streaming import flows as S
+
+    rng, key, start = random.Random(3), ("a", 1, "b", 2, 6), 1_700_000_000
+    packets = [((start + rng.randrange(2_592_000)) * 1_000_000, k, k % 2, 100, 40, 16 + (k % 40 == 0), 512) for k in range(900)]
+    newest = max(p[0] for p in packets) // 1000
+
+    def run(delay_us, clocks):
+        processor, handle, out = S.FlowProcessor(FlowParams(idle_s=3600, absolute_s=7200), delay_us), _Handle(), []
+        processor.init(handle)
+        list(processor.handleInputRows(key, iter([pd.DataFrame(packets, columns=list(S._PACKET))]), _Clock(0)))
+        stored = len(processor.waiting.rows)
+        for clock in clocks:
+            while any(t <= clock for t in handle.timers):
+                handle.timers.discard(min(handle.timers))
+                out += processor.handleExpiredTimer(key, _Clock(clock), None)
+        assert not handle.timers and not processor.waiting.rows and not processor.waiting.chunks
+        frames = [f.astype(object).where(f.notna(), None) for f in out]
+        return stored, sorted(tuple(r) for f in frames for r in f.itertuples(index=False))
+
+    end = newest + 100_000_000
+    plain, flows = run(None, [newest - 60_000, end])
+    assert plain > 500 and len(flows) == len(packets)
+    few, same = run(60_000_000, [newest - 60_000, end])
+    assert few <= 3 and same == flows
+    # A watermark that stays behind what its delay promised.
+    slow, same = run(60_000_000, [*range(start * 1000, newest, 50_000_000), end])
+    assert slow == few and same == flows
