@@ -406,3 +406,14 @@ def test_latency_sketches_merge_within_their_error(spark):
             assert r.samples == n
             for p in (50, 95, 99):
                 assert abs(own.where(F.col("latency_ms") <= r[f"p{p}_ms"]).count() / n - p / 100) <= 2 * metrics.rank_error()
+
+
+def test_small_tables_are_broadcast(spark):
+    """A join on two classes does not leave the rows in two tasks."""
+    from netloom.operators.splits import stratified_split, with_class_weight
+
+    rows = spark.range(0, 4000, 1, 8).selectExpr("id", "if(id % 3 = 0, 1, 0) AS attack")
+    weighted = with_class_weight(rows, "attack")
+    assert sum(1 for p in weighted.rdd.glom().map(len).collect() if p) == 8
+    assert weighted.groupBy("attack").agg({"weight": "max"}).orderBy("attack").collect()[1][1] == 4000 / (2 * 1334)
+    assert "BroadcastHashJoin" in stratified_split(rows, "attack")._jdf.queryExecution().executedPlan().toString()
